@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landgrid.config import SECTORS, Grid
@@ -59,32 +59,29 @@ def sector_name(sector_id: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in SECTORS]), sector_id)
 
 
-def _geodetic_to_cartesian(lon: Column, lat: Column, ell: tuple[float, float]):
-    a, inv = ell
-    f = 1.0 / inv
-    e2 = f * (2.0 - f)
-    n = F.lit(a) / F.sqrt(F.lit(1.0) - F.sin(lat) * F.sin(lat) * e2)
-    return (n * F.cos(lat) * F.cos(lon), n * F.cos(lat) * F.sin(lon), n * (1.0 - e2) * F.sin(lat))
-
-
-def _cartesian_to_geodetic(x: Column, y: Column, z: Column, ell: tuple[float, float]):
-    """Bowring's closed form (1976): below a micrometre at the surface."""
-    a, inv = ell
-    f = 1.0 / inv
-    b = a * (1.0 - f)
-    e2 = f * (2.0 - f)
-    ep2 = e2 / (1.0 - e2)
-    p = F.sqrt(x * x + y * y)
-    theta = F.atan2(z * a, p * b)
-    s, c = F.sin(theta), F.cos(theta)
-    lat = F.atan2(z + s * s * s * (ep2 * b), p - c * c * c * (e2 * a))
-    return F.atan2(y, x), lat
-
-
-def shift_datum(lon: Column, lat: Column, src, dst, shift) -> tuple[Column, Column]:
-    """Radians on ``src`` to radians on ``dst`` with a geocentric translation."""
-    x, y, z = _geodetic_to_cartesian(lon, lat, src)
-    return _cartesian_to_geodetic(x + shift[0], y + shift[1], z + shift[2], dst)
+def shift_datum(df: DataFrame, src, dst, shift) -> DataFrame:
+    """Radians ``lo_, la_`` on ellipsoid ``src`` to radians on ``dst``: geocentric translation,
+    then Bowring's closed form (1976), which is below a micrometre at the surface."""
+    a, inv = src
+    e2 = (2.0 - 1.0 / inv) / inv
+    b_a, b_inv = dst
+    f = 1.0 / b_inv
+    b = b_a * (1.0 - f)
+    d2 = f * (2.0 - f)
+    dp2 = d2 / (1.0 - d2)
+    lo, la, nu = F.col("lo_"), F.col("la_"), F.col("nu_")
+    x, y, z = F.col("gx_"), F.col("gy_"), F.col("gz_")
+    s, c = F.sin("th_"), F.cos("th_")
+    return (
+        df.withColumn("nu_", F.lit(a) / F.sqrt(1.0 - F.sin(la) * F.sin(la) * e2))
+        .withColumns({"gx_": nu * F.cos(la) * F.cos(lo) + shift[0],
+                      "gy_": nu * F.cos(la) * F.sin(lo) + shift[1],
+                      "gz_": nu * (1.0 - e2) * F.sin(la) + shift[2]})
+        .withColumn("p_", F.sqrt(x * x + y * y))
+        .withColumn("th_", F.atan2(z * b_a, F.col("p_") * b))
+        .withColumns({"lo_": F.atan2(y, x),
+                      "la_": F.atan2(z + s * s * s * (dp2 * b), F.col("p_") - c * c * c * (d2 * b_a))})
+        .drop("nu_", "gx_", "gy_", "gz_", "p_", "th_"))
 
 
 def _third_flattening(ell: tuple[float, float]) -> float:
@@ -97,46 +94,52 @@ def _rectifying_radius(ell: tuple[float, float]) -> float:
     return ell[0] / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
 
 
-def to_utm(lon_deg: Column, lat_deg: Column, zone: int, south: bool,
-           ellipsoid=CLARKE_1880_RGS, to_wgs84=ARC_1960_TO_WGS84) -> tuple[Column, Column]:
-    """WGS84 degrees to UTM metres with Krueger's series to third order."""
-    lon, lat = F.radians(lon_deg), F.radians(lat_deg)
+def to_utm(df: DataFrame, lon: str, lat: str, x: str, y: str, zone: int, south: bool,
+           ellipsoid=CLARKE_1880_RGS, to_wgs84=ARC_1960_TO_WGS84) -> DataFrame:
+    """WGS84 degrees to UTM metres with Krueger's series to third order, built in stages so
+    that shared terms are computed once."""
+    out = df.withColumns({"lo_": F.radians(lon), "la_": F.radians(lat)})
     if to_wgs84 is not None:
-        lon, lat = shift_datum(lon, lat, WGS84, ellipsoid, tuple(-s for s in to_wgs84))
+        out = shift_datum(out, WGS84, ellipsoid, tuple(-s for s in to_wgs84))
     n = _third_flattening(ellipsoid)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
     k = 2 * math.sqrt(n) / (1 + n)
-    dlon = lon - math.radians(6 * zone - 183)
-    s = F.sin(lat)
-    t = F.sinh(F.atanh(s) - F.atanh(s * k) * k)
-    xi = F.atan2(t, F.cos(dlon))
-    eta = F.atanh(F.sin(dlon) / F.sqrt(t * t + 1.0))
+    dlon = F.col("lo_") - math.radians(6 * zone - 183)
+    s, t, xi, eta = F.col("s_"), F.col("t_"), F.col("xi_"), F.col("eta_")
+    out = (out.withColumn("s_", F.sin("la_"))
+           .withColumn("t_", F.sinh(F.atanh(s) - F.atanh(s * k) * k))
+           .withColumns({"xi_": F.atan2(t, F.cos(dlon)),
+                         "eta_": F.atanh(F.sin(dlon) / F.sqrt(t * t + 1.0))}))
     east, north = eta, xi
     for j, a_j in enumerate(alpha, start=1):
         east = east + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a_j
         north = north + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a_j
     scale = 0.9996 * _rectifying_radius(ellipsoid)
-    return east * scale + 500000.0, north * scale + (10000000.0 if south else 0.0)
+    return out.withColumns({x: east * scale + 500000.0,
+                            y: north * scale + (10000000.0 if south else 0.0)}).drop(
+        "lo_", "la_", "s_", "t_", "xi_", "eta_")
 
 
-def from_utm(x: Column, y: Column, zone: int, south: bool,
-             ellipsoid=CLARKE_1880_RGS, to_wgs84=ARC_1960_TO_WGS84) -> tuple[Column, Column]:
+def from_utm(df: DataFrame, x: str, y: str, lon: str, lat: str, zone: int, south: bool,
+             ellipsoid=CLARKE_1880_RGS, to_wgs84=ARC_1960_TO_WGS84) -> DataFrame:
     """UTM metres to WGS84 degrees."""
     n = _third_flattening(ellipsoid)
     beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
     delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
     scale = 0.9996 * _rectifying_radius(ellipsoid)
-    xi = (y - (10000000.0 if south else 0.0)) / scale
-    eta = (x - 500000.0) / scale
-    xi0, eta0 = xi, eta
-    for j, b_j in enumerate(beta, start=1):
+    xi, eta, chi = F.col("xi_"), F.col("eta_"), F.col("chi_")
+    out = df.withColumns({"xi_": (F.col(y) - (10000000.0 if south else 0.0)) / scale,
+                          "eta_": (F.col(x) - 500000.0) / scale})
+    xi0, eta0, phi = xi, eta, chi
+    for j, (b_j, d_j) in enumerate(zip(beta, delta), start=1):
         xi0 = xi0 - F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * b_j
         eta0 = eta0 - F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * b_j
-    chi = F.asin(F.sin(xi0) / F.cosh(eta0))
-    lat = chi
-    for j, d_j in enumerate(delta, start=1):
-        lat = lat + F.sin(chi * (2 * j)) * d_j
-    lon = F.atan2(F.sinh(eta0), F.cos(xi0)) + math.radians(6 * zone - 183)
+        phi = phi + F.sin(chi * (2 * j)) * d_j
+    out = out.withColumns({"xi0_": xi0, "eta0_": eta0})
+    out = out.withColumns({"chi_": F.asin(F.sin("xi0_") / F.cosh("eta0_")),
+                           "lo_": F.atan2(F.sinh("eta0_"), F.cos("xi0_")) + math.radians(6 * zone - 183)})
+    out = out.withColumn("la_", phi)
     if to_wgs84 is not None:
-        lon, lat = shift_datum(lon, lat, ellipsoid, WGS84, to_wgs84)
-    return F.degrees(lon), F.degrees(lat)
+        out = shift_datum(out, ellipsoid, WGS84, to_wgs84)
+    return out.withColumns({lon: F.degrees("lo_"), lat: F.degrees("la_")}).drop(
+        "xi_", "eta_", "xi0_", "eta0_", "chi_", "lo_", "la_")

@@ -92,8 +92,7 @@ CTES: dict[str, str] = {
 
 
 def _used(text: str) -> set[str]:
-    return {n for n in CTES if re.search(rf"\b(FROM|JOIN)\s+{n}\b|,\s*{n}\b(?=\s+\w+\s*(WHERE|JOIN|GROUP|\)|,|$))",
-                                         text, re.IGNORECASE)}
+    return {n for n in CTES if re.search(rf"\b{n}\b", text)}
 
 
 def sql(body: str, **extra: str) -> str:

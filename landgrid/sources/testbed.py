@@ -14,6 +14,9 @@ YEARS = (1995, 1996, 1997, 1998, 1999, 2000, 2001)
 TRANSITIONS = ((1995, 1997), (1997, 1999), (1999, 2001))
 CENTRE = (25_000.0, 20_000.0)
 
+_CLASS = """CASE WHEN ok % 13 = 0 THEN NULL WHEN b08 % 100 < 30 + (yr - 1995) * 4 THEN 1
+            WHEN b08 % 100 < 70 THEN 2 WHEN b08 % 100 < 90 THEN 3 ELSE 4 END"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,11 +86,7 @@ def px(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lulc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base(spark, sf_dir).select(
-        "cell_id", "r", "c", "yr",
-        F.expr("""CASE WHEN ok % 13 = 0 THEN NULL WHEN b08 % 100 < 30 + (yr - 1995) * 4 THEN 1
-                  WHEN b08 % 100 < 70 THEN 2 WHEN b08 % 100 < 90 THEN 3 ELSE 4 END""").alias("cls"),
-    )
+    return base(spark, sf_dir).select("cell_id", "r", "c", "yr", F.expr(_CLASS).alias("cls"))
 
 
 def land_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +146,16 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unmasked reflectances and indices: the input of the patch operators, which need
-    complete windows."""
+    """Unmasked reflectances and indices with the class: the input of the patch operators,
+    which need complete windows."""
     df = base(spark, sf_dir)
-    df = df.select("cell_id", "r", "c", "yr",
+    df = df.select("cell_id", "r", "c", "yr", F.expr(_CLASS).alias("cls"),
                    *[B.sentinel_reflectance(F.col(b)).alias(b) for b in B.BANDS])
     return df.select("*", *[e.alias(n) for n, e in B.index_columns().items()])
+
+
+def change_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change probability per cell and year beside its class."""
+    return base(spark, sf_dir).select(
+        "cell_id", "r", "c", "yr", F.expr(_CLASS).alias("cls"),
+        F.expr("CASE WHEN ok % 13 <> 0 THEN CAST(b08 % 97 AS DOUBLE) / 97 END").alias("prob"))
