@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from landgrid.config import SECTORS, Grid, Sprawl
 from landgrid.functions import geo
+from landgrid.session import join_bounded
 
 
 def _offsets(grid: Grid, centre: tuple[float, float]) -> tuple[Column, Column]:
@@ -93,7 +94,7 @@ def zone_wide(counts: DataFrame, area: DataFrame, years: Sequence[int], grid: Gr
 def dissolve(pieces: DataFrame, key: str, order: str, attrs: Sequence[str],
              area: str) -> DataFrame:
     """Pieces of one zone to one row: the first piece's attributes and the summed area."""
-    lead = F.min(F.struct(order, *attrs)).alias("lead")
+    lead = F.min(F.struct(F.col(order).alias("order_"), *attrs)).alias("lead")
     return pieces.groupBy(key).agg(lead, F.sum(area).alias(area)).select(
         key, *[F.col(f"lead.{a}").alias(a) for a in attrs], area)
 
@@ -166,5 +167,4 @@ def directional_growth(sectors: DataFrame, y0: int, y1: int) -> DataFrame:
 def paint(px_zones: DataFrame, values: DataFrame, on: Sequence[str],
           attrs: Sequence[str]) -> DataFrame:
     """Attribute of its zone on every cell; the zone side is broadcast after a size check."""
-    from landgrid.session import join_bounded
     return join_bounded(px_zones, values.select(*on, *attrs), list(on), "left")

@@ -151,3 +151,31 @@ SQL = {
     "landscape_metrics": sql("""SELECT pm.yr AS year, round("PD", 6) AS "PD", round("LPI", 6) AS "LPI", round("ED", 6) AS "ED",
  round("AI", 6) AS "AI", round("MPA", 6) AS "MPA" FROM pm JOIN bm USING (yr)""", **_COMPONENTS, **_ADJ),
 }
+
+
+def from_utm_sql(source: str) -> str:
+    """(r, c, x, y) to (r, c, lon, lat): the inverse series, then the datum shift."""
+    a, inv = 6378249.145, 293.465
+    f = 1 / inv
+    e2 = f * (2 - f)
+    n = f / (2 - f)
+    wa, wf = 6378137.0, 1 / 298.257223563
+    wb, we2 = wa * (1 - wf), wf * (2 - wf)
+    be = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    de = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    big = 0.9996 * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    steps = [
+        f"SELECT r, c, (y - 10000000) / {_d(big)} AS xi, (x - 500000) / {_d(big)} AS et FROM ({source})",
+        "SELECT r, c, " + "xi - " + " - ".join(f"{_d(v)} * sin({2*j} * xi) * cosh({2*j} * et)" for j, v in enumerate(be, 1)) + " AS x0, et - "
+        + " - ".join(f"{_d(v)} * cos({2*j} * xi) * sinh({2*j} * et)" for j, v in enumerate(be, 1)) + " AS e0 FROM ({p})",
+        "SELECT r, c, asin(sin(x0) / cosh(e0)) AS chi, radians(39) + atan2(sinh(e0), cos(x0)) AS lo FROM ({p})",
+        "SELECT r, c, lo, chi + " + " + ".join(f"{_d(v)} * sin({2*j} * chi)" for j, v in enumerate(de, 1)) + " AS la FROM ({p})",
+        f"SELECT *, {_d(a)} / sqrt(1 - {_d(e2)} * sin(la) ** 2) AS nu FROM ({{p}})",
+        f"SELECT r, c, nu * cos(la) * cos(lo) - 160 AS gx, nu * cos(la) * sin(lo) - 6 AS gy, nu * (1 - {_d(e2)}) * sin(la) - 302 AS gz FROM ({{p}})",
+        f"SELECT *, sqrt(gx * gx + gy * gy) AS p, atan2(gz * {_d(wa)}, sqrt(gx * gx + gy * gy) * {_d(wb)}) AS th FROM ({{p}})",
+        f"SELECT r, c, round(degrees(atan2(gy, gx)), 7) AS lon, round(degrees(atan2(gz + {_d(we2 / (1 - we2) * wb)} * sin(th) ** 3, p - {_d(we2 * wa)} * cos(th) ** 3)), 7) AS lat FROM ({{p}})",
+    ]
+    text = steps[0]
+    for s in steps[1:]:
+        text = s.replace("{p}", text)
+    return text

@@ -1 +1,349 @@
+"""Queries on samples, models, spatial statistics and composed jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from landgrid.config import Classification, Drivers, Sprawl
+from landgrid.functions import classes as C
+from landgrid.functions.bands import FEATURES
+from landgrid.operators.change import change_reference, transition_pairs, transition_values
+from landgrid.operators import (changemodel, classify, patches, pixels, regression, report,
+                                sampling, stats, weights)
+from landgrid.plans import jobs
+from landgrid.plans.common import keep, register
+from landgrid.plans.drivers import PREDICTORS, coarse_grid, driver_stack
+from landgrid.plans.queries_grids import patch_labels, patch_pairs
+from landgrid.plans.queries_zones import NEXT_YEAR
+from landgrid.session import cut_lineage
+from landgrid.sources import testbed
+
 QUERIES = {}
+query = register(QUERIES)
+SPRAWL = Sprawl(centre_xy=testbed.CENTRE)
+SEED, FACTOR = 42, 2
+TREES = 25
+Y0, Y1 = 1995, 2001
+BY = ["transition_id"]
+
+
+def stack(spark, sf):
+    """Predictor stack on cells of twice the size."""
+    px = testbed.px(spark, sf)
+    feat = pixels.feature_stack(px).select("cell_id", "r", "c", "yr", "sensor", "ndvi")
+    norm = pixels.minmax_normalize(feat, pixels.minmax_params(feat, ["ndvi"]), ["ndvi"])
+    cover = testbed.land_cover(spark, sf)
+    return driver_stack(testbed.lulc(spark, sf), Y0, Y1, testbed.grid(spark, sf), FACTOR,
+                        testbed.CENTRE, roads=testbed.roads(spark, sf), ndvi=norm,
+                        population=cover, dem=cover)
+
+
+def drivers(spark, sf):
+    """Complete sampled rows of the stack."""
+    return jobs.sample_drivers(stack(spark, sf), Drivers(), PREDICTORS)[0]
+
+
+def sample_weights(df):
+    return cut_lineage(weights.knn_weights(df.select("id", "x", "y"), 8))
+
+
+def training(spark, sf):
+    """Features of all years with the reference class of the cell, and the unlabelled frame."""
+    feat = pixels.feature_stack(testbed.px(spark, sf))
+    cover = testbed.land_cover(spark, sf).select(
+        "cell_id", C.remap(F.col("code"), C.WORLDCOVER).alias("cls"))
+    return feat.join(cover, "cell_id", "left")
+
+
+@query("stratified_points")
+def stratified_points(spark, sf):
+    lulc = testbed.lulc(spark, sf)
+    return sampling.stratified_points(lulc, 100, SEED, ["yr", "cls"]).select("yr", "cls", "cell_id", "rk")
+
+
+@query("train_test_split")
+def train_test_split(spark, sf):
+    known = testbed.lulc(spark, sf).dropna(subset=["cls"])
+    return sampling.train_test_split(known, ["yr", "cls"], ["cell_id"], 0.7, SEED).select(
+        "yr", "cls", "cell_id", "split")
+
+
+@query("paired_split")
+def paired_split(spark, sf):
+    """Two sensors' tables over the cells that have a class in both years."""
+    lulc = testbed.lulc(spark, sf)
+    both = cut_lineage(transition_values(lulc, ["cls"], [(1997, 1998)]).dropna(subset=["pre_cls", "post_cls"]))
+    a = both.select("cell_id", F.col("pre_cls").alias("cls"))
+    b = both.select("cell_id", F.col("post_cls").alias("cls"))
+    left, right = sampling.paired_split(a, b, ["cls"], ["cell_id"], 0.7, SEED)
+    tag = lambda df, s: df.select(F.lit(s).alias("sensor"), "cell_id", "cls", "split")
+    return tag(left, "landsat").unionByName(tag(right, "sentinel"))
+
+
+@query("spatial_block_split")
+def spatial_block_split(spark, sf):
+    labelled, st = patch_labels(spark, sf)
+    return labelled.select("transition_id", "r0", "c0",
+                           patches.split_column(SEED, st.change).alias("split"))
+
+
+@query("split_seed_search")
+def split_seed_search(spark, sf):
+    labelled, st = patch_labels(spark, sf)
+    return patches.choose_split_seed(labelled, BY, st.change)
+
+
+@query("balance_negatives")
+def balance_negatives(spark, sf):
+    """Cells of each transition: all changed ones and as many unchanged."""
+    cells = change_reference(testbed.lulc(spark, sf), testbed.TRANSITIONS) \
+        .select("transition_id", "cell_id", F.col("change").alias("y"))
+    return sampling.balance_negatives(cells, BY, ["cell_id"], 1, SEED)
+
+
+@query("driver_stack")
+def driver_stack_query(spark, sf):
+    return keep(stack(spark, sf), ["cell_id", "growth"], PREDICTORS)
+
+
+@query("growth_sample")
+def growth_sample(spark, sf):
+    return sampling.growth_sample(stack(spark, sf), 100, SEED).select("cell_id", "growth")
+
+
+@query("regression_frame")
+def regression_frame(spark, sf):
+    return keep(drivers(spark, sf), ["cell_id", "growth"], ["x", "y", *PREDICTORS])
+
+
+@query("dedupe_coordinates")
+def dedupe_coordinates(spark, sf):
+    """Line starts: many share their position."""
+    points = testbed.roads(spark, sf).select(F.col("seg_id").alias("id"), F.col("x1").alias("x"),
+                                             F.col("y1").alias("y"))
+    return keep(sampling.jitter_duplicates(points, SEED), ["id"], ["x", "y"])
+
+
+@query("correlation_matrix")
+def correlation_matrix(spark, sf):
+    cols = ["growth", *PREDICTORS]
+    return keep(stats.correlation_matrix(stack(spark, sf), cols), ["variable"], cols)
+
+
+@query("corr_long_lower")
+def corr_long_lower(spark, sf):
+    cols = ["growth", *PREDICTORS]
+    matrix = stats.correlation_matrix(stack(spark, sf), cols)
+    return keep(report.corr_lower(matrix, cols), ["variable", "other"], ["r"])
+
+
+@query("driver_ci")
+def driver_ci(spark, sf):
+    """Correlations with growth as coefficients, with their standard error."""
+    df = stack(spark, sf)
+    n = F.col("n")
+    one = df.agg(*[F.corr(F.when(F.col(p).isNotNull(), F.col("growth")), p).alias(p) for p in PREDICTORS],
+                 F.avg("growth").alias("(Intercept)"), F.count("growth").alias("n"))
+    terms = one.select(F.inline(F.array(*[
+        F.struct(F.lit(t).alias("term"), F.col(f"`{t}`").alias("estimate"),
+                 F.sqrt((1 - F.col(f"`{t}`") * F.col(f"`{t}`")) / (n - 2)).alias("std_error"))
+        for t in ("(Intercept)", *PREDICTORS)])))
+    return keep(report.driver_ci(terms), ["term", "direction"], ["estimate", "lo", "hi"])
+
+
+@query("knn_weights")
+def knn_weights(spark, sf):
+    return weights.knn_weights(drivers(spark, sf).select("id", "x", "y"), 8)
+
+
+@query("spatial_lag_column")
+def spatial_lag_column(spark, sf):
+    df = drivers(spark, sf)
+    lagged = weights.lag_columns(df, sample_weights(df), ["growth", "elevation"])
+    return keep(lagged, ["id"], ["lag_growth", "lag_elevation"])
+
+
+@query("morans_i")
+def morans_i(spark, sf):
+    df = drivers(spark, sf)
+    out = weights.morans_i(df.select("id", F.col("growth").alias("z")), sample_weights(df))
+    return keep(out, [], ["I", "expected", "variance", "z", "p"])
+
+
+@query("logistic_regression")
+def logistic_regression(spark, sf):
+    return regression.logistic_regression(drivers(spark, sf), PREDICTORS)
+
+
+@query("driver_importance")
+def driver_importance(spark, sf):
+    return regression.driver_importance(regression.logistic_regression(drivers(spark, sf), PREDICTORS))
+
+
+@query("spatial_lag_model")
+def spatial_lag_model(spark, sf):
+    df = drivers(spark, sf)
+    return regression.spatial_lag_model(df, sample_weights(df), PREDICTORS)
+
+
+@query("gwr")
+def gwr(spark, sf):
+    return regression.gwr(drivers(spark, sf), ["dist_roads", "dist_centre", "elevation"], 60)
+
+
+@query("gwr_bandwidth")
+def gwr_bandwidth(spark, sf):
+    return regression.gwr_bandwidth(drivers(spark, sf), ["dist_roads", "dist_centre", "elevation"],
+                                    [30, 60, 120])
+
+
+@query("rf_train")
+def rf_train(spark, sf):
+    """Class counts predicted by a forest that saw the same rows."""
+    df = cut_lineage(training(spark, sf))
+    model = classify.rf_train(df, trees=TREES)
+    return classify.predict_pixels(model, df, ["cell_id", "yr"]).groupBy("yr", "cls").count()
+
+
+@query("rf_importance")
+def rf_importance(spark, sf):
+    df = training(spark, sf)
+    return classify.rf_importance(classify.rf_train(df, trees=TREES), df)
+
+
+@query("svm_rbf_train")
+def svm_rbf_train(spark, sf):
+    df = cut_lineage(training(spark, sf))
+    model = classify.svm_rbf_train(df, size=32, max_iter=10)
+    return classify.predict_pixels(model, df, ["cell_id", "yr"], first_label=1).groupBy("yr", "cls").count()
+
+
+@query("svm_tune")
+def svm_tune(spark, sf):
+    cfg = Classification(tune_costs=(1.0, 10.0), tune_gammas=(0.1,), tune_folds=2)
+    return classify.svm_tune(training(spark, sf), cfg=cfg, size=16, max_iter=5)
+
+
+@query("predict_pixels")
+def predict_pixels(spark, sf):
+    """Every pixel of every year; the incomplete ones without a class."""
+    df = cut_lineage(training(spark, sf))
+    model = classify.rf_train(df, trees=TREES)
+    return classify.predict_pixels(model, df, ["cell_id", "yr"])
+
+
+@query("predict_test")
+def predict_test(spark, sf):
+    df = training(spark, sf).dropna(subset=["cls"]).withColumn("id", F.concat_ws("-", "cell_id", "yr"))
+    marked = cut_lineage(sampling.train_test_split(df, ["cls"], ["id"], 0.7, SEED))
+    model = classify.rf_train(marked.filter("split = 'train'"), trees=TREES)
+    return classify.predict_test(model, marked.filter("split = 'test'"), "RandomForest", "both")
+
+
+@query("pick_best_model")
+def pick_best_model(spark, sf):
+    """The class one and two years later as two competing models of each sensor."""
+    two = [(a, b + 1) for a, b in NEXT_YEAR[:-1]]
+    pairs = transition_pairs(testbed.lulc(spark, sf), [*NEXT_YEAR, *two])
+    pred = pairs.select(
+        F.when(F.col("post_year") - F.col("pre_year") == 1, "one_year").otherwise("two_years").alias("model"),
+        F.when(F.col("pre_year") <= 1997, "landsat").otherwise("sentinel").alias("sensor"),
+        F.col("post_cls").alias("pred"), F.col("pre_cls").alias("ref"))
+    acc = stats.accuracy_report(stats.confusion_matrix(pred, ["model", "sensor"]), ["model", "sensor"])
+    return classify.pick_best_model(acc)
+
+
+@query("classify_year")
+def classify_year(spark, sf):
+    """Post-processing of a given class map."""
+    norm, params, _ = jobs.preprocess_year(testbed.px(spark, sf))
+    out = classify.classify_year(testbed.lulc(spark, sf), norm, params)
+    return out.select("cell_id", "yr", "cls")
+
+
+@query("class_weight")
+def class_weight(spark, sf):
+    labelled, _ = patch_labels(spark, sf)
+    return keep(classify.class_weight(labelled, BY), ["transition_id", "n_pos", "n_neg"], ["pos_weight"])
+
+
+@query("transition_report")
+def transition_report(spark, sf):
+    """Report of a plain score: the share of change in the whole window."""
+    st = testbed.study(spark, sf)
+    pairs = patch_pairs(spark, sf)
+    p = patches.patch_summaries(pairs, ["ndvi"], st.change, st.change.stride_train, BY)
+    p = p.withColumn("block", patches.block_id(st.grid, st.change))
+    p = p.withColumns({"split": patches.split_column(SEED, st.change),
+                       "prob": F.col("diff_ndvi_mean") * 2})
+    out = changemodel.transition_report(p, BY)
+    return keep(out, ["transition_id", "n_train", "n_val", "n_test"], ["F1", "Precision", "Recall", "IoU"])
+
+
+@query("change_model_train")
+def change_model_train(spark, sf):
+    """Patch probabilities of the trained change model."""
+    labelled, st = _summaries(spark, sf)
+    marked = cut_lineage(jobs.split_patches(labelled, st.change, BY))
+    model = changemodel.change_model(marked.filter("split = 'train'"), marked.filter("split = 'val'"))
+    return changemodel.score_patches(model, marked).select("transition_id", "patch_id", "split", "y", "prob")
+
+
+def _summaries(spark, sf):
+    st = testbed.study(spark, sf)
+    p = patches.patch_summaries(patch_pairs(spark, sf), FEATURES, st.change, st.change.stride_train, BY)
+    return cut_lineage(p.withColumn("block", patches.block_id(st.grid, st.change))), st
+
+
+@query("sliding_change_prob")
+def sliding_change_prob(spark, sf):
+    """Probability per cell from a user scorer over all windows."""
+    st = testbed.study(spark, sf)
+    score = lambda p: p.withColumn("prob", F.least(F.col("diff_ndvi_mean") * 2, F.lit(1.0)))
+    out = changemodel.change_probability(patch_pairs(spark, sf), score, st.change, BY)
+    return keep(out, ["transition_id", "cell_id"], ["prob"])
+
+
+@query("preprocess_year")
+def preprocess_year(spark, sf):
+    norm, _, _ = jobs.preprocess_year(testbed.px(spark, sf))
+    return keep(norm, ["cell_id", "yr", "sensor"], FEATURES)
+
+
+@query("auto_training_samples")
+def auto_training_samples(spark, sf):
+    grid = testbed.grid(spark, sf)
+    return jobs.auto_training_samples(testbed.land_cover(spark, sf), grid, grid, 100, SEED)
+
+
+@query("train_and_evaluate")
+def train_and_evaluate(spark, sf):
+    grid = testbed.grid(spark, sf)
+    points = jobs.auto_training_samples(testbed.land_cover(spark, sf), grid, grid, 400, SEED)
+    feat = pixels.feature_stack(testbed.px(spark, sf))
+    out = jobs.train_models(feat, cut_lineage(points), grid, {"landsat": 1997, "sentinel": 2001},
+                            trees=TREES, svm_size=16)
+    return out.accuracy
+
+
+@query("detect_change")
+def detect_change(spark, sf):
+    st = testbed.study(spark, sf)
+    out = jobs.detect_change(testbed.channels(spark, sf), testbed.TRANSITIONS, st.grid, st.change)
+    return out.change_map.groupBy("transition_id", "change").count()
+
+
+@query("sprawl_metrics")
+def sprawl_metrics(spark, sf):
+    """Entropy and landscape tables of the composed job side by side."""
+    out = jobs.sprawl_metrics(testbed.lulc(spark, sf), testbed.study(spark, sf))
+    both = out.entropy.join(out.landscape, "year")
+    return keep(both, ["year", "n_zones"], ["H", "H_rel", "PD", "LPI", "ED", "AI", "MPA"])
+
+
+@query("driver_models")
+def driver_models(spark, sf):
+    """Terms of the logistic and the spatial lag model of the composed job."""
+    out = jobs.driver_models(stack(spark, sf), grid=coarse_grid(testbed.grid(spark, sf), FACTOR))
+    tag = lambda df, m: df.select(F.lit(m).alias("model"), "term", "estimate", "std_error", "p_value")
+    return tag(out.logit, "logistic").unionByName(tag(out.spatial_lag, "spatial_lag"))
