@@ -16,6 +16,7 @@ from landgrid.functions.bands import FEATURES
 from landgrid.operators.classify import class_balance
 from landgrid.operators.patches import overlap_mean, patch_summaries, summary_columns
 from landgrid.operators.stats import binary_metrics
+from landgrid.session import compact
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -27,14 +28,14 @@ def change_model(train: DataFrame, val: DataFrame, channels: Sequence[str] = FEA
     inputs = summary_columns(channels)
     assemble = VectorAssembler(inputCols=inputs, outputCol="raw_", handleInvalid="skip")
     scale = StandardScaler(inputCol="raw_", outputCol="features_", withMean=True)
-    rows = class_balance(train.filter(F.col("y").isNotNull())).withColumn(
-        "label_", F.col("y").cast("double")).cache()
-    val = val.filter(F.col("y").isNotNull()).cache()
+    rows = compact(class_balance(train.filter(F.col("y").isNotNull())).withColumn(
+        "label_", F.col("y").cast("double")))
+    val = compact(val.filter(F.col("y").isNotNull()))
     try:
         best, best_f1 = None, -1.0
         for penalty in penalties:
             fit = Pipeline(stages=[assemble, scale, LogisticRegression(
-                labelCol="label_", featuresCol="features_", weightCol="weight", maxIter=50,
+                labelCol="label_", featuresCol="features_", weightCol="weight", maxIter=25,
                 regParam=penalty)]).fit(rows)
             row = binary_metrics(score_patches(fit, val), []).first()
             f1 = row["F1"] if row is not None and row["F1"] is not None else 0.0

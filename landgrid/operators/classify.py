@@ -19,6 +19,7 @@ from landgrid.functions import classes as C
 from landgrid.functions.bands import FEATURES
 from landgrid.operators.focal import focal_majority
 from landgrid.operators.pixels import denormalize
+from landgrid.session import compact
 
 
 def complete(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -28,12 +29,16 @@ def complete(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
 def rf_train(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "cls",
              cfg: Classification = Classification(), trees: int | None = None) -> PipelineModel:
     """Random forest on the complete rows; four features are tried per split."""
-    rows = complete(df, [*features, label]).withColumn("label_", F.col(label).cast("double"))
+    rows = compact(complete(df, [*features, label]).select(
+        *features, F.col(label).cast("double").alias("label_")))
     forest = RandomForestClassifier(
         labelCol="label_", featuresCol="features_", numTrees=trees or cfg.trees,
         featureSubsetStrategy=str(cfg.features_per_split), maxDepth=10, seed=cfg.seed)
     assemble = VectorAssembler(inputCols=list(features), outputCol="features_", handleInvalid="keep")
-    return Pipeline(stages=[assemble, forest]).fit(rows)
+    try:
+        return Pipeline(stages=[assemble, forest]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def rf_importance(model: PipelineModel, df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -62,6 +67,12 @@ def _fourier_statement(df: DataFrame, features: Sequence[str], gamma: float, siz
     return "SELECT *, " + ", ".join(cols) + " FROM __THIS__"
 
 
+def _training_rows(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Complete labelled rows with labels from 0."""
+    return compact(complete(df, [*features, label]).select(
+        *features, (F.col(label).cast("double") - 1).alias("label_")))
+
+
 def svm_pipeline(df: DataFrame, features: Sequence[str], gamma: float, cost: float, size: int = 48,
                  seed: int = 42, max_iter: int = 20) -> tuple[Pipeline, OneVsRest, LinearSVC]:
     project = SQLTransformer(statement=_fourier_statement(df, features, gamma, size, seed))
@@ -77,8 +88,7 @@ def svm_rbf_train(df: DataFrame, features: Sequence[str] = FEATURES, label: str
                   gamma: float | None = None, cost: float = 1.0, size: int = 48,
                   seed: int = 42, max_iter: int = 20) -> PipelineModel:
     """RBF machine: random Fourier features and one linear machine per class."""
-    rows = complete(df, [*features, label]).withColumn(
-        "label_", F.col(label).cast("double") - 1).cache()
+    rows = _training_rows(df, features, label)
     try:
         pipeline, _, _ = svm_pipeline(rows, features, gamma or 1.0 / len(features), cost, size,
                                       seed, max_iter)
@@ -91,8 +101,7 @@ def svm_tune(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "cl
              cfg: Classification = Classification(), size: int = 48, max_iter: int = 20) -> DataFrame:
     """Cross-validated accuracy of every (cost, gamma), best first."""
     spark = df.sparkSession
-    rows = complete(df, [*features, label]).withColumn(
-        "label_", F.col(label).cast("double") - 1).cache()
+    rows = _training_rows(df, features, label)
     results = []
     try:
         for gamma in cfg.tune_gammas:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landgrid.operators.weights import lag_columns, nearest_neighbours
-from landgrid.session import cut_lineage
+from landgrid.session import compact, cut_lineage
 
 TERMS = "term string, estimate double, std_error double, z_value double, p_value double"
 
@@ -34,7 +34,7 @@ def logistic_regression(df: DataFrame, predictors: Sequence[str], response: str
     data = VectorAssembler(inputCols=[f"s_{c}" for c in names], outputCol="features_").transform(scaled)
     model = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=response,
                                         featuresCol="features_", predictionCol="fit_",
-                                        maxIter=50, tol=1e-10).fit(data.select(response, "features_"))
+                                        maxIter=25, tol=1e-8).fit(compact(data.select(response, "features_")))
     s = model.summary
     r2 = 1.0 - s.deviance / s.nullDeviance if s.nullDeviance else None
     est = [model.intercept, *model.coefficients]

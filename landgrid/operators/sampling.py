@@ -56,9 +56,9 @@ def balance_negatives(df: DataFrame, by: Sequence[str], ids: Sequence[str], rati
 def growth_sample(px: DataFrame, per_stratum: int, seed: int, minimum: int = 10) -> DataFrame:
     """Up to ``per_stratum`` cells of each growth class; fewer than ten of either is an error."""
     known = px.filter(F.col("growth").isNotNull())
-    for k in (0, 1):
-        if known.filter(F.col("growth") == k).limit(minimum).count() < minimum:
-            raise ValueError(f"fewer than {minimum} cells with growth = {k}")
+    sizes = known.agg(*[F.count(F.when(F.col("growth") == k, 1)) for k in (0, 1)]).first()
+    if min(sizes) < minimum:
+        raise ValueError(f"fewer than {minimum} cells of a growth class: {tuple(sizes)}")
     return hash_rank(known, ["growth"], ["cell_id"], seed, top=per_stratum).drop("rk", "group_n")
 
 

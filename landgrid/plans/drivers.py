@@ -11,6 +11,7 @@ from landgrid.config import Grid
 from landgrid.functions import classes as C
 from landgrid.functions import geo
 from landgrid.operators import change, distance, focal, resample, vectors
+from landgrid.session import cut_lineage
 
 PREDICTORS = ("dist_roads", "dist_centre", "dist_urban", "pop_density", "elevation", "slope",
               "ndvi_loss")
@@ -38,9 +39,11 @@ def driver_stack(lulc: DataFrame, y0: int, y1: int, grid: Grid, factor: int,
                  dem: DataFrame | None = None, flat_fill: float = 50_000.0) -> DataFrame:
     """Growth flag and predictors per coarse cell. Layers whose input is missing are left out."""
     coarse = coarse_grid(grid, factor)
-    template = focal.aggregate_modal(lulc, factor, by=()).select("r", "c")
-    near = resample.resample_nearest(lulc.filter(F.col("yr").isin(y0, y1)), grid, coarse,
-                                     ["cls"], ["yr"])
+    # Coarse layers are small beside the class maps: each is computed once and written.
+    template = cut_lineage(lulc.select(F.expr(f"r div {factor}").alias("r"),
+                                       F.expr(f"c div {factor}").alias("c")).distinct())
+    near = cut_lineage(resample.resample_nearest(lulc.filter(F.col("yr").isin(y0, y1)), grid,
+                                                 coarse, ["cls"], ["yr"]))
     wide = change.spread_years(near, ["cls"], [y0, y1], ["r", "c"])
     both = F.col(f"has_{y0}") & F.col(f"has_{y1}")
     growth = wide.filter(both).select("r", "c", C.became(F.col(f"cls_{y0}"), F.col(f"cls_{y1}"))
@@ -49,8 +52,8 @@ def driver_stack(lulc: DataFrame, y0: int, y1: int, grid: Grid, factor: int,
 
     def distance_to(hits: DataFrame, name: str) -> DataFrame:
         cells = stack_layers(template, {"hit": hits.select("r", "c", F.lit(True).alias("hit"))})
-        return distance.distance_transform(cells, "hit", coarse, keep=(), name=name,
-                                           flat_fill=flat_fill)
+        return cut_lineage(distance.distance_transform(cells, "hit", coarse, keep=(), name=name,
+                                                       flat_fill=flat_fill))
 
     if roads is not None:
         layers["dist_roads"] = distance_to(vectors.rasterize_lines(roads, coarse), "dist_roads")
@@ -64,14 +67,14 @@ def driver_stack(lulc: DataFrame, y0: int, y1: int, grid: Grid, factor: int,
         layers["pop_density"] = pop.select("r", "c",
                                            (F.col("pop") / coarse.cell_km2).alias("pop_density"))
     if dem is not None:
-        elev = resample.resample_bilinear(dem, grid, coarse, ["elev"])
+        elev = cut_lineage(resample.resample_bilinear(dem, grid, coarse, ["elev"]))
         layers["elevation"] = elev.select("r", "c", F.col("elev").alias("elevation"))
         numbered = elev.withColumn("cell_id", F.col("r") * coarse.ncols + F.col("c"))
         layers["slope"] = focal.slope_degrees(numbered, coarse.res)
     if ndvi is not None:
-        fine = resample.resample_bilinear(ndvi.filter(F.col("yr").isin(y0, y1)), grid, coarse,
-                                          ["ndvi"], ["yr"])
-        layers["ndvi_loss"] = change.ndvi_loss(fine, y0, y1, ["r", "c"])
+        two = cut_lineage(resample.resample_bilinear(ndvi.filter(F.col("yr").isin(y0, y1)), grid,
+                                                     coarse, ["ndvi"], ["yr"]))
+        layers["ndvi_loss"] = change.ndvi_loss(two, y0, y1, ["r", "c"])
     stack = stack_layers(template, layers)
     return stack.select((F.col("r") * coarse.ncols + F.col("c")).alias("cell_id"), "r", "c",
                         x.alias("x"), y.alias("y"), *layers)

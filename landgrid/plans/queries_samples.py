@@ -22,11 +22,16 @@ QUERIES = {}
 query = register(QUERIES)
 SPRAWL = Sprawl(centre_xy=testbed.CENTRE)
 SEED, FACTOR = 42, 2
-TREES = 25
+TREES = 20
 Y0, Y1 = 1995, 2001
 BY = ["transition_id"]
 
 
+def stored_stack(spark, sf):
+    """The stack as the later steps see it: written once."""
+    return cut_lineage(stack(spark, sf))
+
+
 def stack(spark, sf):
     """Predictor stack on cells of twice the size."""
     px = testbed.px(spark, sf)
@@ -40,7 +45,7 @@ def stack(spark, sf):
 
 def drivers(spark, sf):
     """Complete sampled rows of the stack."""
-    return jobs.sample_drivers(stack(spark, sf), Drivers(), PREDICTORS)[0]
+    return jobs.sample_drivers(stored_stack(spark, sf), Drivers(), PREDICTORS)[0]
 
 
 def sample_weights(df):
@@ -108,7 +113,7 @@ def driver_stack_query(spark, sf):
 
 @query("growth_sample")
 def growth_sample(spark, sf):
-    return sampling.growth_sample(stack(spark, sf), 100, SEED).select("cell_id", "growth")
+    return sampling.growth_sample(stored_stack(spark, sf), 100, SEED).select("cell_id", "growth")
 
 
 @query("regression_frame")
@@ -344,6 +349,6 @@ def sprawl_metrics(spark, sf):
 @query("driver_models")
 def driver_models(spark, sf):
     """Terms of the logistic and the spatial lag model of the composed job."""
-    out = jobs.driver_models(stack(spark, sf), grid=coarse_grid(testbed.grid(spark, sf), FACTOR))
+    out = jobs.driver_models(stored_stack(spark, sf), grid=coarse_grid(testbed.grid(spark, sf), FACTOR))
     tag = lambda df, m: df.select(F.lit(m).alias("model"), "term", "estimate", "std_error", "p_value")
     return tag(out.logit, "logistic").unionByName(tag(out.spatial_lag, "spatial_lag"))

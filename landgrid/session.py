@@ -22,6 +22,8 @@ def local_session(cpus: int | str = 8, app: str = "landgrid") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call-site capture costs several gateway calls per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -77,3 +79,11 @@ def join_bounded(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how:
     if local is None:
         return big.join(small, on, how)
     return big.join(F.broadcast(local), on, how)
+
+
+def compact(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """``df`` cached in as many partitions as its rows need. Iterative solvers run one job per
+    step, so tasks without work would dominate a small training set; a large one keeps its
+    partitions. Release with ``unpersist``."""
+    cached = df.cache()
+    return cached.coalesce(max(1, -(-cached.count() // rows_per_task))).cache()

@@ -18,8 +18,21 @@ _CLASS = """CASE WHEN ok % 13 = 0 THEN NULL WHEN b08 % 100 < 30 + (yr - 1995) *
             WHEN b08 % 100 < 70 THEN 2 WHEN b08 % 100 < 90 THEN 3 ELSE 4 END"""
 
 
+# Column types of the input tables, so that no job is spent on inferring them.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def grid(spark: SparkSession, sf_dir: str) -> Grid:
