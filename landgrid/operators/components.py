@@ -9,11 +9,12 @@ checkpoints.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landgrid.session import cut_lineage
@@ -57,6 +58,25 @@ def _label_tile(pdf: pd.DataFrame, directions: int) -> pd.DataFrame:
     return pdf.assign(label=pdf["cell_id"].to_numpy()[root])
 
 
+def _round_key(turn: int) -> tuple[int, int]:
+    digest = hashlib.md5(f"round {turn}".encode()).digest()
+    return 1 + digest[0] % 63, int.from_bytes(digest[8:], "big", signed=True)
+
+
+def _shuffle(node: Column, turn: int) -> Column:
+    """Reversible pseudo-random order of the labels: rotate the bits and flip some of them. A
+    plain number, so the minimum stays a hash aggregation."""
+    turn_by, mask = _round_key(turn)
+    return F.shiftleft(node, turn_by).bitwiseOR(
+        F.shiftrightunsigned(node, 64 - turn_by)).bitwiseXOR(F.lit(mask))
+
+
+def _unshuffle(rank: Column, turn: int) -> Column:
+    turn_by, mask = _round_key(turn)
+    x = rank.bitwiseXOR(F.lit(mask))
+    return F.shiftrightunsigned(x, turn_by).bitwiseOR(F.shiftleft(x, 64 - turn_by))
+
+
 def contract(edges: DataFrame, by: Sequence[str], max_rounds: int = 200) -> DataFrame | None:
     """Map every node of an undirected graph to the smallest node of its component; ``None``
     for a graph without edges. ``edges`` has columns ``a``, ``b`` next to the group columns."""
@@ -68,11 +88,9 @@ def contract(edges: DataFrame, by: Sequence[str], max_rounds: int = 200) -> Data
         e.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
     nodes = both(edges).select(*by, F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     for turn in range(max_rounds):
-        rank = lambda x: F.struct(F.xxhash64(F.lit(turn), *by, x).alias("h"),  # noqa: B023,E731
-                                  x.alias("n"))
-        near = both(edges).groupBy(*by, "a").agg(F.min(rank(F.col("b"))).alias("m"))
-        hook = near.select(*by, F.col("a").alias("root"),
-                           F.least(F.col("m"), rank(F.col("a")))["n"].alias("up"))
+        near = both(edges).groupBy(*by, "a").agg(F.min(_shuffle(F.col("b"), turn)).alias("m"))
+        hook = near.select(*by, F.col("a").alias("root"), _unshuffle(
+            F.least(F.col("m"), _shuffle(F.col("a"), turn)), turn).alias("up"))
         hook = cut_lineage(hook)
         nodes = cut_lineage(nodes.join(hook, [*by, "root"], "left")
                             .select(*by, "node", F.coalesce("up", "root").alias("root")))

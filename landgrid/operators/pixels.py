@@ -195,6 +195,9 @@ def stack_bands(long: DataFrame, bands: Sequence[str], keys: Sequence[str]) -> D
 
 def mosaic_tiles(tiles: DataFrame, keys: Sequence[str], value: str = "cls",
                  order: str = "tile_order") -> DataFrame:
-    """Overlapping tiles to one grid: the first non-NULL value in tile order."""
-    first = F.min(F.when(F.col(value).isNotNull(), F.struct(order, value)))
-    return tiles.groupBy(*keys).agg(first.alias("f")).select(*keys, F.col(f"f.{value}").alias(value))
+    """Overlapping class tiles to one grid: the first non-NULL class in tile order."""
+    # Order and class packed into one number keep this a hash aggregation.
+    packed = F.when(F.col(value).isNotNull(), F.shiftleft(F.col(order).cast("bigint"), 32)
+                    .bitwiseOR(F.col(value).cast("bigint")))
+    best = tiles.groupBy(*keys).agg(F.min(packed).alias("f"))
+    return best.select(*keys, F.col("f").bitwiseAND(0xFFFFFFFF).cast("int").alias(value))

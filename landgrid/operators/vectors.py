@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from landgrid.config import Grid
 from landgrid.functions import geo
+from landgrid.session import join_bounded
 
 
 def rasterize_lines(segments: DataFrame, grid: Grid) -> DataFrame:
@@ -50,4 +51,7 @@ def extract_at_points(px: DataFrame, points: DataFrame, grid: Grid, layers: Sequ
         points = points.filter(F.col("class").between(1, 4))
     located = points.withColumns({"r": geo.row_of(F.col("y"), grid),
                                   "c": geo.col_of(F.col("x"), grid)})
-    return located.join(px.select("r", "c", *layers), ["r", "c"], how)
+    # The pixels are filtered where they are: only cells with a point reach a shuffle.
+    wanted = located.select("r", "c").distinct()
+    hits = join_bounded(px.select("r", "c", *layers), wanted, ["r", "c"], "left_semi")
+    return located.join(hits, ["r", "c"], how)

@@ -33,7 +33,10 @@ def write_product(df: DataFrame, path: str, overwrite: bool = False,
     old = _stored(df.sparkSession, path)
     if not overwrite and old is not None:
         df = join_bounded(df, old.select(partition).distinct(), partition, "left_anti")
-    (df.sortWithinPartitions(*[c for c in ("r", "c") if c in df.columns])
+    # Rebalancing gives each file one year and a sensible size, splitting a year that is large;
+    # rows sorted by position let row and column filters skip row groups.
+    (df.hint("rebalance", partition)
+       .sortWithinPartitions(partition, *[c for c in ("r", "c") if c in df.columns])
        .write.mode("overwrite" if overwrite else "append")
        .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
 
