@@ -25,8 +25,8 @@ def qa_is_clear(qa: Column) -> Column:
 
 
 def saturate(x: Column) -> Column:
-    """Clamp to [0, 1]; ``least``/``greatest`` skip NULL, so NULL is guarded."""
-    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
+    """Clamp to [0, 1]; NULL takes neither branch and stays NULL."""
+    return F.when(x < 0.0, 0.0).when(x > 1.0, 1.0).otherwise(x)
 
 
 def sentinel_reflectance(dn: Column) -> Column:

@@ -73,12 +73,16 @@ def scale_landsat(df: DataFrame) -> DataFrame:
 
 
 def reflectance(px: DataFrame) -> DataFrame:
-    """Mask and scale both sensors in one pass over the scene table."""
+    """Mask and scale both sensors in one pass over the scene table. Each step is its own
+    projection: small generated methods, which the JVM compiles."""
     landsat = F.col("sensor") == "landsat"
     clear = F.when(landsat, B.qa_is_clear(F.col("qa"))).otherwise(B.scl_is_clear(F.col("scl")))
-    out = {b: F.when(clear, F.when(landsat, B.landsat_reflectance(F.col(b)))
-                     .otherwise(B.sentinel_reflectance(F.col(b)))) for b in B.BANDS}
-    return px.withColumns(out).drop("scl", "qa")
+    flagged = px.withColumn("clear_", clear)
+    masked = flagged.withColumns({b: F.when(F.col("clear_"), F.col(b)).cast("double")
+                                  for b in B.BANDS}).drop("scl", "qa", "clear_")
+    scaled = masked.withColumns({b: F.when(landsat, F.col(b) * 0.0000275 - 0.2)
+                                 .otherwise(F.col(b) / 10000.0) for b in B.BANDS})
+    return scaled.withColumns({b: B.saturate(F.col(b)) for b in B.BANDS})
 
 
 def with_indices(df: DataFrame, names: Sequence[str] = B.INDICES) -> DataFrame:
@@ -101,38 +105,41 @@ def minmax_params(feat: DataFrame, layers: Sequence[str] = B.FEATURES) -> DataFr
                                     F.col(f"max_{n}").alias("max")) for n in layers])))
 
 
-def _params_wide(params: DataFrame, layers: Sequence[str]) -> DataFrame:
-    return params.groupBy(F.col("year").alias("yr"), "sensor").agg(
-        *[F.max(F.when(F.col("layer") == n, F.struct("min", "max"))).alias(f"p_{n}")
-          for n in layers])
+def _params_wide(params: DataFrame, layers: Sequence[str], unique: bool = False) -> DataFrame:
+    """One row per year and sensor with ``lo_<layer>`` and ``spread_<layer>``, both NULL where
+    they cannot be used: not finite, no spread, or (``unique``) more than one parameter row."""
+    inf = float("inf")
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)
+    own = lambda n, e: F.max(F.when(F.col("layer") == n, e))
+    wide = params.groupBy(F.col("year").alias("yr"), "sensor").agg(*[e for n in layers for e in (
+        own(n, F.col("min")).alias(f"lo_{n}"), own(n, F.col("max")).alias(f"hi_{n}"),
+        F.count(F.when(F.col("layer") == n, 1)).alias(f"k_{n}"))])
+
+    def usable(n: str):
+        lo, hi = F.col(f"lo_{n}"), F.col(f"hi_{n}")
+        if unique:
+            return F.col(f"k_{n}") == 1
+        return finite(lo) & finite(hi) & (F.abs(hi - lo) >= 1e-6)
+
+    return wide.select("yr", "sensor", *[e for n in layers for e in (
+        F.when(usable(n), F.col(f"lo_{n}")).alias(f"lo_{n}"),
+        F.when(usable(n), F.col(f"hi_{n}") - F.col(f"lo_{n}")).alias(f"spread_{n}"))])
 
 
 def minmax_normalize(feat: DataFrame, params: DataFrame,
                      layers: Sequence[str] = B.FEATURES) -> DataFrame:
     """(x - min) / (max - min) per layer and year. A layer without spread becomes x * 0."""
-    def scaled(n: str):
-        lo, hi = F.col(f"p_{n}.min"), F.col(f"p_{n}.max")
-        spread = hi - lo
-        inf = float("inf")
-        usable = (lo.isNotNull() & hi.isNotNull() & ~F.isnan(lo) & ~F.isnan(hi)
-                  & (F.abs(lo) < inf) & (F.abs(hi) < inf) & (F.abs(spread) >= 1e-6))
-        return F.when(usable, (F.col(n) - lo) / spread).otherwise(F.col(n) * 0.0)
-
     joined = join_bounded(feat, _params_wide(params, layers), ["yr", "sensor"], "left")
-    return joined.withColumns({n: scaled(n) for n in layers}).select(*feat.columns)
+    scaled = {n: F.when(F.col(f"spread_{n}").isNull(), F.col(n) * 0.0)
+              .otherwise((F.col(n) - F.col(f"lo_{n}")) / F.col(f"spread_{n}")) for n in layers}
+    return joined.withColumns(scaled).select(*feat.columns)
 
 
 def denormalize(norm: DataFrame, params: DataFrame, layers: Sequence[str]) -> DataFrame:
     """Back to physical values, as ``raw_<layer>``; NULL unless exactly one parameter row
     describes the layer-year."""
-    wide = params.groupBy(F.col("year").alias("yr"), "sensor").agg(
-        *[e for n in layers for e in (
-            F.count(F.when(F.col("layer") == n, 1)).alias(f"k_{n}"),
-            F.max(F.when(F.col("layer") == n, F.struct("min", "max"))).alias(f"p_{n}"))])
-    joined = join_bounded(norm, wide, ["yr", "sensor"], "left")
-    out = {f"raw_{n}": F.when(F.col(f"k_{n}") == 1,
-                              F.col(n) * (F.col(f"p_{n}.max") - F.col(f"p_{n}.min"))
-                              + F.col(f"p_{n}.min")) for n in layers}
+    joined = join_bounded(norm, _params_wide(params, layers, unique=True), ["yr", "sensor"], "left")
+    out = {f"raw_{n}": F.col(n) * F.col(f"spread_{n}") + F.col(f"lo_{n}") for n in layers}
     return joined.withColumns(out).select(*norm.columns, *out)
 
 

@@ -37,20 +37,25 @@ def with_ring_bounds(df: DataFrame, cfg: Sprawl) -> DataFrame:
 
 def with_rings_touched(px: DataFrame, grid: Grid, cfg: Sprawl) -> DataFrame:
     """One row per ring that a cell's square reaches, so border cells count in both rings."""
-    def reach(index: Column, origin: float, centre: float):
-        lo = F.lit(origin) + index * grid.res - centre
-        hi = lo + grid.res
-        near = F.when((lo <= 0) & (hi >= 0), F.lit(0.0)).otherwise(F.least(F.abs(lo), F.abs(hi)))
-        return near, F.greatest(F.abs(lo), F.abs(hi))
-
-    nx, fx = reach(F.col("c"), grid.x0, cfg.centre_xy[0])
-    ny, fy = reach(F.col("r"), grid.y0, cfg.centre_xy[1])
-    near, far = F.sqrt(nx * nx + ny * ny), F.sqrt(fx * fx + fy * fy)
-    first = F.greatest(F.ceil(near / cfg.ring_step).cast("bigint"), F.lit(1).cast("bigint"))
-    last = F.least(F.ceil(far / cfg.ring_step).cast("bigint"),
-                   F.lit(ring_count(cfg)).cast("bigint"))
-    return (px.withColumn("rings", F.when(first <= last, F.sequence(first, last)))
-            .withColumn("zone_id", F.explode("rings")).drop("rings"))
+    def reach(df: DataFrame, index: str, origin: float, centre: float) -> DataFrame:
+        """Nearest (``n_``) and farthest (``f_``) distance of the square along one axis."""
+        lo = F.col(index) * grid.res + (origin - centre)
+        df = df.withColumns({f"a_{index}": F.abs(lo), f"b_{index}": F.abs(lo + grid.res),
+                             f"in_{index}": (lo <= 0) & (lo >= -grid.res)})
+        a, b = F.col(f"a_{index}"), F.col(f"b_{index}")
+        return df.withColumns({
+            f"n_{index}": F.when(F.col(f"in_{index}"), 0.0).otherwise(F.least(a, b)),
+            f"f_{index}": F.greatest(a, b)})
+
+    long = reach(reach(px, "c", grid.x0, cfg.centre_xy[0]), "r", grid.y0, cfg.centre_xy[1])
+    length = lambda t: F.sqrt(F.col(f"{t}_c") * F.col(f"{t}_c")
+                              + F.col(f"{t}_r") * F.col(f"{t}_r"))
+    ring = lambda d: F.ceil(d / cfg.ring_step).cast("bigint")
+    long = long.withColumns({
+        "first_": F.greatest(ring(length("n")), F.lit(1).cast("bigint")),
+        "last_": F.least(ring(length("f")), F.lit(ring_count(cfg)).cast("bigint"))})
+    return long.filter("first_ <= last_").select(
+        *px.columns, F.explode(F.sequence("first_", "last_")).alias("zone_id"))
 
 
 def with_sector(px: DataFrame, grid: Grid, cfg: Sprawl) -> DataFrame:

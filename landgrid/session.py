@@ -81,7 +81,7 @@ def join_bounded(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how:
     return big.join(F.broadcast(local), on, how)
 
 
-def compact(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+def compact(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
     """``df`` cached in as many partitions as its rows need. Iterative solvers run one job per
     step, so tasks without work would dominate a small training set; a large one keeps its
     partitions. Release with ``unpersist``."""
