@@ -24,6 +24,8 @@ def local_session(cpus: int | str = 8, app: str = "landgrid") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Call-site capture costs several gateway calls per column expression.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # The JVM does not compile methods beyond 8000 bytes: let wide projections fall back.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
