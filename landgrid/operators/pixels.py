@@ -95,16 +95,27 @@ def feature_stack(px: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return with_indices(reflectance(px)).select(*keys, *B.FEATURES)
 
 
-def minmax_params(feat: DataFrame, layers: Sequence[str] = B.FEATURES) -> DataFrame:
-    """Minimum and maximum of each layer by year and sensor, in long form; NULLs ignored."""
-    wide = feat.groupBy("yr", "sensor").agg(
-        *[e for n in layers for e in (F.min(n).alias(f"min_{n}"), F.max(n).alias(f"max_{n}"))])
-    return wide.select(
+def layer_stats(feat: DataFrame, layers: Sequence[str] = B.FEATURES) -> DataFrame:
+    """One row per year and sensor with minimum, maximum and known cells of every layer: the
+    single pass behind the parameters and the quality figures."""
+    return feat.groupBy("yr", "sensor").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[e for n in layers for e in (F.min(n).alias(f"min_{n}"), F.max(n).alias(f"max_{n}"),
+                                      F.count(n).alias(f"k_{n}"))])
+
+
+def params_of(layer_table: DataFrame, layers: Sequence[str] = B.FEATURES) -> DataFrame:
+    return layer_table.select(
         F.col("yr").alias("year"), "sensor",
         F.inline(F.array(*[F.struct(F.lit(n).alias("layer"), F.col(f"min_{n}").alias("min"),
                                     F.col(f"max_{n}").alias("max")) for n in layers])))
 
 
+def minmax_params(feat: DataFrame, layers: Sequence[str] = B.FEATURES) -> DataFrame:
+    """Minimum and maximum of each layer by year and sensor, in long form; NULLs ignored."""
+    return params_of(layer_stats(feat, layers), layers)
+
+
 def _params_wide(params: DataFrame, layers: Sequence[str], unique: bool = False) -> DataFrame:
     """One row per year and sensor with ``lo_<layer>`` and ``spread_<layer>``, both NULL where
     they cannot be used: not finite, no spread, or (``unique``) more than one parameter row."""
@@ -143,21 +154,21 @@ def denormalize(norm: DataFrame, params: DataFrame, layers: Sequence[str]) -> Da
     return joined.withColumns(out).select(*norm.columns, *out)
 
 
-def quality_checks(feat: DataFrame, layers: Sequence[str] = B.FEATURES) -> DataFrame:
-    """Per year: NULL share of each layer, NDVI and NDBI range, lowest reflectance."""
-    agg = feat.groupBy("yr", "sensor").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(n).alias(f"k_{n}") for n in layers],
-        *[f(n).alias(f"{tag}_{n}") for n in ("ndvi", "ndbi") for tag, f in
-          (("min", F.min), ("max", F.max))],
-        F.least(*[F.min(b) for b in B.BANDS]).alias("min_reflectance"))
-    return agg.select(
-        F.col("yr"), "sensor", "min_ndvi", "max_ndvi", "min_ndbi", "max_ndbi", "min_reflectance",
+def quality_of(layer_table: DataFrame, layers: Sequence[str] = B.FEATURES) -> DataFrame:
+    lowest = F.least(*[F.col(f"min_{b}") for b in B.BANDS])
+    return layer_table.select(
+        "yr", "sensor", "min_ndvi", "max_ndvi", "min_ndbi", "max_ndbi",
+        lowest.alias("min_reflectance"),
         F.inline(F.array(*[F.struct(F.lit(n).alias("layer"),
                                     (1.0 - F.col(f"k_{n}") / F.col("n")).alias("null_share"))
                            for n in layers])))
 
 
+def quality_checks(feat: DataFrame, layers: Sequence[str] = B.FEATURES) -> DataFrame:
+    """Per year: NULL share of each layer, NDVI and NDBI range, lowest reflectance."""
+    return quality_of(layer_stats(feat, layers), layers)
+
+
 def aoi_crop(df: DataFrame, box: tuple[float, float, float, float], grid: Grid) -> DataFrame:
     """Cells whose centre lies in the box, as literal ranges on the stored row and column so
     the filter reaches the file statistics."""

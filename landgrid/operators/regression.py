@@ -32,19 +32,21 @@ def logistic_regression(df: DataFrame, predictors: Sequence[str], response: str
     names = list(sd)
     scaled = df.withColumns({f"s_{c}": F.col(c) / sd[c] for c in names})
     data = VectorAssembler(inputCols=[f"s_{c}" for c in names], outputCol="features_").transform(scaled)
+    rows = compact(data.select(response, "features_"))
     model = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=response,
                                         featuresCol="features_", predictionCol="fit_",
-                                        maxIter=25, tol=1e-8).fit(compact(data.select(response, "features_")))
+                                        maxIter=25, tol=1e-8).fit(rows)
     s = model.summary
     r2 = 1.0 - s.deviance / s.nullDeviance if s.nullDeviance else None
     est = [model.intercept, *model.coefficients]
     # The summary lists the intercept last.
     turn = lambda v: [v[-1], *v[:-1]]
     se, z, p = (turn(list(v)) for v in (s.coefficientStandardErrors, s.tValues, s.pValues))
+    rows.unpersist()
     scale = [1.0, *sd.values()]
-    rows = [(t, float(e / k), float(x / k), float(a), float(b), math.exp(min(e / k, 700.0)), r2)
-            for t, e, x, a, b, k in zip(["(Intercept)", *names], est, se, z, p, scale)]
-    table = df.sparkSession.createDataFrame(rows, TERMS + ", odds_ratio double, pseudo_r2 double")
+    terms = [(t, float(e / k), float(x / k), float(a), float(b), math.exp(min(e / k, 700.0)), r2)
+              for t, e, x, a, b, k in zip(["(Intercept)", *names], est, se, z, p, scale)]
+    table = df.sparkSession.createDataFrame(terms, TERMS + ", odds_ratio double, pseudo_r2 double")
     if not residuals:
         return table
     fitted = model.transform(data).withColumn("z", F.col(response) - F.col("fit_"))

@@ -21,10 +21,12 @@ from landgrid.session import cut_lineage, join_bounded
 
 
 def preprocess_year(px: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Raw scenes of all years to normalised features, their parameters and quality figures."""
+    """Raw scenes of all years to normalised features, their parameters and quality figures.
+    Two passes over the scenes: one for all statistics, one to normalise."""
     feat = pixels.feature_stack(px)
-    params = pixels.minmax_params(feat)
-    return pixels.minmax_normalize(feat, params), params, pixels.quality_checks(feat)
+    layer_table = cut_lineage(pixels.layer_stats(feat))
+    params = pixels.params_of(layer_table)
+    return pixels.minmax_normalize(feat, params), params, pixels.quality_of(layer_table)
 
 
 def auto_training_samples(land_cover: DataFrame, src: Grid, dst: Grid, per_class: int,

@@ -27,6 +27,7 @@ def local_session(cpus: int | str = 8, app: str = "landgrid") -> SparkSession:
         # The JVM does not compile methods beyond 8000 bytes: let wide projections fall back.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -87,5 +88,8 @@ def compact(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
     """``df`` cached in as many partitions as its rows need. Iterative solvers run one job per
     step, so tasks without work would dominate a small training set; a large one keeps its
     partitions. Release with ``unpersist``."""
-    cached = df.cache()
-    return cached.coalesce(max(1, -(-cached.count() // rows_per_task))).cache()
+    whole = df.cache()
+    out = whole.coalesce(max(1, -(-whole.count() // rows_per_task))).cache()
+    out.count()
+    whole.unpersist()
+    return out

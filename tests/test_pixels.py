@@ -173,3 +173,13 @@ def test_correlation_uses_pairwise_rows(spark):
     assert got["b"]["b"] == 1.0
     low = report.corr_lower(stats.correlation_matrix(df, ["a", "b"]), ["a", "b"]).collect()
     assert len(low) == 3
+
+
+def test_shared_dir_follows_the_session(spark, tmp_path):
+    from landgrid.session import shared_dir
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert shared_dir(spark) == str(tmp_path)
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    assert shared_dir(spark).startswith("/tmp/spark-")
