@@ -175,11 +175,16 @@ def test_correlation_uses_pairwise_rows(spark):
     assert len(low) == 3
 
 
-def test_shared_dir_follows_the_session(spark, tmp_path):
+def test_shared_dir_follows_the_session(spark):
+    from types import SimpleNamespace
+
     from landgrid.session import shared_dir
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert shared_dir(spark) == str(tmp_path)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+
+    def session(master, configured=None):
+        conf = SimpleNamespace(get=lambda k, d=None: configured if k == "spark.checkpoint.dir" else d)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("yarn", "hdfs://shared/cp/")) == "hdfs://shared/cp"
+    with pytest.raises(RuntimeError):
+        shared_dir(session("yarn"))
     assert shared_dir(spark).startswith("/tmp/spark-")
