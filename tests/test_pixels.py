@@ -175,16 +175,18 @@ def test_correlation_uses_pairwise_rows(spark):
     assert len(low) == 3
 
 
-def test_shared_dir_follows_the_session(spark):
+def test_shared_dir_follows_the_session():
     from types import SimpleNamespace
 
     from landgrid.session import shared_dir
 
     def session(master, configured=None):
-        conf = SimpleNamespace(get=lambda k, d=None: configured if k == "spark.checkpoint.dir" else d)
+        known = {"spark.checkpoint.dir": configured} if configured else {}
+        conf = SimpleNamespace(get=known.get, set=known.__setitem__)
         return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
 
     assert shared_dir(session("yarn", "hdfs://shared/cp/")) == "hdfs://shared/cp"
     with pytest.raises(RuntimeError):
         shared_dir(session("yarn"))
-    assert shared_dir(spark).startswith("/tmp/spark-")
+    alone = session("local[2]")
+    assert shared_dir(alone).startswith("/tmp/spark-") and shared_dir(alone) == shared_dir(alone)
