@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from landgrid.llm.jaccard import JaccardJoin
+from landgrid.llm.substrings import SubstringDedup
 from landgrid.plans.common import Query, register
 
 QUERIES: dict[str, Query] = {}
@@ -19,3 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(table(spark, sf_dir, "documents")).components()
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SubstringDedup(table(spark, sf_dir, "documents")).run()
+
+
+ORACLES["op9_substring_dedup"] = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram FROM p WHERE i + 12 <= len(ws)),
+f AS (SELECT gram, min(doc_id) AS first_doc FROM g GROUP BY gram),
+hit AS (SELECT g.doc_id, g.i FROM g JOIN f USING (gram) WHERE f.first_doc < g.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM hit),
+kept AS (SELECT p.doc_id, string_agg(p.ws[p.i], ' ' ORDER BY p.i) AS kept FROM p
+         LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.i = p.i WHERE gone.i IS NULL GROUP BY p.doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(n.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
