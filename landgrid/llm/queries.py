@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from landgrid.llm.jaccard import JaccardJoin
+from landgrid.llm.neighbours import ForestIndex
 from landgrid.llm.substrings import SubstringDedup
 from landgrid.plans.common import Query, register
 
@@ -41,3 +42,10 @@ SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(n.n_removed
        sha256(coalesce(kept.kept, '')) AS kept_sha256
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
+
+
+@query("op10_nearest_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ForestIndex(table(spark, sf_dir, "embeddings"))
+    queries = index.points.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return index.nearest(queries)
