@@ -12,8 +12,10 @@ where full subsets run short.
 
 Rows of the index are shuffled and sorted by key once and read as a stream of runs, so no key is ever held
 in memory. Each run proposes its head to all other members; after these are verified and joined by
-union-find, only members of one run that are still apart are paired. Every pair is verified on the whole
-texts, so hash collisions of the index cost time only.
+union-find, members of one run that are still apart are compared, in blocks of bounded size, by the parity
+bits of their sets (every differing shingle flips one bit at most, so more differing bits than differing
+shingles allowed rule a pair out), and what passes is verified. Verification takes the whole texts, so hash
+collisions of the index cost time only.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from landgrid.llm.store import keep
 from landgrid.llm.tokens import U64, chunks, longs, mix, shingle_sets
 
 TOP = 1 << 40
+PARITY = 2048
 
 
 def band_starts(percent: int) -> np.ndarray:
@@ -204,6 +207,74 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
         scan, "a long, b long, shared long")
 
 
+def signatures(texts: DataFrame, words: int) -> DataFrame:
+    """(doc, size, bits): size and parity bits of each document's set."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            bits, sizes = [], []
+            for s in shingle_sets(batch.column("text"), words):
+                odd = np.bincount((mix(s) % U64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())],
+                                             ["doc", "size", "bits"])
+
+    return texts.mapInArrow(scan, "doc long, size long, bits binary")
+
+
+def paired(members: DataFrame, signed: DataFrame, percent: int, block: int = 4096) -> DataFrame:
+    """Pairs (a, b), a > b, of members (key, doc, probes, part) that share a key of which one probes, belong to
+    different parts, and may link by their sizes and parity bits. Keys of more members than ``block`` are
+    dealt out as pairs of blocks."""
+    names = ["key", "i", "j", "doc", "probes", "part", "size", "bits", "own"]
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        col = {n: rows.column(n).to_numpy() for n in names if n != "bits"}
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(rows), -1)
+        begins = np.ones(len(rows), bool)
+        begins[1:] = (col["key"][1:] != col["key"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])
+        group = np.cumsum(begins)
+        ends = np.searchsorted(group, group, "right")
+        at, found = np.arange(len(rows)), []
+        for step in range(1, len(rows)):
+            at = at[at + step < ends[at]]
+            if not len(at):
+                break
+            to = at + step
+            small, large = np.minimum(col["size"][at], col["size"][to]), np.maximum(col["size"][at], col["size"][to])
+            ok = (col["part"][at] != col["part"][to]) & (col["probes"][at] | col["probes"][to]) & (100 * small >= percent * large)
+            # Two members of one block meet where both indices are that block.
+            ok &= (col["own"][at] != col["own"][to]) | (col["i"][at] == col["j"][at])
+            x, y = at[ok], to[ok]
+            gap = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            ok = gap <= tolerated(col["size"][x] + col["size"][y], percent)
+            found.append(np.stack([col["doc"][x[ok]], col["doc"][y[ok]]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        pairs = np.unique(np.stack([pairs.max(axis=0), pairs.min(axis=0)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches(([held] if held is not None else []) + [batch]).combine_chunks()
+            key = np.stack([held.column(n).to_numpy() for n in ("key", "i", "j")])
+            last = int(np.flatnonzero((key != key[:, -1:]).any(axis=0)).max(initial=-1)) + 1
+            if last:
+                yield compare(held.slice(0, last))
+            held = held.slice(last).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield compare(pa.Table.from_batches([held]))
+
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(doc), blocks) as int)")).withColumn(
+        "other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    rows = dealt.join(signed, "doc").select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(scan, "a long, b long").distinct()
+
+
 class JaccardJoin:
     """Exact join of documents whose sets of word shingles reach ``percent`` of Jaccard likeness.
 
@@ -238,18 +309,12 @@ class JaccardJoin:
         heads = rows.select("key", F.col("head").alias("doc"), F.lit(True).alias("probes"))
         return rows.select("key", "doc", "probes").unionByName(heads).groupBy("key", "doc").agg(F.max("probes").alias("probes"))
 
-    @staticmethod
-    def _paired(members: DataFrame, apart: str) -> DataFrame:
-        """Pairs of one run of which at least one probes and ``apart`` differs."""
-        left = members.select("key", F.col("doc").alias("b"), F.col("probes").alias("p"), F.col(apart).alias("x"))
-        right = members.select("key", F.col("doc").alias("a"), F.col("probes").alias("q"), F.col(apart).alias("y"))
-        return left.join(right, "key").where("b < a and x <> y and (p or q)").select("a", "b").distinct()
-
     def links(self) -> DataFrame:
         """(a, b, shared) of every linked pair of different sets, a > b, both the first of their class."""
         rows = self._candidates()
-        pairs = self._paired(self._members(rows), "doc")
-        return verified(pairs, self._texts(rows), self.words, self.percent)
+        texts = self._texts(rows)
+        members = self._members(rows).withColumn("part", F.col("doc"))
+        return verified(paired(members, signatures(texts, self.words), self.percent), texts, self.words, self.percent)
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, class_id): the smallest document within reach of links, itself
@@ -257,16 +322,14 @@ class JaccardJoin:
         verified again."""
         rows = self._candidates()
         texts = self._texts(rows)
-        votes = rows.groupBy(F.greatest("doc", "head").alias("a"), F.least("doc", "head").alias("b")).agg(F.count("*").alias("n"))
-        best = votes.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-        first = keep(best, "first")
+        first = keep(rows.select(F.greatest("doc", "head").alias("a"), F.least("doc", "head").alias("b")).distinct(), "first")
         linked = keep(verified(first, texts, self.words, self.percent), "linked")
         label = keep(components(linked), "labels")
         members = self._members(rows).join(label.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "key", "doc", "probes", F.coalesce("component", "doc").alias("component"))
+            "key", "doc", "probes", F.coalesce("component", "doc").alias("part"))
         members = keep(members, "members")
-        mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        rest = self._paired(members.join(mixed.select("key"), "key"), "component").join(first, ["a", "b"], "left_anti")
+        mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+        rest = paired(members.join(mixed, "key"), signatures(texts, self.words), self.percent).join(first, ["a", "b"], "left_anti")
         more = verified(keep(rest, "rest"), texts, self.words, self.percent)
         label = components(keep(linked.unionByName(more), "links"))
         reps = self.classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
