@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from landgrid.llm.jaccard import JaccardJoin
 from landgrid.llm.neighbours import ForestIndex
+from landgrid.llm.quality import QualityClassifier
 from landgrid.llm.substrings import SubstringDedup
+from landgrid.llm.toxicity import ToxicityChain
 from landgrid.plans.common import Query, register
 
 QUERIES: dict[str, Query] = {}
@@ -49,3 +51,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = ForestIndex(table(spark, sf_dir, "embeddings"))
     queries = index.points.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     return index.nearest(queries)
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return QualityClassifier(docs, table(spark, sf_dir, "labels")).judge(docs)
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ToxicityChain(docs, table(spark, sf_dir, "labels")).judge(docs)

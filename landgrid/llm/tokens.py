@@ -20,6 +20,9 @@ CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between plain words: all of ASCII but letters and digits.
+MARKS = np.ones(256, dtype=bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -83,8 +86,8 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0]:offs[-1]], offs - offs[0]
 
 
-def split_words(data: np.ndarray, offs: np.ndarray) -> Words:
-    word = ~SPACE[data]
+def split_words(data: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> Words:
+    word = ~between[data]
     begin, end = word.copy(), word.copy()
     begin[1:] &= ~word[:-1]
     end[:-1] &= ~word[1:]
