@@ -207,6 +207,12 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
         scan, "a long, b long, shared long")
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bits of which each element of a set flips one."""
+    odd = np.bincount((mix(s) % U64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def signatures(texts: DataFrame, words: int) -> DataFrame:
     """(doc, size, bits): size and parity bits of each document's set."""
 
@@ -214,8 +220,7 @@ def signatures(texts: DataFrame, words: int) -> DataFrame:
         for batch in chunks(batches):
             bits, sizes = [], []
             for s in shingle_sets(batch.column("text"), words):
-                odd = np.bincount((mix(s) % U64(PARITY)).astype(np.int64), minlength=PARITY) & 1
-                bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                bits.append(parity(s))
                 sizes.append(len(s))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())],
                                              ["doc", "size", "bits"])

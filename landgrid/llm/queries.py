@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from landgrid.llm.jaccard import JaccardJoin
+from landgrid.llm.lines import LineDedup
 from landgrid.llm.neighbours import ForestIndex
 from landgrid.llm.quality import QualityClassifier
 from landgrid.llm.substrings import SubstringDedup
@@ -63,3 +65,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ToxicityChain(docs, table(spark, sf_dir, "labels")).judge(docs)
+
+
+@query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LineDedup(table(spark, sf_dir, "documents")).cut().select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
