@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.llm.labelled import narrow
-from landgrid.llm.tokens import chunks
+from landgrid.llm.store import packed, unpacked
 
 NEVER = 2_147_483_647
 LONG_PIECE = 512
@@ -139,31 +139,14 @@ class ByteBpe:
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         blocks = max(8, -(-total // self.block_bytes))
 
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codec = pa.Codec("zstd", compression_level=3)
-            for batch in chunks(batches):
-                texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int32()),
-                     pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], ["doc_id", "size", "packed"])
-
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codec = pa.Codec("zstd")
-            for batch in batches:
-                texts, held, first = [], 0, 0
-                sizes = batch.column("size").to_pylist()
-                for i, (size, packed) in enumerate(zip(sizes, batch.column("packed").to_pylist())):
-                    texts.append(codec.decompress(packed, size, asbytes=True) if size else b"")
-                    held += size
-                    if held > 1 << 22 or i + 1 == len(sizes):
-                        cut = batch.slice(first, i + 1 - first)
-                        yield pa.RecordBatch.from_arrays([cut.column("block"), cut.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string())],
-                                                         ["block", "doc_id", "text"])
-                        texts, held, first = [], 0, i + 1
-
-        packed = rows.mapInArrow(pack, "doc_id long, size int, packed binary").withColumn(
+            for batch in unpacked(batches, 1 << 22):
+                yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("doc_id"), batch.column("text").cast(pa.string())],
+                                                 ["block", "doc_id", "text"])
+
+        small = packed(rows).withColumn(
             "block", F.pmod(F.xxhash64("doc_id", "packed"), F.lit(blocks)).cast("int"))
-        texts = packed.repartition(blocks, "block").mapInArrow(unpack, "block int, doc_id long, text string")
+        texts = small.repartition(blocks, "block").mapInArrow(unpack, "block int, doc_id long, text string")
         cut = texts.select("block", "doc_id", F.regexp_extract_all("text", F.lit(self.pattern), F.lit(0)).alias("pieces"))
         seen = cut.select("block", F.explode("pieces").alias("piece")).distinct()
         words = seen.groupBy("piece").agg(F.collect_list("block").alias("blocks"))

@@ -21,7 +21,7 @@ from landgrid.llm.graph import components
 from landgrid.llm.jaccard import paired, parity
 from landgrid.llm.labelled import narrow
 from landgrid.llm.runs import head_of_runs
-from landgrid.llm.store import keep
+from landgrid.llm.store import keep, packed, unpacked
 from landgrid.llm.tokens import LOWER, U64, chunks, longs, mix, powers, raw
 
 U32 = np.uint32
@@ -158,7 +158,7 @@ class LineDedup:
     def texts(self, wanted: DataFrame) -> DataFrame:
         """(name, line): bytes of the lines at (name, doc, place)."""
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches):
+            for batch in unpacked(batches):
                 data, offs = raw(batch.column("text"))
                 starts, ends, owner = split_lines(LOWER[data], offs)
                 first = np.searchsorted(owner, np.arange(batch.num_rows))
@@ -171,7 +171,7 @@ class LineDedup:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(lines, pa.binary())], ["name", "line"])
 
         lists = wanted.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("name", "place")).alias("places"))
-        return self.narrow.join(lists, "doc_id").mapInArrow(scan, "name long, line binary")
+        return packed(self.narrow).join(lists, "doc_id").mapInArrow(scan, "name long, line binary")
 
     def _signed(self, lines: DataFrame) -> DataFrame:
         """(doc, size, bits) of lines, for ``paired``."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrid.llm.runs import shared_runs
-from landgrid.llm.store import keep
+from landgrid.llm.store import keep, packed, unpacked
 from landgrid.llm.tokens import U64, Words, chunks, longs, mix, ngrams, raw, split_words, window_starts
 
 SPAN = "array<struct<start:int,size:int,path:long,same:boolean>>"
@@ -139,7 +139,7 @@ class SubstringDedup:
         window, seed = self.window, self.seed
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches):
+            for batch in unpacked(batches):
                 words = _words(batch)
                 hashed = words.hashes()
                 at, place, _ = least_seeds(hashed, words, window, seed)
@@ -163,7 +163,7 @@ class SubstringDedup:
                         [keys[cut], pa.array(ids[owner[cut]]), pa.array((at[cut] - words.first[owner[cut]]).astype(np.int32)),
                          pa.array(before[cut]), pa.array(after[cut])], ["edge", "doc", "pos", "before", "after"])
 
-        return self.docs.join(marks, "doc_id").mapInArrow(scan, "edge long, doc long, pos int, before int, after int")
+        return packed(self.docs).join(marks, "doc_id").mapInArrow(scan, "edge long, doc long, pos int, before int, after int")
 
     @staticmethod
     def repeated(edges: DataFrame) -> DataFrame:
@@ -206,14 +206,14 @@ class SubstringDedup:
             F.collect_list(F.struct("start", "size", "path", "same")).alias("spans"))
         copy = copies.where("doc_id <> rep").select("doc_id", F.lit(True).alias("copy"))
         # Null ids meet nothing.
-        rows = docs.join(lists.join(copy, "doc_id", "full"), "doc_id", "left").select("doc_id", "text", "copy", F.col("spans").cast(SPAN))
+        rows = packed(docs).join(lists.join(copy, "doc_id", "full"), "doc_id", "left").select("doc_id", "size", "packed", "copy", F.col("spans").cast(SPAN))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches):
+            for batch in unpacked(batches):
                 n, gone, sha, found = [], [], [], []
                 texts = batch.column("text").to_pylist()
                 for text, copy, spans in zip(texts, batch.column("copy").to_pylist(), batch.column("spans").to_pylist()):
-                    words = (text or "").encode().split()
+                    words = text.split()
                     cover = np.zeros(len(words) + 1, np.int32)
                     seen = []
                     for s in spans or ():
@@ -264,7 +264,8 @@ class SubstringDedup:
     def run(self) -> DataFrame:
         """(doc_id, n_words, n_removed, kept_sha256) of every document."""
         copies = keep(self.first_copies(), "copies")
-        repeated = keep(self.repeated(self.edges(self.marks(copies))), "edges")
+        marks = keep(self.marks(copies), "marks")
+        repeated = keep(self.repeated(self.edges(marks)), "edges")
         paths = self.paths(repeated)
         spans = keep(self.spans(repeated, paths), "spans")
         docs = self.docs
