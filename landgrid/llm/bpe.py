@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.llm.labelled import narrow
-from landgrid.llm.store import packed, unpacked
+from landgrid.llm.store import keep, packed, unpacked
 
 NEVER = 2_147_483_647
 LONG_PIECE = 512
@@ -149,8 +149,8 @@ class ByteBpe:
         texts = small.repartition(blocks, "block").mapInArrow(unpack, "block int, doc_id long, text string")
         cut = texts.select("block", "doc_id", F.regexp_extract_all("text", F.lit(self.pattern), F.lit(0)).alias("pieces"))
         seen = cut.select("block", F.explode("pieces").alias("piece")).distinct()
-        words = seen.groupBy("piece").agg(F.collect_list("block").alias("blocks"))
-        known = self.encode_pieces(words).select(F.explode("blocks").alias("block"), "piece", "ids")
+        words = keep(seen.groupBy("piece").agg(F.collect_list("block").alias("blocks")), "pieces")
+        known = self.encode_pieces(words).select(F.explode("blocks").alias("block"), "piece", "ids").repartition(blocks, "block")
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
         def together(docs_: pa.Table, words_: pa.Table) -> Iterator[pa.RecordBatch]:
