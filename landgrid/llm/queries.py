@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.llm.bpe import ByteBpe
+from landgrid.llm.imatch import IMatch
 from landgrid.llm.jaccard import JaccardJoin
 from landgrid.llm.lines import LineDedup
 from landgrid.llm.neighbours import ForestIndex
@@ -83,3 +84,41 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                       F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
+
+
+@query("op2_document_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return IMatch(table(spark, sf_dir, "documents")).compare()
+
+
+ORACLES["op2_document_fingerprints"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+o AS (SELECT *, lead(t) OVER (ORDER BY doc_id DESC) AS l, lead(doc_id) OVER (ORDER BY doc_id DESC) AS li,
+      first_value(t) OVER (ORDER BY doc_id DESC) AS f, first_value(doc_id) OVER (ORDER BY doc_id DESC) AS fi FROM d),
+e AS (SELECT doc_id, n, t, coalesce(li, fi) AS next_id, substring(t, 1, n - n // 2) || substring(coalesce(l, f), 1, n // 2) AS x FROM o),
+both_ AS (SELECT doc_id, 0 AS k, t AS s FROM d UNION ALL SELECT doc_id, 1, x FROM e),
+w AS (SELECT DISTINCT doc_id, k, unnest(regexp_extract_all(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM both_),
+lex AS (SELECT term FROM (SELECT term, count(*) AS df FROM w WHERE k = 0 GROUP BY term)
+        WHERE df >= 2 AND df <= 0.2 * (SELECT count(*) FROM documents) ORDER BY df DESC, term LIMIT 4096),
+known AS (SELECT doc_id, k, term, md5(term) AS h FROM w JOIN lex USING (term)),
+tagged AS (SELECT doc_id, k, '1' || substring(h, 1, 1) AS tag, term FROM known
+           UNION ALL SELECT doc_id, k, '2' || substring(h, 3, 1), term FROM known WHERE substring(h, 2, 1) = '0'),
+part AS (SELECT doc_id, k, tag, substring(md5(string_agg(tag || chr(2) || term, '' ORDER BY term)), 1, 8) AS v
+         FROM tagged GROUP BY doc_id, k, tag
+         UNION ALL SELECT doc_id, k, '00', substring(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) FROM known GROUP BY doc_id, k),
+tags AS (SELECT '00' AS tag UNION ALL SELECT a || b FROM (SELECT unnest(['1', '2']) AS a), (SELECT unnest(string_split('0 1 2 3 4 5 6 7 8 9 a b c d e f', ' ')) AS b)),
+slot AS (SELECT b.doc_id, b.k, tags.tag, coalesce(part.v, '--------') AS v FROM both_ b CROSS JOIN tags
+         LEFT JOIN part ON part.doc_id = b.doc_id AND part.k = b.k AND part.tag = tags.tag),
+print AS (SELECT doc_id, k, string_agg(v, '' ORDER BY tag) AS p FROM slot GROUP BY doc_id, k),
+near AS (SELECT e.doc_id, y.k, count(*) FILTER (x.v <> '--------' OR y.v <> '--------') AS n,
+                count(*) FILTER (x.v = y.v AND x.v <> '--------') AS m
+         FROM e JOIN slot x ON x.doc_id = e.doc_id AND x.k = 0
+         JOIN slot y ON y.tag = x.tag AND ((y.k = 1 AND y.doc_id = e.doc_id) OR (y.k = 0 AND y.doc_id = e.next_id))
+         WHERE x.tag <> '00' GROUP BY e.doc_id, y.k)
+SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.x) AS edited_sha256, p0.p AS fingerprint, p1.p AS edited_fingerprint,
+       CAST(CASE WHEN n1.n = 0 THEN 1 ELSE n1.m / n1.n END AS DOUBLE) AS near_edited,
+       CAST(CASE WHEN n0.n = 0 THEN 1 ELSE n0.m / n0.n END AS DOUBLE) AS near_next
+FROM e JOIN print p0 ON p0.doc_id = e.doc_id AND p0.k = 0 JOIN print p1 ON p1.doc_id = e.doc_id AND p1.k = 1
+JOIN near n1 ON n1.doc_id = e.doc_id AND n1.k = 1 JOIN near n0 ON n0.doc_id = e.doc_id AND n0.k = 0
+"""
