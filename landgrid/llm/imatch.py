@@ -3,8 +3,8 @@
 Terms are runs of letters, lower-cased in A-Z. The lexicon keeps terms of a middle band of inverse document
 frequency: in two documents at least, in a share ``common`` of all at most, and of those the ``lexicon`` most
 frequent ones, a number that bounds what is sent to the executors. A fingerprint hashes the sorted distinct
-lexicon terms of a document, and again those in each of 32 random lexicon subsets: 16 that hold a sixteenth
-of the lexicon each and 16 that hold 1/256, drawn by digits of the term's md5. Likeness is the share of equal
+lexicon terms of a document, and again those in each of 48 random lexicon subsets: 16 that hold a sixteenth
+of the lexicon each and 32 that hold 1/256, drawn by digits of the term's md5. Likeness is the share of equal
 hashes among subsets of which either document has a term: large subsets tell near copies apart, small ones
 texts that share a part.
 """
@@ -45,22 +45,22 @@ class IMatch:
 
     @staticmethod
     def fingerprint(text: Column, chosen: list[str]) -> Column:
-        """Array of 33 hashes of 8 digits, of the whole lexicon first; 8 dashes where a subset has no term."""
+        """Array of 49 hashes of 8 digits, of the whole lexicon first; 8 dashes where a subset has no term."""
         if not chosen:
-            return F.array_repeat(F.lit("-" * 8), 33)
+            return F.array_repeat(F.lit("-" * 8), 49)
         known = F.array_intersect(terms(text), F.split(F.lit(" ".join(chosen)), " "))
         wide = F.transform(known, lambda t: F.concat(F.lit("1"), F.substring(F.md5(t), 1, 1), F.lit("\x02"), t))
-        rare = F.filter(known, lambda t: F.substring(F.md5(t), 2, 1) == "0")
-        narrow = F.transform(rare, lambda t: F.concat(F.lit("2"), F.substring(F.md5(t), 3, 1), F.lit("\x02"), t))
+        rare = F.filter(known, lambda t: F.substring(F.md5(t), 2, 1) < "2")
+        narrow = F.transform(rare, lambda t: F.concat(F.lit("2"), F.substring(F.md5(t), 2, 2), F.lit("\x02"), t))
         # Sorted, a mark stands before the terms of its subset; cutting at the marks leaves a part per subset.
-        marks = F.array(*(F.lit(f"{k}{d}\x01") for k in "12" for d in DIGITS))
-        parts = F.split(F.array_join(F.array_sort(F.concat(marks, wide, narrow)), ""), "[12][0-9a-f]\x01")
-        every = F.concat(F.array(F.array_join(F.array_sort(known), " ")), F.slice(parts, 2, 32))
+        marks = F.array(*(F.lit(f"{k}{d}\x01") for k in ("1", "20", "21") for d in DIGITS))
+        parts = F.split(F.array_join(F.array_sort(F.concat(marks, wide, narrow)), ""), "(1|2[01])[0-9a-f]\x01")
+        every = F.concat(F.array(F.array_join(F.array_sort(known), " ")), F.slice(parts, 2, 48))
         return F.transform(every, lambda s: F.when(s == "", F.lit("-" * 8)).otherwise(F.substring(F.md5(s), 1, 8)))
 
     @staticmethod
     def likeness(a: Column, b: Column) -> Column:
-        pairs = F.slice(F.arrays_zip(a.alias("x"), b.alias("y")), 2, 32)
+        pairs = F.slice(F.arrays_zip(a.alias("x"), b.alias("y")), 2, 48)
         some = F.filter(pairs, lambda p: (p["x"] != "-" * 8) | (p["y"] != "-" * 8))
         same = F.filter(some, lambda p: p["x"] == p["y"])
         return F.when(F.size(some) == 0, F.lit(1.0)).otherwise(F.size(same) / F.size(some))

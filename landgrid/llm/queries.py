@@ -103,11 +103,11 @@ lex AS (SELECT term FROM (SELECT term, count(*) AS df FROM w WHERE k = 0 GROUP B
         WHERE df >= 2 AND df <= 0.2 * (SELECT count(*) FROM documents) ORDER BY df DESC, term LIMIT 4096),
 known AS (SELECT doc_id, k, term, md5(term) AS h FROM w JOIN lex USING (term)),
 tagged AS (SELECT doc_id, k, '1' || substring(h, 1, 1) AS tag, term FROM known
-           UNION ALL SELECT doc_id, k, '2' || substring(h, 3, 1), term FROM known WHERE substring(h, 2, 1) = '0'),
+           UNION ALL SELECT doc_id, k, '2' || substring(h, 2, 2), term FROM known WHERE substring(h, 2, 1) < '2'),
 part AS (SELECT doc_id, k, tag, substring(md5(string_agg(tag || chr(2) || term, '' ORDER BY term)), 1, 8) AS v
          FROM tagged GROUP BY doc_id, k, tag
          UNION ALL SELECT doc_id, k, '00', substring(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) FROM known GROUP BY doc_id, k),
-tags AS (SELECT '00' AS tag UNION ALL SELECT a || b FROM (SELECT unnest(['1', '2']) AS a), (SELECT unnest(string_split('0 1 2 3 4 5 6 7 8 9 a b c d e f', ' ')) AS b)),
+tags AS (SELECT '00' AS tag UNION ALL SELECT a || b FROM (SELECT unnest(['1', '20', '21']) AS a), (SELECT unnest(string_split('0 1 2 3 4 5 6 7 8 9 a b c d e f', ' ')) AS b)),
 slot AS (SELECT b.doc_id, b.k, tags.tag, coalesce(part.v, '--------') AS v FROM both_ b CROSS JOIN tags
          LEFT JOIN part ON part.doc_id = b.doc_id AND part.k = b.k AND part.tag = tags.tag),
 print AS (SELECT doc_id, k, string_agg(v, '' ORDER BY tag) AS p FROM slot GROUP BY doc_id, k),
