@@ -9,10 +9,12 @@ from landgrid.llm.bpe import ByteBpe
 from landgrid.llm.imatch import IMatch
 from landgrid.llm.jaccard import JaccardJoin
 from landgrid.llm.lines import LineDedup
+from landgrid.llm.mixing import SoftMixer
 from landgrid.llm.neighbours import ForestIndex
 from landgrid.llm.quality import QualityClassifier
 from landgrid.llm.substrings import SubstringDedup
 from landgrid.llm.toxicity import ToxicityChain
+from landgrid.llm.urls import UrlFilter
 from landgrid.plans.common import Query, register
 
 QUERIES: dict[str, Query] = {}
@@ -122,3 +124,20 @@ SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.x) AS edited_sha256, p
 FROM e JOIN print p0 ON p0.doc_id = e.doc_id AND p0.k = 0 JOIN print p1 ON p1.doc_id = e.doc_id AND p1.k = 1
 JOIN near n1 ON n1.doc_id = e.doc_id AND n1.k = 1 JOIN near n0 ON n0.doc_id = e.doc_id AND n0.k = 0
 """
+
+
+@query("op3_url_filters")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return UrlFilter(table(spark, sf_dir, "pages")).judge()
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): languages of the documents in the label table."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id")
+
+
+@query("op5_mixing_weights")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixer = SoftMixer(docs, labelled_domains(docs, table(spark, sf_dir, "labels")))
+    return mixer.rated().select("doc_id", "n_tokens", "domain", "rate", "copies")
