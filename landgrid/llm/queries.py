@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,17 +78,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-@query("op8_byte_bpe")
-def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
+def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
     codec = ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = codec.encode(table(spark, sf_dir, "documents"))
+    ids = codec.encode(docs)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                       F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
 
 
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(spark, table(spark, sf_dir, "documents"))
+
+
 @query("op2_document_fingerprints")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IMatch(table(spark, sf_dir, "documents")).compare()

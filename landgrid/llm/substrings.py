@@ -115,23 +115,23 @@ class SubstringDedup:
                 new = np.ones(len(at), bool)
                 new[1:] = place[1:] != place[:-1]
                 new &= fresh[owner]
+                owner, seeds = owner[new], mix(grams[place[new]])
+                once = np.unique(np.stack([owner.astype(U64), seeds]), axis=1) if len(seeds) else np.zeros((2, 0), U64)
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [longs(mix(grams[place[new]])), pa.array(ids[owner[new]]),
-                     pa.array((place[new] - words.first[owner[new]]).astype(np.int32))], ["seed", "doc", "pos"])
+                yield pa.RecordBatch.from_arrays([longs(once[1]), pa.array(ids[once[0].astype(np.int64)])], ["seed", "doc"])
 
-        return self.docs.where("doc_id is not null").mapInArrow(scan, "seed long, doc long, pos int")
+        return self.docs.where("doc_id is not null").mapInArrow(scan, "seed long, doc long")
 
     def marks(self, copies: DataFrame) -> DataFrame:
-        """(doc_id, marks): places of seeds that another document holds too, by first copies."""
+        """(doc_id, marks): seeds that another document holds too, by first copies."""
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in shared_runs(batches, "seed", "doc"):
-                yield batch.select(["doc", "pos"])
+                yield batch.select(["doc", "seed"])
 
-        hits = self._seeds().repartition("seed").sortWithinPartitions("seed", "doc").mapInArrow(scan, "doc long, pos int")
+        hits = self._seeds().repartition("seed").sortWithinPartitions("seed", "doc").mapInArrow(scan, "doc long, seed long")
         return hits.join(copies.withColumnRenamed("doc_id", "doc"), "doc").groupBy(F.col("rep").alias("doc_id")).agg(
-            F.collect_set("pos").alias("marks"))
+            F.collect_set("seed").alias("marks"))
 
     def edges(self, marks: DataFrame) -> DataFrame:
         """(edge, doc, pos, before, after) of the windows whose seed is marked; before and after are the words
@@ -142,14 +142,15 @@ class SubstringDedup:
             for batch in unpacked(batches):
                 words = _words(batch)
                 hashed = words.hashes()
-                at, place, _ = least_seeds(hashed, words, window, seed)
+                at, place, grams = least_seeds(hashed, words, window, seed)
                 if not len(at):
                     continue
-                marked = np.zeros(len(hashed), bool)
                 column = batch.column("marks")
                 sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-                marked[column.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], sizes)] = True
-                at = at[marked[place]]
+                own = mix(np.arange(batch.num_rows).astype(U64) + U64(1))
+                marks_ = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False)).view(U64) ^ np.repeat(own, sizes)
+                owner = np.searchsorted(words.first, at, "right") - 1
+                at = at[np.isin(mix(grams[place]) ^ own[owner], marks_)]
                 owner = np.searchsorted(words.first, at, "right") - 1
                 around = np.concatenate([[U64(0)], hashed | U64(1), [U64(0)]])
                 # 31 bits of a neighbour, the lowest one always set; 0 where the text ends.
