@@ -44,19 +44,23 @@ class IMatch:
         return [r["term"] for r in band.orderBy(F.desc("df"), "term").limit(self.lexicon).collect()]
 
     @staticmethod
-    def fingerprint(text: Column, chosen: list[str]) -> Column:
-        """Array of 49 hashes of 8 digits, of the whole lexicon first; 8 dashes where a subset has no term."""
+    def fingerprinted(rows: DataFrame, text: str, chosen: list[str], out: str) -> DataFrame:
+        """``rows`` with an array of 49 hashes of 8 digits, of the whole lexicon first; 8 dashes where a subset has no
+        term. Steps are columns of their own, since an expression that is named twice is computed twice."""
         if not chosen:
-            return F.array_repeat(F.lit("-" * 8), 49)
-        known = F.array_intersect(terms(text), F.split(F.lit(" ".join(chosen)), " "))
-        wide = F.transform(known, lambda t: F.concat(F.lit("1"), F.substring(F.md5(t), 1, 1), F.lit("\x02"), t))
-        rare = F.filter(known, lambda t: F.substring(F.md5(t), 2, 1) < "2")
-        narrow = F.transform(rare, lambda t: F.concat(F.lit("2"), F.substring(F.md5(t), 2, 2), F.lit("\x02"), t))
+            return rows.withColumn(out, F.array_repeat(F.lit("-" * 8), 49))
+        known = F.col("known")
+        digest = F.transform(known, lambda t: F.concat(F.md5(t), t))
+        wide = F.transform("named", lambda t: F.concat(F.lit("1"), F.substring(t, 1, 1), F.lit("\x02"), F.substring(t, 33, 1 << 20)))
+        rare = F.filter("named", lambda t: F.substring(t, 2, 1) < "2")
+        narrow = F.transform(rare, lambda t: F.concat(F.lit("2"), F.substring(t, 2, 2), F.lit("\x02"), F.substring(t, 33, 1 << 20)))
         # Sorted, a mark stands before the terms of its subset; cutting at the marks leaves a part per subset.
         marks = F.array(*(F.lit(f"{k}{d}\x01") for k in ("1", "20", "21") for d in DIGITS))
-        parts = F.split(F.array_join(F.array_sort(F.concat(marks, wide, narrow)), ""), "(1|2[01])[0-9a-f]\x01")
-        every = F.concat(F.array(F.array_join(F.array_sort(known), " ")), F.slice(parts, 2, 48))
-        return F.transform(every, lambda s: F.when(s == "", F.lit("-" * 8)).otherwise(F.substring(F.md5(s), 1, 8)))
+        parts = F.split(F.array_join(F.sort_array(F.concat(marks, wide, narrow)), ""), "(1|2[01])[0-9a-f]\x01")
+        every = F.concat(F.array(F.array_join(F.sort_array(known), " ")), F.slice(parts, 2, 48))
+        hashed = F.transform("every", lambda s: F.when(s == "", F.lit("-" * 8)).otherwise(F.substring(F.md5(s), 1, 8)))
+        rows = rows.withColumn("known", F.array_intersect(F.split(F.lit(" ".join(chosen)), " "), terms(F.col(text))))
+        return rows.withColumn("named", digest).withColumn("every", every).withColumn(out, hashed).drop("known", "named", "every")
 
     @staticmethod
     def likeness(a: Column, b: Column) -> Column:
@@ -89,7 +93,7 @@ class IMatch:
         against itself with its later half replaced by the beginning of the next one, by descending doc_id."""
         chosen = self.chosen_terms()
         rows = self._dealt().repartition("bucket", F.col("doc_id").isNull())
-        rows = rows.withColumn("f", self.fingerprint(F.col("text"), chosen))
+        rows = self.fingerprinted(rows, "text", chosen, "f")
         order = Window.partitionBy("bucket", F.col("doc_id").isNull()).orderBy("guest", F.desc("doc_id"), "text")
         row_next = rows.withColumns({"next_text": F.lead("text").over(order), "next_f": F.lead("f").over(order)}).where("not guest")
         known = F.col("doc_id").isNotNull()
@@ -97,8 +101,7 @@ class IMatch:
                                          "n": F.char_length("text")})
         half = F.floor(F.col("n") / 2).cast("int")
         edited = F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.coalesce(F.substring("next_text", F.lit(1), half), F.lit("")))
-        out = row_next.withColumn("edited", edited)
-        out = out.withColumn("g", self.fingerprint(F.col("edited"), chosen))
+        out = self.fingerprinted(row_next.withColumn("edited", edited), "edited", chosen, "g")
         return out.select(
             "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
             F.array_join("f", "").alias("fingerprint"), F.array_join("g", "").alias("edited_fingerprint"),
