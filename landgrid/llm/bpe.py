@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are cut into pieces by the tokenizer's pattern inside the JVM. Only distinct pieces are merged: a
+Texts are cut into pieces by the tokenizer's pattern. Only distinct pieces are merged: a
 higher-order fold over the byte array of a piece replaces, step by step, the leftmost pair of least rank,
 looking ranks up in a literal map (dealt into small maps by hash, since Spark scans a map from its start).
 Documents are dealt into blocks of bounded size; a block receives its own pieces with their ids and puts its
@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.llm.labelled import narrow
+from landgrid.llm.pieces import cut
 from landgrid.llm.store import keep, packed, unpacked
+from landgrid.llm.tokens import raw
 
 NEVER = 2_147_483_647
 LONG_PIECE = 512
@@ -67,11 +69,11 @@ class ByteBpe:
     """Codec of the ranks in a file, with the pattern that cuts texts.
 
     A null text is an empty one; an empty text has no ids. Rows that repeat an id are encoded each, a null doc_id
-    stays; extra columns are ignored. The pattern is read as Java does with Unicode classes.
+    stays; extra columns are ignored.
     """
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str, block_bytes: int = 32 << 20, maps: int = 16_384):
-        self.spark, self.pattern, self.block_bytes, self.maps = spark, f"(?U){pattern}", block_bytes, maps
+    def __init__(self, spark: SparkSession, path: str, pattern: str, block_bytes: int = 64 << 20, maps: int = 16_384):
+        self.spark, self.pattern, self.block_bytes, self.maps = spark, pattern, block_bytes, maps
         self.ranks = read_ranks(path)
         hexed = [(t.hex().upper(), r) for t, r in self.ranks.items()]
         slots = spark.createDataFrame(hexed, "token string, rank int").select(
@@ -135,20 +137,26 @@ class ByteBpe:
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """(doc_id, ids) of every document."""
-        rows = narrow(docs)
+        rows, pattern = narrow(docs), self.pattern
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        blocks = max(8, -(-total // self.block_bytes))
-
-        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in unpacked(batches, 1 << 22):
-                yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("doc_id"), batch.column("text").cast(pa.string())],
-                                                 ["block", "doc_id", "text"])
+        blocks = max(4, -(-total // self.block_bytes))
 
         small = packed(rows).withColumn(
             "block", F.pmod(F.xxhash64("doc_id", "packed"), F.lit(blocks)).cast("int"))
-        texts = small.repartition(blocks, "block").mapInArrow(unpack, "block int, doc_id long, text string")
-        cut = texts.select("block", "doc_id", F.regexp_extract_all("text", F.lit(self.pattern), F.lit(0)).alias("pieces"))
-        seen = cut.select("block", F.explode("pieces").alias("piece")).distinct()
+        small = small.select("block", "doc_id", "size", "packed").repartition(blocks, "block")
+
+        def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met: dict[int, pa.Array] = {}
+            for batch in unpacked(batches):
+                pieces, count = cut(*raw(batch.column("text")), pattern)
+                owner = np.repeat(batch.column("block").to_numpy(), count)
+                for block in np.unique(owner).tolist():
+                    mine = pc.unique(pieces if (owner == block).all() else pieces.filter(pa.array(owner == block)))
+                    met[block] = pc.unique(pa.concat_arrays([met[block], mine])) if block in met else mine
+            for block, pieces in met.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pieces), block, np.int32)), pieces], ["block", "piece"])
+
+        seen = small.mapInArrow(distinct, "block int, piece string")
         words = keep(seen.groupBy("piece").agg(F.collect_list("block").alias("blocks")), "pieces")
         known = self.encode_pieces(words).select(F.explode("blocks").alias("block"), "piece", "ids").repartition(blocks, "block")
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -160,10 +168,9 @@ class ByteBpe:
             sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             first = np.cumsum(sizes) - sizes
             out = []
-            for batch in docs_.to_batches(max_chunksize=256):
-                pieces = batch.column("pieces")
-                per_doc = pieces.value_lengths().to_numpy(zero_copy_only=False)
-                at = pc.index_in(pieces.flatten(), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+            for batch in unpacked(iter(docs_.to_batches())):
+                pieces, per_doc = cut(*raw(batch.column("text")), pattern)
+                at = pc.index_in(pieces, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
                 count = sizes[at] if len(at) else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(count)])
                 place = np.arange(ends[-1]) + np.repeat((first[at] if len(at) else count) - ends[:-1], count)
@@ -172,7 +179,7 @@ class ByteBpe:
                 out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"]))
             return pa.Table.from_batches(out, schema) if out else schema.empty_table()
 
-        return cut.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(together, "doc_id long, ids array<int>")
+        return small.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(together, "doc_id long, ids array<int>")
 
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids."""
