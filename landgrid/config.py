@@ -42,7 +42,7 @@ class SceneSearch:
     season: tuple[int, int] = (1, 3)
     sentinel_ladder: tuple[float, ...] = (10.0, 20.0)
     landsat_ladder: tuple[float, ...] = (10.0, 20.0, 40.0, 60.0, 80.0, 100.0, float("inf"))
-    limit: int = 500
+    limit: int | None = None
 
 
 @dataclass(frozen=True)

@@ -73,12 +73,12 @@ def _training_rows(df: DataFrame, features: Sequence[str], label: str) -> DataFr
         *features, (F.col(label).cast("double") - 1).alias("label_")))
 
 
-def svm_pipeline(df: DataFrame, features: Sequence[str], gamma: float, cost: float, size: int = 48,
+def svm_pipeline(df: DataFrame, features: Sequence[str], gamma: float, cost: float, rows: int, size: int = 48,
                  seed: int = 42, max_iter: int = 20) -> tuple[Pipeline, OneVsRest, LinearSVC]:
     project = SQLTransformer(statement=_fourier_statement(df, features, gamma, size, seed))
     assemble = VectorAssembler(inputCols=[f"rff_{i}" for i in range(size)], outputCol="features_",
                                handleInvalid="keep")
-    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (cost * 1000.0), standardization=False,
+    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (cost * max(rows, 1)), standardization=False,
                     aggregationDepth=2)
     ovr = OneVsRest(classifier=svc, labelCol="label_", featuresCol="features_", parallelism=4)
     return Pipeline(stages=[project, assemble, ovr]), ovr, svc
@@ -90,7 +90,7 @@ def svm_rbf_train(df: DataFrame, features: Sequence[str] = FEATURES, label: str
     """RBF machine: random Fourier features and one linear machine per class."""
     rows = _training_rows(df, features, label)
     try:
-        pipeline, _, _ = svm_pipeline(rows, features, gamma or 1.0 / len(features), cost, size,
+        pipeline, _, _ = svm_pipeline(rows, features, gamma or 1.0 / len(features), cost, rows.count(), size,
                                       seed, max_iter)
         return pipeline.fit(rows)
     finally:
@@ -102,13 +102,13 @@ def svm_tune(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "cl
     """Cross-validated accuracy of every (cost, gamma), best first."""
     spark = df.sparkSession
     rows = _training_rows(df, features, label)
-    results = []
+    results, n = [], rows.count()
     try:
         for gamma in cfg.tune_gammas:
-            pipeline, ovr, _ = svm_pipeline(rows, features, gamma, 1.0, size, cfg.seed, max_iter)
+            pipeline, ovr, _ = svm_pipeline(rows, features, gamma, 1.0, n, size, cfg.seed, max_iter)
             project, assemble, _ = pipeline.getStages()
             data = assemble.transform(project.transform(rows)).select("features_", "label_")
-            machines = [LinearSVC(maxIter=max_iter, regParam=1.0 / (c * 1000.0),
+            machines = [LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(n * (cfg.tune_folds - 1) // cfg.tune_folds, 1)),
                                   standardization=False) for c in cfg.tune_costs]
             grid = ParamGridBuilder().addGrid(ovr.classifier, machines).build()
             check = MulticlassClassificationEvaluator(labelCol="label_", metricName="accuracy")

@@ -44,7 +44,7 @@ def logistic_regression(df: DataFrame, predictors: Sequence[str], response: str
     se, z, p = (turn(list(v)) for v in (s.coefficientStandardErrors, s.tValues, s.pValues))
     rows.unpersist()
     scale = [1.0, *sd.values()]
-    terms = [(t, float(e / k), float(x / k), float(a), float(b), math.exp(min(e / k, 700.0)), r2)
+    terms = [(t, float(e / k), float(x / k), float(a), float(b), _ratio(e / k), r2)
               for t, e, x, a, b, k in zip(["(Intercept)", *names], est, se, z, p, scale)]
     table = df.sparkSession.createDataFrame(terms, TERMS + ", odds_ratio double, pseudo_r2 double")
     if not residuals:
@@ -53,6 +53,11 @@ def logistic_regression(df: DataFrame, predictors: Sequence[str], response: str
     return table, fitted.select(*df.columns, "z")
 
 
+def _ratio(log_odds: float) -> float:
+    """Odds ratio; infinite where it exceeds the largest double."""
+    return math.exp(log_odds) if log_odds < 709.0 else math.inf
+
+
 def driver_importance(table: DataFrame) -> DataFrame:
     return (table.filter(F.col("term") != "(Intercept)")
             .select(F.col("term").alias("variable"), F.abs("estimate").alias("abs_coef"))

@@ -45,10 +45,12 @@ def points_to_cells(points: DataFrame, grid: Grid, value: str, name: str) -> Dat
 
 def extract_at_points(px: DataFrame, points: DataFrame, grid: Grid, layers: Sequence[str],
                       how: str = "left") -> DataFrame:
-    """All layers at the cell of each point; points with a class outside 1..4 are an error in
-    the source data and are dropped."""
+    """All layers at the cell of each point; a point whose class is missing or outside 1..4 is an error in
+    the source data and stops the job."""
     if "class" in points.columns:
-        points = points.filter(F.col("class").between(1, 4))
+        wrong = F.raise_error(F.concat(F.lit("class outside 1..4: "), F.coalesce(F.col("class").cast("string"), F.lit("null"))))
+        fine = F.coalesce(F.col("class").between(1, 4), F.lit(False))
+        points = points.withColumn("class", F.when(fine, F.col("class")).otherwise(wrong.cast(points.schema["class"].dataType)))
     located = points.withColumns({"r": geo.row_of(F.col("y"), grid),
                                   "c": geo.col_of(F.col("x"), grid)})
     # The pixels are filtered where they are: only cells with a point reach a shuffle.

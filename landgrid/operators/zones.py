@@ -64,17 +64,25 @@ def with_sector(px: DataFrame, grid: Grid, cfg: Sprawl) -> DataFrame:
             .withColumn("sector_id", geo.sector_of(dx, dy)))
 
 
-def zone_counts(zoned: DataFrame, zone_ids: Sequence[int], years: Sequence[int],
-                zone: str = "zone_id") -> DataFrame:
-    """Urban and known cells per zone and year, zones without cells included as 0. The frame
-    of all zone-years is a literal list from the settings."""
-    spark = zoned.sparkSession
+def zone_counts(zoned: DataFrame, years: Sequence[int] | None = None, zone: str = "zone_id",
+                zone_ids: Sequence[int] | None = None) -> DataFrame:
+    """Urban and known cells per zone and year, zones without cells in a year included as 0.
+
+    A year without a map has no rows (of ``years``, where given, those that are there), and zones
+    are those that the maps reach unless ``zone_ids`` names them."""
+    if years is not None:
+        zoned = zoned.filter(F.col("yr").isin(*years))
     counted = zoned.groupBy("yr", zone).agg(
         F.count(F.when(F.col("cls") == 1, 1)).alias("urban_px"),
         F.count("cls").alias("total_px"))
     kind = zoned.schema[zone].dataType.simpleString()
-    frame = spark.createDataFrame([(int(y), int(z)) for y in years for z in zone_ids],
-                                  f"yr int, {zone} {kind}")
+    if zone_ids is None:
+        zones = counted.select(zone).distinct()
+    else:
+        zones = zoned.sparkSession.createDataFrame([(int(z),) for z in zone_ids], f"{zone} {kind}")
+    # One value: the list of years.
+    there = zoned.agg(F.collect_set("yr").alias("years")).scalar()
+    frame = zones.select(zone, F.explode(there).alias("yr"))
     return frame.join(counted, ["yr", zone], "left").fillna(0, ["urban_px", "total_px"])
 
 
@@ -111,7 +119,7 @@ def zone_shares(counts: DataFrame) -> DataFrame:
 
 
 def shannon_entropy(counts: DataFrame) -> DataFrame:
-    """H = -sum(Pi ln Pi) and H / ln(n) per year; both 0 without urban area."""
+    """H = -sum(Pi ln Pi) and H / ln(n) per year, n the zones of the maps; both 0 without urban area."""
     p = F.col("pi")
     g = zone_shares(counts).groupBy("yr").agg(
         F.coalesce(-F.sum(F.when(p > 0, p * F.log(p))), F.lit(0.0)).alias("h"),
@@ -153,8 +161,7 @@ def hotspots(ueii: DataFrame, cfg: Sprawl, transition_id: int) -> DataFrame:
 
 
 def sector_counts(lulc: DataFrame, grid: Grid, cfg: Sprawl, years: Sequence[int]) -> DataFrame:
-    counts = zone_counts(with_sector(lulc, grid, cfg), range(1, len(SECTORS) + 1), years,
-                         "sector_id")
+    counts = zone_counts(with_sector(lulc, grid, cfg), years, "sector_id", range(1, len(SECTORS) + 1))
     return counts.select("yr", "sector_id", geo.sector_name(F.col("sector_id")).alias("sector_name"),
                          "urban_px", (F.col("urban_px") * F.lit(grid.cell_km2)).alias("urban_km2"))
 

@@ -67,7 +67,7 @@ SQL = {
  (CASE WHEN r >= 20 THEN r * 1000 - 20000 ELSE 20000 - (r + 1) * 1000 END) AS ny, (CASE WHEN r >= 20 THEN (r + 1) * 1000 - 20000 ELSE 20000 - r * 1000 END) AS fy
  FROM lulc) z JOIN generate_series(1, 6) g(k) ON nx * nx + ny * ny <= k * 5000 * k * 5000 AND (k = 1 OR fx * fx + fy * fy > (k - 1) * 5000 * (k - 1) * 5000)"""),
     "entropy_band": sql("""SELECT yr AS year, CASE WHEN h >= 7e-1 THEN 'high' WHEN h >= 5e-1 THEN 'moderate' ELSE 'low' END AS band
- FROM (SELECT yr, -sum(p * ln(p)) FILTER (p > 0) / ln(CAST(6 AS DOUBLE)) AS h FROM
+ FROM (SELECT yr, -sum(p * ln(p)) FILTER (p > 0) / ln(CAST(nullif(count(*), 1) AS DOUBLE)) AS h FROM
  (SELECT yr, zone_id, count(*) FILTER (cls = 1) / CAST(sum(count(*) FILTER (cls = 1)) OVER (PARTITION BY yr) AS DOUBLE) AS p
  FROM zone_px GROUP BY yr, zone_id) z GROUP BY yr) y"""),
 }

@@ -14,11 +14,11 @@ _BOX = "xmin <= 37.1 AND xmax >= 36.6 AND ymin <= -1.1 AND ymax >= -1.5"
 SQL = {
     "scan_scene": sql(f"SELECT cell_id, r, c, yr, {_SCENE_COLS} FROM px WHERE sensor = 'sentinel'"),
     "catalog_search": sql(f"""SELECT item_id, CAST(dt AS VARCHAR) AS dt FROM catalog WHERE collection = 'sentinel-2-l2a'
- AND {_BOX} AND dt BETWEEN DATE '1996-01-01' AND DATE '1996-03-31' ORDER BY item_seq LIMIT 500"""),
+ AND {_BOX} AND dt BETWEEN DATE '1996-01-01' AND DATE '1996-03-31'"""),
     "catalog_search_relaxed": sql(f"""SELECT * FROM (SELECT 'hit' AS search, item_id FROM catalog WHERE collection = 'landsat-c2-l2'
- AND {_BOX} AND dt BETWEEN DATE '1997-01-01' AND DATE '1997-03-31' ORDER BY item_seq LIMIT 200)
+ AND {_BOX} AND dt BETWEEN DATE '1997-01-01' AND DATE '1997-03-31')
  UNION ALL SELECT * FROM (SELECT 'relaxed' AS search, item_id FROM catalog WHERE collection = 'landsat-c2-l2'
- AND {_BOX} ORDER BY item_seq LIMIT 200)"""),
+ AND {_BOX})"""),
     "season_window": sql("""SELECT DISTINCT yr, yr || '-01-01' AS t0, yr || '-03-31' AS t1, yr || '-02-01' AS feb0,
  yr || CASE WHEN yr % 4 = 0 AND (yr % 100 <> 0 OR yr % 400 = 0) THEN '-02-29' ELSE '-02-28' END AS feb1 FROM catalog"""),
     "effective_cloud": sql("""SELECT item_id, CASE WHEN eo_cloud IS NULL THEN land_cloud WHEN land_cloud IS NULL THEN eo_cloud

@@ -6,20 +6,20 @@ from landgrid.oracle.scenes import _AREA
 
 YEARS = range(1995, 2002)
 _ZC = {
-    "frame": "SELECT CAST(y AS INT) AS yr, z AS zone_id FROM generate_series(1995, 2001) a(y), generate_series(1, 6) b(z)",
+    "frame": "SELECT yr, zone_id FROM (SELECT DISTINCT yr FROM zone_px) a, (SELECT DISTINCT zone_id FROM zone_px) b",
     "zc": """SELECT f.yr, f.zone_id, count(*) FILTER (p.cls = 1) AS urban_px, count(p.cls) AS total_px
  FROM frame f LEFT JOIN zone_px p ON p.yr = f.yr AND p.zone_id = f.zone_id GROUP BY ALL""",
     "za": "SELECT zone_id, CAST(count(DISTINCT cell_id) AS DOUBLE) AS zone_area_km2 FROM zone_px GROUP BY ALL",
     "pz": """SELECT *, CASE WHEN sum(urban_px) OVER (PARTITION BY yr) > 0
  THEN urban_px / CAST(sum(urban_px) OVER (PARTITION BY yr) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS pi FROM zc""",
     "ent": """SELECT yr AS year, coalesce(-sum(pi * ln(pi)) FILTER (pi > 0), 0) AS h, count(*) AS n_zones,
- coalesce(-sum(pi * ln(pi)) FILTER (pi > 0), 0) / ln(CAST(count(*) AS DOUBLE)) AS hr FROM pz GROUP BY yr""",
+ CASE WHEN count(*) > 1 THEN coalesce(-sum(pi * ln(pi)) FILTER (pi > 0), 0) / ln(CAST(count(*) AS DOUBLE)) ELSE 0 END AS hr FROM pz GROUP BY yr""",
     "ue": """SELECT a.zone_id, t.transition_id, t.pre_year, t.post_year, CAST(t.post_year - t.pre_year AS INT) AS delta_years,
  (b.urban_px - a.urban_px) / (z.zone_area_km2 * (t.post_year - t.pre_year)) * 100 AS ueii
  FROM trans t JOIN zc a ON a.yr = t.pre_year JOIN zc b ON b.yr = t.post_year AND b.zone_id = a.zone_id JOIN za z ON z.zone_id = a.zone_id""",
 }
 _SEC = {
-    "sf": "SELECT CAST(y AS INT) AS yr, CAST(s AS INT) AS sector_id FROM generate_series(1995, 2001) a(y), generate_series(1, 8) b(s)",
+    "sf": "SELECT yr, CAST(s AS INT) AS sector_id FROM (SELECT DISTINCT yr FROM sector_px) a, generate_series(1, 8) b(s)",
     "sc": """SELECT f.yr, f.sector_id, list_element(['N','NE','E','SE','S','SW','W','NW'], f.sector_id) AS sector_name,
  count(*) FILTER (p.cls = 1) AS urban_px FROM sf f LEFT JOIN sector_px p ON p.yr = f.yr AND p.sector_id = f.sector_id GROUP BY ALL""",
 }

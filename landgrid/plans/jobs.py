@@ -107,7 +107,10 @@ def labelled_pairs(stack: DataFrame, transitions: Sequence[tuple[int, int]],
 
 def split_patches(labelled: DataFrame, cfg: Change, by: Sequence[str]) -> DataFrame:
     """Spatial split under the first seed that works for each transition."""
-    seeds = patches.choose_split_seed(labelled, by, cfg)
+    seeds = cut_lineage(patches.choose_split_seed(labelled, by, cfg))
+    bad = [tuple(r[c] for c in by) for r in seeds.filter("seed IS NULL").collect()]  # one row per transition
+    if bad:
+        raise ValueError(f"no split seed of {cfg.seeds} puts a positive patch into training and any into validation: {by} {bad}")
     marked = join_bounded(labelled, seeds, list(by), "inner")
     out = F.lit(None).cast("string")
     for s in cfg.seeds:
@@ -148,8 +151,10 @@ class SprawlTables:
 def sprawl_metrics(lulc: DataFrame, study: Study) -> SprawlTables:
     """All ring, wedge and landscape tables of a class-map series."""
     grid, cfg, years = study.grid, study.sprawl, study.years
-    rings = range(1, zones.ring_count(cfg) + 1)
-    counts = cut_lineage(zones.zone_counts(zones.with_ring(lulc, grid, cfg), rings, years))
+    there = {r["yr"] for r in lulc.select("yr").distinct().collect()}
+    if missing := sorted(set(years) - there):
+        raise ValueError(f"no class map for {missing}")
+    counts = cut_lineage(zones.zone_counts(zones.with_ring(lulc, grid, cfg), years))
     area = cut_lineage(zones.zone_area(lulc, grid, cfg))
     ueii = zones.expansion_intensity(counts, area, study.transitions, grid)
     sectors = zones.sector_counts(lulc, grid, cfg, (years[0], years[-1]))

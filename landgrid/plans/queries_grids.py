@@ -99,7 +99,7 @@ def rasterize_lines(spark, sf):
 def rasterize_zone_field(spark, sf):
     grid = testbed.grid(spark, sf)
     zoned = zones.with_ring(testbed.lulc(spark, sf), grid, SPRAWL)
-    counts = zones.zone_counts(zoned, range(1, zones.ring_count(SPRAWL) + 1), testbed.YEARS)
+    counts = zones.zone_counts(zoned, testbed.YEARS)
     painted = zones.paint(zoned, zones.zone_shares(counts), ["yr", "zone_id"], ["pi"])
     return keep(painted, ["cell_id", "yr"], ["pi"])
 

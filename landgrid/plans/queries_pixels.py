@@ -190,5 +190,5 @@ def ring_zone_touch(spark, sf):
 def entropy_band(spark, sf):
     counts = zones.zone_counts(
         zones.with_ring(testbed.lulc(spark, sf), testbed.grid(spark, sf), SPRAWL),
-        range(1, zones.ring_count(SPRAWL) + 1), testbed.YEARS)
+        testbed.YEARS)
     return zones.shannon_entropy(counts).select("year", C.entropy_band(F.col("H_rel")).alias("band"))

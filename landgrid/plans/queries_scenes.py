@@ -30,7 +30,7 @@ def scan_scene(spark, sf):
 @query("catalog_search")
 def catalog_search(spark, sf):
     hits = cat.catalog_search(testbed.catalog(spark, sf), SEARCH.sentinel_collection, AOI,
-                              "1996-01-01", "1996-03-31", SEARCH.limit)
+                              "1996-01-01", "1996-03-31")
     return hits.select("item_id", F.col("dt").cast("string").alias("dt"))
 
 
@@ -38,9 +38,9 @@ def catalog_search(spark, sf):
 def catalog_search_relaxed(spark, sf):
     items = testbed.catalog(spark, sf)
     hit = cat.catalog_search_relaxed(items, SEARCH.landsat_collection, AOI,
-                                     "1997-01-01", "1997-03-31", 200)
+                                     "1997-01-01", "1997-03-31")
     miss = cat.catalog_search_relaxed(items, SEARCH.landsat_collection, AOI,
-                                      "1980-01-01", "1980-12-31", 200)
+                                      "1980-01-01", "1980-12-31")
     return (hit.select(F.lit("hit").alias("search"), "item_id")
             .unionByName(miss.select(F.lit("relaxed").alias("search"), "item_id")))
 

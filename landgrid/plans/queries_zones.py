@@ -18,7 +18,6 @@ QUERIES = {}
 query = register(QUERIES)
 SPRAWL = Sprawl(centre_xy=testbed.CENTRE)
 RES, YEARS, TRANSITIONS = testbed.RES, testbed.YEARS, testbed.TRANSITIONS
-RINGS = range(1, zones.ring_count(SPRAWL) + 1)
 AREA = ("Urban_km2", "Vegetation_km2", "BareSoil_km2", "Water_km2", "Total_km2")
 NEXT_YEAR = tuple(zip(YEARS, YEARS[1:]))
 
@@ -27,7 +26,7 @@ def ring_table(spark, sf):
     """(counts, area, grid) of the rings."""
     grid = testbed.grid(spark, sf)
     lulc = testbed.lulc(spark, sf)
-    counts = zones.zone_counts(zones.with_ring(lulc, grid, SPRAWL), RINGS, YEARS)
+    counts = zones.zone_counts(zones.with_ring(lulc, grid, SPRAWL), YEARS)
     return counts, zones.zone_area(lulc, grid, SPRAWL), grid
 
 

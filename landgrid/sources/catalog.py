@@ -36,23 +36,22 @@ def _hits(items: DataFrame, collection: str, bbox: tuple[float, float, float, fl
 
 
 def catalog_search(items: DataFrame, collection: str, bbox, t0: str, t1: str,
-                   limit: int) -> DataFrame:
-    """Items of a collection that touch the box within the dates, in item order."""
+                   limit: int | None = None) -> DataFrame:
+    """Items of a collection that touch the box within the dates; with ``limit`` the first ones in item order."""
     inside = F.col("dt").between(F.lit(t0).cast("date"), F.lit(t1).cast("date"))
-    return _hits(items, collection, bbox).filter(inside).orderBy("item_seq").limit(limit)
+    found = _hits(items, collection, bbox).filter(inside)
+    return found if limit is None else found.orderBy("item_seq").limit(limit)
 
 
 def catalog_search_relaxed(items: DataFrame, collection: str, bbox, t0: str, t1: str,
-                           limit: int) -> DataFrame:
-    """As :func:`catalog_search`, but without the dates when nothing lies within them.
-
-    Ordering dated hits first makes one top-``limit`` pass enough."""
-    inside = F.col("dt").between(F.lit(t0).cast("date"), F.lit(t1).cast("date"))
-    top = (_hits(items, collection, bbox).withColumn("inside", inside.cast("int"))
-           .orderBy(F.desc("inside"), "item_seq").limit(limit))
-    # At most `limit` rows reach this point, so the unpartitioned maximum is a small task.
-    best = top.agg(F.max("inside").alias("inside"))
-    return top.join(F.broadcast(best), "inside", "left_semi").drop("inside")
+                           limit: int | None = None) -> DataFrame:
+    """As :func:`catalog_search`, but without the dates when nothing lies within them."""
+    inside = F.coalesce(F.col("dt").between(F.lit(t0).cast("date"), F.lit(t1).cast("date")), F.lit(False))
+    hits = _hits(items, collection, bbox).withColumn("inside", inside)
+    # One value: whether any hit is dated.
+    dated = hits.agg(F.coalesce(F.max("inside"), F.lit(False)).alias("dated")).scalar()
+    found = hits.filter(F.col("inside") | ~dated).drop("inside")
+    return found if limit is None else found.orderBy("item_seq").limit(limit)
 
 
 def _ladder_level(cloud: Column, ladder: Sequence[float]) -> Column:

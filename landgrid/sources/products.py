@@ -17,7 +17,7 @@ def scan_scene(spark: SparkSession, path: str, sensor: str,
     return conform_layers(spark.read.parquet(path), sensor, keys)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def stored_product(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
@@ -30,7 +30,7 @@ def write_product(df: DataFrame, path: str, overwrite: bool = False,
                   partition: str = "yr") -> None:
     """Write one partition per year. Years that exist are skipped unless ``overwrite``, and
     then only the years in ``df`` are replaced."""
-    old = _stored(df.sparkSession, path)
+    old = stored_product(df.sparkSession, path)
     if not overwrite and old is not None:
         df = join_bounded(df, old.select(partition).distinct(), partition, "left_anti")
     # Rebalancing gives each file one year and a sensible size, splitting a year that is large;
@@ -56,7 +56,7 @@ def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
 
 def refresh_report(new: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     """Upsert ``new`` into the report stored at ``path`` and return the merged table."""
-    old = _stored(new.sparkSession, path)
+    old = stored_product(new.sparkSession, path)
     merged = cut_lineage(new if old is None else upsert(old, new, keys))
     merged.coalesce(1).write.mode("overwrite").parquet(path)
     return merged

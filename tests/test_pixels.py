@@ -163,6 +163,11 @@ def test_stream_refresh_is_idempotent(spark, tmp_path):
     area_refresh(spark, arrivals, product, rep, 1000.0, str(tmp_path / "cp")).awaitTermination()
     second = {r["Year"]: r["Urban_km2"] for r in spark.read.parquet(rep).collect()}
     assert second[2001] == 4.0 and {r[0] for r in first} == {2000, 2001} and len(second) == 2
+    part = [(1, 0, 1, 2001, 2), (9, 0, 9, 2001, 1)]  # a year that arrives in parts keeps its other cells
+    spark.createDataFrame(part, LULC_SCHEMA).write.mode("append").parquet(arrivals)
+    area_refresh(spark, arrivals, product, rep, 1000.0, str(tmp_path / "cp")).awaitTermination()
+    third = {r["Year"]: (r["Urban_km2"], r["Total_km2"]) for r in spark.read.parquet(rep).collect()}
+    assert third[2001] == (4.0, 5.0)
 
 
 def test_correlation_uses_pairwise_rows(spark):
@@ -190,3 +195,41 @@ def test_shared_dir_follows_the_session():
         shared_dir(session("yarn"))
     alone = session("local[2]")
     assert shared_dir(alone).startswith("/tmp/spark-") and shared_dir(alone) == shared_dir(alone)
+
+
+def test_missing_year_is_skipped_and_zones_are_those_of_the_maps(spark):
+    from landgrid.operators import zones
+    cells = [(i, 1990 + y, 1 + i % 3, 1 if i % 2 else 2) for i in range(12) for y in (0, 2)]
+    zoned = spark.createDataFrame(cells, "cell_id bigint, yr int, zone_id bigint, cls int")
+    counts = zones.zone_counts(zoned, (1990, 1991, 1992))
+    assert {(r["yr"], r["zone_id"]) for r in counts.collect()} == {(y, z) for y in (1990, 1992) for z in (1, 2, 3)}
+    assert {r["year"]: r["n_zones"] for r in zones.shannon_entropy(counts).collect()} == {1990: 3, 1992: 3}
+    area = spark.createDataFrame([(z, 4.0) for z in (1, 2, 3)], "zone_id bigint, zone_area_km2 double")
+    steps = zones.expansion_intensity(counts, area, ((1990, 1991), (1990, 1992)), Grid(1000.0, 4, 4)).collect()
+    assert {(r["pre_year"], r["post_year"]) for r in steps} == {(1990, 1992)}
+
+
+def test_bad_classes_and_seeds_stop_the_job(spark):
+    from pyspark.errors import PySparkException
+
+    from landgrid.config import Change
+    from landgrid.operators import vectors
+    from landgrid.plans.jobs import split_patches
+    px = spark.createDataFrame([(0, 0, 1.0)], "r bigint, c bigint, v double")
+    for bad in (5, None):
+        points = spark.createDataFrame([(500.0, 500.0, bad)], "x double, y double, class int")
+        with pytest.raises(PySparkException, match="class outside"):
+            vectors.extract_at_points(px, points, Grid(1000.0, 1, 1), ["v"]).collect()
+    patches = spark.createDataFrame([(1, b, 0) for b in range(16)], "transition_id int, block int, y int")
+    with pytest.raises(ValueError, match="no split seed"):
+        split_patches(patches, Change(), ["transition_id"])
+
+
+def test_catalog_search_is_not_cut(spark):
+    from landgrid.sources import catalog
+    items = spark.range(900).selectExpr("id AS item_id", "id AS item_seq", "'s' AS collection", "date'2000-01-05' AS dt",
+                                        "0.0 AS xmin", "1.0 AS xmax", "0.0 AS ymin", "1.0 AS ymax")
+    box = (0.0, 0.0, 1.0, 1.0)
+    assert catalog.catalog_search(items, "s", box, "2000-01-01", "2000-02-01").count() == 900
+    assert catalog.catalog_search_relaxed(items, "s", box, "1990-01-01", "1990-02-01").count() == 900
+    assert catalog.catalog_search_relaxed(items, "s", box, "1990-01-01", "1990-02-01", 7).count() == 7
