@@ -54,8 +54,9 @@ def line_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     up, down = powers(len(data) + 1)
     out = np.zeros((len(starts), 2), U64)
     for k, salt in enumerate((U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))):
+        spread = mix(np.arange(256, dtype=U64) + salt)
         total = np.zeros(len(data) + 1, U64)
-        np.cumsum((mix(data.astype(U64) + salt)) * up[:len(data)], out=total[1:])
+        np.cumsum(spread[data] * up[:len(data)], out=total[1:])
         out[:, k] = mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(U64) * salt)
     return out
 
@@ -67,24 +68,31 @@ def signatures(hashed: np.ndarray, counts: np.ndarray, bands: int, rows: int) ->
     add = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint64).astype(U32)
     first = np.cumsum(counts) - counts
     low = (hashed >> U64(32)).astype(U32)
+    turned = np.empty_like(low)
     keys = np.empty((len(counts), bands), U64)
     for b in range(bands):
         key = np.full(len(counts), b + 1, U64)
         for r in range(b * rows, (b + 1) * rows):
-            turned = low * odd[r] + add[r]
-            turned ^= turned >> U32(15)
-            key = mix(key ^ np.minimum.reduceat(turned * U32(0x2C1B3C6D), first).astype(U64))
+            np.multiply(low, odd[r], out=turned)
+            turned += add[r]
+            key = mix(key ^ np.minimum.reduceat(turned, first).astype(U64))
         keys[:, b] = key
     return keys
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int) -> tuple[int, int]:
-    """Sizes of intersection and union of the shingle sets of two lines of bytes."""
+def likeness(a: pa.Array, b: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of intersection and union of the shingle sets of lines, pair by pair."""
     sets = []
-    for line in (a, b):
-        sets.append(np.unique(shingles(line, np.array([0]), np.array([len(line)]), size)[0]))
-    same = len(np.intersect1d(*sets, assume_unique=True))
-    return same, len(sets[0]) + len(sets[1]) - same
+    for lines in (a, b):
+        data, offs = raw(lines)
+        hashed, counts = shingles(data, offs[:-1], offs[1:], size)
+        pair = np.repeat(np.arange(len(counts)), counts).astype(U64)
+        sets.append(np.unique((pair << U64(48)) | (hashed >> U64(16))))
+    both = np.concatenate(sets)
+    both.sort()
+    same = np.bincount((both[1:][both[1:] == both[:-1]] >> U64(48)).astype(np.int64), minlength=len(a))
+    whole = np.bincount((both >> U64(48)).astype(np.int64), minlength=len(a))
+    return same, whole - same
 
 
 def inked_lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -194,12 +202,9 @@ class LineDedup:
         size, percent = self.size, self.percent
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = []
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                    same, union = likeness(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), size)
-                    ok.append(100 * same >= percent * union)
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for batch in chunks(batches, "x", 1 << 18):
+                same, union = likeness(batch.column("x"), batch.column("y"), size)
+                yield batch.select(["a", "b"]).filter(pa.array(100 * same >= percent * union))
 
         a = lines.select(F.col("name").alias("a"), F.col("line").alias("x"))
         b = lines.select(F.col("name").alias("b"), F.col("line").alias("y"))
