@@ -218,7 +218,7 @@ class SubstringDedup:
                     cover = np.zeros(len(words) + 1, np.int32)
                     seen = []
                     for s in spans or ():
-                        a, b = s["start"], s["start"] + s["size"] + window - 1
+                        a, b = s["start"], min(len(words), s["start"] + s["size"] + window - 1)
                         digest = hashlib.blake2b(b" ".join(words[a:b]), digest_size=16).digest()
                         seen.append({"path": s["path"], "digest": digest})
                         if not s["same"]:
@@ -249,7 +249,7 @@ class SubstringDedup:
                 ids, pos, names = [], [], []
                 for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
                     words = (text or "").encode().split()
-                    for i in sorted({i for s in spans for i in range(s["start"], s["start"] + s["size"])}):
+                    for i in sorted({i for s in spans for i in range(s["start"], s["start"] + s["size"]) if i + window <= len(words)}):
                         ids.append(doc)
                         pos.append(i)
                         names.append(hashlib.blake2b(b" ".join(words[i:i + window]), digest_size=16).digest())
