@@ -72,7 +72,7 @@ class ByteBpe:
     stays; extra columns are ignored.
     """
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str, block_bytes: int = 64 << 20, maps: int = 16_384):
+    def __init__(self, spark: SparkSession, path: str, pattern: str, block_bytes: int = 40 << 20, maps: int = 16_384):
         self.spark, self.pattern, self.block_bytes, self.maps = spark, pattern, block_bytes, maps
         self.ranks = read_ranks(path)
         hexed = [(t.hex().upper(), r) for t, r in self.ranks.items()]
@@ -146,15 +146,22 @@ class ByteBpe:
         small = small.select("block", "doc_id", "size", "packed").repartition(blocks, "block")
 
         def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            met: dict[int, pa.Array] = {}
+            met: dict[int, list[pa.Array]] = {}
             for batch in unpacked(batches):
                 pieces, count = cut(*raw(batch.column("text")), pattern)
                 owner = np.repeat(batch.column("block").to_numpy(), count)
                 for block in np.unique(owner).tolist():
                     mine = pc.unique(pieces if (owner == block).all() else pieces.filter(pa.array(owner == block)))
-                    met[block] = pc.unique(pa.concat_arrays([met[block], mine])) if block in met else mine
-            for block, pieces in met.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pieces), block, np.int32)), pieces], ["block", "piece"])
+                    parts = met.setdefault(block, [])
+                    parts.append(mine)
+                    # Merged when the news outgrow what is known, so that each piece is hashed a few times only.
+                    if sum(map(len, parts[1:])) > max(200_000, len(parts[0])):
+                        met[block] = [pc.unique(pa.concat_arrays(parts))]
+            for block, parts in met.items():
+                pieces = pc.unique(pa.concat_arrays(parts))
+                for at in range(0, len(pieces), 1 << 16):
+                    part = pieces.slice(at, 1 << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], ["block", "piece"])
 
         seen = small.mapInArrow(distinct, "block int, piece string")
         words = keep(seen.groupBy("piece").agg(F.collect_list("block").alias("blocks")), "pieces")
