@@ -35,6 +35,8 @@ class Grid:
         return self.res * self.res / 1e6
 
 
+# The defaults below are the settings of a study (seasons, cloud ladders, ring steps, patch and
+# sample sizes, forest and grid of the classifiers); results depend on them.
 @dataclass(frozen=True)
 class SceneSearch:
     sentinel_collection: str = "sentinel-2-l2a"
@@ -74,6 +76,7 @@ class Classification:
     n_per_class: int = 400
     train_share: float = 0.7
     trees: int = 500
+    depth: int = 30
     features_per_split: int = 4
     min_samples: int = 100
     svm_cost: float = 1.0

@@ -33,7 +33,7 @@ def rf_train(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "cl
         *features, F.col(label).cast("double").alias("label_")))
     forest = RandomForestClassifier(
         labelCol="label_", featuresCol="features_", numTrees=trees or cfg.trees,
-        featureSubsetStrategy=str(cfg.features_per_split), maxDepth=10, seed=cfg.seed)
+        featureSubsetStrategy=str(cfg.features_per_split), maxDepth=cfg.depth, seed=cfg.seed)
     assemble = VectorAssembler(inputCols=list(features), outputCol="features_", handleInvalid="keep")
     try:
         return Pipeline(stages=[assemble, forest]).fit(rows)

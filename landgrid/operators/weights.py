@@ -85,16 +85,20 @@ def lag_columns(df: DataFrame, weights: DataFrame, cols: Sequence[str], key: str
 
 
 def normal_upper_tail(z: Column) -> Column:
-    """P(Z > z): the series of the error function with positive terms only."""
+    """P(Z > z): the series of the error function with positive terms only, and beyond 2.5 the continued
+    fraction of its complement, which keeps the digits of small tails."""
     x = F.abs(z) / math.sqrt(2.0)
+    below = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda acc, i: x + (i / 2.0) / acc)
+    far = F.exp(-x * x) / (math.sqrt(math.pi) * below) / 2.0
     terms = F.aggregate(
         F.sequence(F.lit(1), F.lit(250)),
         F.struct(x.alias("t"), x.alias("s")),
         lambda acc, i: F.struct((acc["t"] * x * x * 2.0 / (i * 2 + 1)).alias("t"),
                                 (acc["s"] + acc["t"] * x * x * 2.0 / (i * 2 + 1)).alias("s")),
         lambda acc: acc["s"])
-    erf = F.when(x > 6.0, 1.0).otherwise(F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-x * x) * terms)
-    return F.when(z >= 0, (1.0 - erf) / 2.0).otherwise((1.0 + erf) / 2.0)
+    erf = F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-x * x) * terms
+    tail = F.when(x > 2.5, far).otherwise((1.0 - erf) / 2.0)
+    return F.when(z >= 0, tail).otherwise(1.0 - tail)
 
 
 def morans_i(values: DataFrame, weights: DataFrame, value: str = "z") -> DataFrame:

@@ -49,6 +49,8 @@ SQL = {
     "ueii": sql("SELECT zone_id, pre_year, post_year, delta_years, round(ueii, 6) AS ueii FROM ue", **_ZC),
     "hotspots": sql("""SELECT zone_id, (zone_id - 1) * CAST(5 AS DOUBLE) AS inner_km, zone_id * CAST(5 AS DOUBLE) AS outer_km, round(ueii, 6) AS ueii FROM ue
  WHERE transition_id = 3 AND zone_id > 3 AND ueii > (SELECT avg(ueii) + coalesce(stddev_samp(ueii), 0) FROM ue WHERE transition_id = 3)""", **_ZC),
+    "hotspots_first_step": sql("""SELECT zone_id, (zone_id - 1) * CAST(5 AS DOUBLE) AS inner_km, zone_id * CAST(5 AS DOUBLE) AS outer_km, round(ueii, 6) AS ueii FROM ue
+ WHERE transition_id = 1 AND ueii > (SELECT avg(ueii) + coalesce(stddev_samp(ueii), 0) FROM ue WHERE transition_id = 1)""", **_ZC),
     "sector_counts": sql("SELECT *, CAST(urban_px AS DOUBLE) AS urban_km2 FROM sc", **_SEC),
     "directional_growth": sql("""SELECT a.sector_name AS sector, CAST(a.urban_px AS DOUBLE) AS urban_km2_t0, CAST(b.urban_px AS DOUBLE) AS urban_km2_t1,
  round(CASE WHEN a.urban_px > 0 THEN (b.urban_px - a.urban_px) / CAST(a.urban_px AS DOUBLE) * 100 END, 6) AS growth_pct

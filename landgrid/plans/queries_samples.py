@@ -193,13 +193,12 @@ def spatial_lag_model(spark, sf):
 
 @query("gwr")
 def gwr(spark, sf):
-    return regression.gwr(drivers(spark, sf), ["dist_roads", "dist_centre", "elevation"], 60)
+    return regression.gwr(drivers(spark, sf), PREDICTORS, 60)
 
 
 @query("gwr_bandwidth")
 def gwr_bandwidth(spark, sf):
-    return regression.gwr_bandwidth(drivers(spark, sf), ["dist_roads", "dist_centre", "elevation"],
-                                    [30, 60, 120])
+    return regression.gwr_bandwidth(drivers(spark, sf), PREDICTORS, [30, 60, 120])
 
 
 @query("rf_train")

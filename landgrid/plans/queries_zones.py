@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from landgrid.config import Sprawl
@@ -105,6 +107,13 @@ def hotspots(spark, sf):
     return keep(hot, ["zone_id"], ["inner_km", "outer_km", "ueii"])
 
 
+@query("hotspots_first_step")
+def hotspots_first_step(spark, sf):
+    """Hotspots of the first transition over all rings, the fringe included."""
+    hot = zones.hotspots(ueii_table(spark, sf), replace(SPRAWL, fringe_km=-1.0), 1)
+    return keep(hot, ["zone_id"], ["inner_km", "outer_km", "ueii"])
+
+
 @query("sector_counts")
 def sector_counts(spark, sf):
     out = zones.sector_counts(testbed.lulc(spark, sf), testbed.grid(spark, sf), SPRAWL, YEARS)
