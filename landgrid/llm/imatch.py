@@ -18,6 +18,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTERS = r"[a-z\x{80}-\x{10FFFF}]+"
 DIGITS = "0123456789abcdef"
 BUCKETS = 65_536
+TOP_TASKS = 64  # each task sends its own first terms to the driver, so their number is bounded
 
 
 def terms(text: Column) -> Column:
@@ -41,7 +42,7 @@ class IMatch:
         total = self.docs.count()
         found = self.docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         band = found.where((F.col("df") >= 2) & (F.col("df") <= self.common * total))
-        return [r["term"] for r in band.orderBy(F.desc("df"), "term").limit(self.lexicon).collect()]
+        return [r["term"] for r in band.coalesce(TOP_TASKS).orderBy(F.desc("df"), "term").limit(self.lexicon).collect()]
 
     @staticmethod
     def fingerprinted(rows: DataFrame, text: str, chosen: list[str], out: str) -> DataFrame:

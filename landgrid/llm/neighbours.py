@@ -147,7 +147,10 @@ class ForestIndex:
             self.points = keep(self.points.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "points")
         equal = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
         self.indexed = keep(self.points.withColumn("n", F.row_number().over(equal)).where(F.col("n") <= k + 1).drop("n"), "indexed")
-        chosen = self.indexed.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).toArrow()
+        # Every task would send its own first rows; a bound on the hash leaves about a third more than the sample in all.
+        draw = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 40))
+        bound = int(min(1.0, (1.3 * sample + 1000) / max(self.indexed.count(), 1)) * (1 << 40))
+        chosen = self.indexed.where(draw < bound).orderBy(draw, "vec_id").limit(sample).toArrow()
         column = chosen.column("embedding").combine_chunks()
         self.sample = _matrix(column, self.dim) if len(column) else np.zeros((0, self.dim))
         self.sample_ids = chosen.column("vec_id").to_numpy()

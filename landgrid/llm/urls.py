@@ -29,6 +29,7 @@ SEEDS = ("ads", "adult", "bet", "bets", "betting", "casino", "cheap", "escort",
 STRONG = ("ads", "adult", "bets", "betting", "casino", "escort", "gambling", "jackpot", "pills", "poker", "porn", "slots", "spam",
           "viagra", "warez", "xxx")
 LONGEST = 24
+TOP_TASKS = 16  # each task sends its own first words to the driver, so their number is bounded
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -97,7 +98,7 @@ class UrlFilter:
         """Counts of words of ASCII letters in the pages; seeds count like a word of a thousandth of the largest."""
         words = F.regexp_extract_all(F.translate("html", UPPER, LOWER), F.lit(f"[a-z]{{2,{LONGEST}}}"), F.lit(0))
         counts = self.pages.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-        found = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()}
+        found = {r["word"]: r["n"] for r in counts.coalesce(TOP_TASKS).orderBy(F.desc("n"), "word").limit(most).collect()}
         floor = max(found.values(), default=1000) // 1000 + 1
         for word in SEEDS:
             found[word] = max(found.get(word, 0), floor)
@@ -133,7 +134,7 @@ class UrlFilter:
         bad = bad or 0
         counts = marked.select("bad", F.explode("words").alias("word")).groupBy("word").agg(
             F.sum("bad").alias("bad"), F.count("*").alias("n"))
-        known = [(r["word"], r["bad"], r["n"] - r["bad"]) for r in counts.orderBy(F.desc("n"), "word").limit(self.features).collect()]
+        known = [(r["word"], r["bad"], r["n"] - r["bad"]) for r in counts.coalesce(TOP_TASKS).orderBy(F.desc("n"), "word").limit(self.features).collect()]
         a = sum(x for _, x, _ in known) + len(known)
         b = sum(x for _, _, x in known) + len(known)
         odds = {w: math.log((x + 1) / a) - math.log((y + 1) / b) for w, x, y in known}
