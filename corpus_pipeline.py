@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrid.llm.bpe import ByteBpe
 from landgrid.llm.jaccard import JaccardJoin
 from landgrid.llm.lines import LineDedup
 from landgrid.llm.mixing import SoftMixer
