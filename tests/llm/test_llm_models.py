@@ -112,6 +112,22 @@ def test_urls(spark):
     assert UrlFilter(pages.where("page_id < 0")).judge().count() == 0
 
 
+def test_urls_learn_from_all_words(spark):
+    """More distinct words than any fixed vocabulary: the one that sorts last still cuts names and has odds, and words of
+    over 24 letters do not count in pieces."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = " ".join(f"q{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:3])
+    long = "y" * 24 + "zebra"
+    pages = spark.createDataFrame(
+        [(0, "http://zyxzyw.example.org/", many + " zyx zyw " + long)] + [(k, f"http://w{letters[k]}.example.org/casino", None) for k in range(1, 9)],
+        "page_id long, url string, html string")
+    found = UrlFilter(pages)
+    assert found.counts.count() == 26 ** 3 * 3 + 2 and found.counts.where("word in ('zebra', 'zyx')").count() == 1
+    got = {r["page_id"]: r for r in found.judge().collect()}
+    assert got[0]["words"] == ["zyx", "zyw", "example", "org"] and got[1]["words"] == ["wb", "example", "org", "/casino"]
+    assert got[0]["verdict"] == "allow" and got[1]["verdict"] == "block"
+
+
 def test_segmenter():
     cut = Segmenter({"casino": 5, "win": 50, "the": 500, "cas": 2, "in": 300, "ow": 1})
     assert cut("casinowin") == ["casino", "win"] and cut("thewin") == ["the", "win"] and cut("") == [] and cut("zzz") == ["zzz"]
