@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landgrid.config import Classification, Drivers, Sprawl
+from landgrid.config import Drivers, Sprawl
 from landgrid.functions import classes as C
 from landgrid.functions.bands import FEATURES
 from landgrid.operators.change import change_reference, transition_pairs, transition_values
@@ -22,7 +22,6 @@ QUERIES = {}
 query = register(QUERIES)
 SPRAWL = Sprawl(centre_xy=testbed.CENTRE)
 SEED, FACTOR = 42, 2
-TREES = 20
 Y0, Y1 = 1995, 2001
 BY = ["transition_id"]
 
@@ -205,34 +204,33 @@ def gwr_bandwidth(spark, sf):
 def rf_train(spark, sf):
     """Class counts predicted by a forest that saw the same rows."""
     df = cut_lineage(training(spark, sf))
-    model = classify.rf_train(df, trees=TREES)
+    model = classify.rf_train(df)
     return classify.predict_pixels(model, df, ["cell_id", "yr"]).groupBy("yr", "cls").count()
 
 
 @query("rf_importance")
 def rf_importance(spark, sf):
     df = training(spark, sf)
-    return classify.rf_importance(classify.rf_train(df, trees=TREES), df)
+    return classify.rf_importance(classify.rf_train(df), df)
 
 
 @query("svm_rbf_train")
 def svm_rbf_train(spark, sf):
     df = cut_lineage(training(spark, sf))
-    model = classify.svm_rbf_train(df, size=32, max_iter=10)
+    model = classify.svm_rbf_train(df)
     return classify.predict_pixels(model, df, ["cell_id", "yr"], first_label=1).groupBy("yr", "cls").count()
 
 
 @query("svm_tune")
 def svm_tune(spark, sf):
-    cfg = Classification(tune_costs=(1.0, 10.0), tune_gammas=(0.1,), tune_folds=2)
-    return classify.svm_tune(training(spark, sf), cfg=cfg, size=16, max_iter=5)
+    return classify.svm_tune(training(spark, sf))
 
 
 @query("predict_pixels")
 def predict_pixels(spark, sf):
     """Every pixel of every year; the incomplete ones without a class."""
     df = cut_lineage(training(spark, sf))
-    model = classify.rf_train(df, trees=TREES)
+    model = classify.rf_train(df)
     return classify.predict_pixels(model, df, ["cell_id", "yr"])
 
 
@@ -240,7 +238,7 @@ def predict_pixels(spark, sf):
 def predict_test(spark, sf):
     df = training(spark, sf).dropna(subset=["cls"]).withColumn("id", F.concat_ws("-", "cell_id", "yr"))
     marked = cut_lineage(sampling.train_test_split(df, ["cls"], ["id"], 0.7, SEED))
-    model = classify.rf_train(marked.filter("split = 'train'"), trees=TREES)
+    model = classify.rf_train(marked.filter("split = 'train'"))
     return classify.predict_test(model, marked.filter("split = 'test'"), "RandomForest", "both")
 
 
@@ -325,8 +323,7 @@ def train_and_evaluate(spark, sf):
     grid = testbed.grid(spark, sf)
     points = jobs.auto_training_samples(testbed.land_cover(spark, sf), grid, grid, 400, SEED)
     feat = pixels.feature_stack(testbed.px(spark, sf))
-    out = jobs.train_models(feat, cut_lineage(points), grid, {"landsat": 1997, "sentinel": 2001},
-                            trees=TREES, svm_size=16)
+    out = jobs.train_models(feat, cut_lineage(points), grid, {"landsat": 1997, "sentinel": 2001})
     return out.accuracy
 
 

@@ -1,6 +1,7 @@
 """Sampling, weights and regressions against numpy."""
 
 import hashlib
+import inspect
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from landgrid.config import Change, Classification, Drivers, Grid
 from landgrid.operators import (changemodel, classify, patches, ranking, regression, sampling,
                                 stats, weights)
 from landgrid.plans import jobs
+from landgrid.plans.queries_samples import QUERIES
 
 
 def key(seed, i):
@@ -264,3 +266,25 @@ def test_driver_models_end_to_end(spark, samples):
     assert -1 <= out.moran.first()["I"] <= 1
     with pytest.raises(ValueError):
         jobs.driver_models(stack.filter("growth = 1"))
+
+
+@pytest.mark.parametrize("name", ("svm_tune", "svm_rbf_train", "rf_train", "rf_importance", "predict_pixels", "predict_test",
+                                  "train_and_evaluate"))
+def test_registered_models_use_the_configured_settings(spark, monkeypatch, name):
+    """No argument of a registered model differs from its default, which is the configuration."""
+    class Reached(Exception):
+        pass
+
+    def caught(function):
+        def stop(*args, **kwargs):
+            bound = inspect.signature(function).bind(*args, **kwargs)
+            changed = {k: v for k, v in bound.arguments.items()
+                       if (d := inspect.signature(function).parameters[k].default) is not inspect.Parameter.empty and v != d}
+            raise Reached(changed)
+        return stop
+
+    for module, function in ((classify, "rf_train"), (classify, "svm_rbf_train"), (classify, "svm_tune"), (jobs, "train_models")):
+        monkeypatch.setattr(module, function, caught(getattr(module, function)))
+    with pytest.raises(Reached) as found:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert found.value.args[0] == {}
