@@ -9,6 +9,7 @@ domain; rates are replayed from the steps and never stored between scans.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -71,15 +72,22 @@ class SoftMixer:
     below: at 0 documents may go, at 1 they are only repeated. Null text is empty and has no tokens; such a document,
     and all of them without a labelled table, keep a posterior by the offsets alone or equal shares. Rows that repeat
     are rated alike; extra columns pass through.
+
+    Steps end when totals are within ``close`` of the largest target, or when after 60 of them the last 20 have lowered
+    the distance by less than a fiftieth, as when rates at their bound leave targets out of reach. ``gap`` is the distance
+    left, as a share of the largest target; a warning tells of one above ``close``.
     """
 
     def __init__(self, docs: DataFrame, domains: DataFrame, weights: Mapping[str, float] | None = None, least: float = 0.0,
-                 room: float = 1.0, sample: int = 4000, rounds: int = 60, close: float = 1e-3):
+                 room: float = 1.0, sample: int = 4000, close: float = 1e-3):
         self.docs, self.least = docs, least
         named = domains.select("doc_id", "domain").where("domain is not null")
-        names = named.select("domain").distinct().orderBy("domain").limit(256).collect()  # domains are few by nature
-        self.names = [r["domain"] for r in names] or ["all"]
-        code = named.select("doc_id", (F.array_position(F.array(*map(F.lit, self.names)), F.col("domain")) - 1).alias("domain"))
+        # All of them, since the model has a column for each: labels are dozens or hundreds by nature.
+        names = sorted(r["domain"] for r in named.select("domain").distinct().collect())
+        self.names = names or ["all"]
+        codes = docs.sparkSession.createDataFrame(
+            list(zip(names, range(len(names)))), T.StructType([named.schema["domain"], T.StructField("code", T.IntegerType())]))
+        code = named.join(F.broadcast(codes), "domain").select("doc_id", F.col("code").alias("domain"))
         rows = labelled_sample(docs, code, {"domain": "domain"}, sample)
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +104,7 @@ class SoftMixer:
         self.member = keep(self.posteriors(narrow(docs)).drop("text"), "members")
         share = np.array([(weights or dict.fromkeys(self.names, 1.0)).get(n, 0.0) for n in self.names], float)
         self.share = share / max(share.sum(), 1e-12)
-        self.steps = self._fit(room, rounds, close)
+        self.steps = self._fit(room, close)
 
     def posteriors(self, docs: DataFrame) -> DataFrame:
         """``docs`` with n_tokens and posterior."""
@@ -113,41 +121,45 @@ class SoftMixer:
         return kept.mapInArrow(scan, T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()),
                                                    T.StructField("posterior", T.ArrayType(T.DoubleType()))]))
 
-    def _sums(self, steps: list[np.ndarray], curvature: bool = False) -> np.ndarray:
-        """Expected tokens of each domain after the steps; with ``curvature`` the sums of posterior products."""
+    def _sums(self, steps: list[np.ndarray]) -> np.ndarray:
+        """Expected tokens of each domain after the steps."""
         width, least, taken = len(self.names), self.least, np.array(steps).reshape(-1, len(self.names))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(width * width if curvature else width)
+            total = np.zeros(width)
             for batch in batches:
                 if batch.num_rows:
                     p = batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
                     n = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
-                    total += ((p * n[:, None]).T @ p).ravel() if curvature else p.T @ (n * replay(p, taken, least))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
+                    total += p.T @ (n * replay(p, taken, least))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(total)], ["k", "v"])
 
         # One row per task and domain, summed in Spark.
         rows = self.member.select("n_tokens", "posterior").mapInArrow(scan, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(width * width if curvature else width)
+        out = np.zeros(width)
         for r in rows:
             out[r["k"]] = r["v"]
         return out
 
-    def _fit(self, room: float, rounds: int, close: float) -> list[np.ndarray]:
+    def _fit(self, room: float, close: float) -> list[np.ndarray]:
         have = self._sums([])
         wanted = self.share > 0
+        self.reached, self.target, self.gap = have, np.zeros(len(have)), 0.0
         if not have.sum():
             return []
         self.target = room * self.share * float(np.max(have[wanted] / self.share[wanted]))
-        bend = np.maximum(self._sums([], True).reshape(len(have), -1).sum(axis=1), 1e-9)
+        # A row of sums of posterior products adds up to the tokens at rate 1, since posteriors add up to 1. The
+        # diagonal of these bounds the curvature, so that each step lowers the squared gap.
+        bend = np.maximum(have, 1e-9)
         steps: list[np.ndarray] = []
-        for _ in range(rounds):
-            gap = have - self.target
-            if np.abs(gap).max() <= close * self.target.max():
-                break
-            steps.append(gap / bend)
+        left = [np.linalg.norm((have - self.target) / np.sqrt(bend))]
+        while np.abs(have - self.target).max() > close * self.target.max() and (len(left) <= 60 or left[-1] < 0.98 * left[-21]):
+            steps.append((have - self.target) / bend)
             have = self._sums(steps)
-        self.reached = have
+            left.append(np.linalg.norm((have - self.target) / np.sqrt(bend)))
+        self.reached, self.gap = have, float(np.abs(have - self.target).max() / self.target.max())
+        if self.gap > close:
+            warnings.warn(f"domains miss their targets by up to {self.gap:.3g} of the largest one with rates of {self.least} at least")
         return steps
 
     def rated(self, seed: int = 5) -> DataFrame:

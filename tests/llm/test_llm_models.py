@@ -88,6 +88,19 @@ def test_mixing_meets_targets(docs, none, tables):
     assert SoftMixer(none, labelled_domains(none, labels)).mixed().count() == 0
 
 
+def test_mixing_keeps_every_domain_and_tells_the_gap(spark, tables):
+    rows = [(i, f"wort{i} " * 20, f"d{i:03}") for i in range(300)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    mixer = SoftMixer(many.drop("domain"), many.select("doc_id", "domain"))
+    assert mixer.names == [d for _, _, d in rows] and mixer.gap <= 1e-3
+    got = {r["doc_id"]: r["domain"] for r in mixer.rated().collect()}
+    assert sum(got[i] == d for i, _, d in rows[256:]) > 40
+    docs, labels = tables
+    with pytest.warns(UserWarning, match="miss their targets"):  # rates of one at least cannot empty two languages
+        short = SoftMixer(docs, labelled_domains(docs, labels), weights={"en": 1, "de": 3}, least=1.0, room=1.1)
+    assert short.gap > 1e-3 and np.isclose(short.gap, np.abs(short.reached - short.target).max() / short.target.max())
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme/x", "://", "http://NET/", "http://a.NET/x", "https://anet/x", "http://example.net/en/1?q",
             "http://www.example.net/en", "ftp://Example.COM/de/#x", "http://x.org/fr/a?b://c", "http://org/fr/", "http://casinowin.example.org/en/1",
