@@ -12,7 +12,10 @@ from landgrid.llm.jaccard import JaccardJoin
 from landgrid.llm.lines import LineDedup
 from landgrid.llm.mixing import SoftMixer
 from landgrid.llm.neighbours import ForestIndex
+from landgrid.llm.packing import Packer
 from landgrid.llm.quality import QualityClassifier
+from landgrid.llm.resampling import ImportanceResampler
+from landgrid.llm.spelling import SpellingGroups
 from landgrid.llm.substrings import SubstringDedup
 from landgrid.llm.toxicity import ToxicityChain
 from landgrid.llm.urls import UrlFilter
@@ -144,3 +147,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixer = SoftMixer(docs, labelled_domains(docs, table(spark, sf_dir, "labels")))
     return mixer.rated().select("doc_id", "n_tokens", "domain", "rate", "copies")
+
+
+@query("op11_spelling_groups")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SpellingGroups(table(spark, sf_dir, "documents")).groups()
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Packer(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).pieces()
+
+
+@query("op13_importance_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = ImportanceResampler(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drawn()
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")

@@ -156,6 +156,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(a, b - a)
 
 
+def segments(data: bytes, size: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """``data`` in parts of about ``size`` bytes that end at blanks, so that the words of one part are held at a time."""
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + size) if at + size < len(data) else -1
+        end = len(data) if end < 0 else end
+        yield data[at:end]
+        at = end
+
+
 def longs(values: np.ndarray) -> pa.Array:
     """Unsigned 64-bit hashes as signed longs of the same bits."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))
