@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landgrid.operators.ranking import hash_rank, seeded_hash
+from landgrid.operators.ranking import hash_first, hash_rank, seeded_hash
 from landgrid.session import bounded_local
 
 
@@ -18,7 +18,7 @@ def stratified_points(lulc: DataFrame, per_class: int, seed: int, by: Sequence[s
     n = max(at_least, per_class)
     if known.limit(minimum_total).count() < minimum_total:
         raise ValueError(f"fewer than {minimum_total} cells to sample from")
-    return hash_rank(known, by, ["cell_id"], seed, top=n).drop("group_n")
+    return hash_first(known, by, ["cell_id"], seed, n)
 
 
 def train_test_split(df: DataFrame, by: Sequence[str], ids: Sequence[str], share: float,
@@ -49,7 +49,7 @@ def balance_negatives(df: DataFrame, by: Sequence[str], ids: Sequence[str], rati
     local = bounded_local(quota)
     side = quota if local is None else F.broadcast(local)
     negatives = df.filter(F.col("y") == 0).join(side, list(by))
-    kept = hash_rank(negatives, by, ids, seed, top=None).filter(F.col("rk") <= F.col("quota"))
+    kept = hash_rank(negatives, by, ids, seed).filter(F.col("rk") <= F.col("quota"))
     return positives.unionByName(kept.select(*df.columns))
 
 
@@ -59,7 +59,7 @@ def growth_sample(px: DataFrame, per_stratum: int, seed: int, minimum: int = 10)
     sizes = known.agg(*[F.count(F.when(F.col("growth") == k, 1)) for k in (0, 1)]).first()
     if min(sizes) < minimum:
         raise ValueError(f"fewer than {minimum} cells of a growth class: {tuple(sizes)}")
-    return hash_rank(known, ["growth"], ["cell_id"], seed, top=per_stratum).drop("rk", "group_n")
+    return hash_first(known, ["growth"], ["cell_id"], seed, per_stratum).drop("rk")
 
 
 def regression_frame(px: DataFrame, predictors: Sequence[str]) -> tuple[DataFrame, DataFrame]:

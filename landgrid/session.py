@@ -63,6 +63,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: lineage ends here, later reads take only the
+    columns they need, and every executor can read the files after another one is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded_local(df: DataFrame, cap: int = BROADCAST_ROWS) -> DataFrame | None:
     """``df`` as a local relation when it has at most ``cap`` rows, else ``None``."""
     table = df.limit(cap + 1).toArrow()

@@ -37,8 +37,22 @@ def test_hash_rank_is_the_sorted_order(spark):
     for g, ids in ((1, range(600)), (2, range(600, 700))):
         for rank, i in enumerate(sorted(ids, key=lambda i: key(7, i)), start=1):
             assert got[(g, i)] == (rank, len(ids))
-    top = ranking.hash_rank(df, ["g"], ["id"], 7, top=5)
-    assert sorted(r["rk"] for r in top.filter("g = 1").collect()) == [1, 2, 3, 4, 5]
+    top = ranking.hash_first(df, ["g"], ["id"], 7, 5)
+    assert sorted((r["g"], r["rk"], r["id"]) for r in top.collect()) == sorted(
+        (g, k, i) for g, ids in ((1, range(600)), (2, range(600, 700)))
+        for k, i in enumerate(sorted(ids, key=lambda i: key(7, i))[:5], start=1))
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # tasks pass on five rows of a group at most
+
+
+def test_ranks_over_many_parts_with_null_groups(spark):
+    df = spark.range(0, 500).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 5 % 2).alias("g"))
+    got = {r["id"]: (r["rk"], r["group_n"]) for r in ranking.exact_rank(df, ["g"], [F.desc("id")], part_rows=40).collect()}
+    for group in ([i for i in range(500) if i % 5 in (1, 3)], [i for i in range(500) if i % 5 in (2, 4)], range(0, 500, 5)):
+        assert [got[i] for i in sorted(group, reverse=True)] == [(k + 1, len(group)) for k in range(len(group))]
+    whole = ranking.exact_rank(df, [], [F.asc("id")], part_rows=40)
+    assert {r["id"]: r["rk"] for r in whole.collect()} == {i: i + 1 for i in range(500)}
+    assert ranking.exact_rank(df.filter("id < 0"), ["g"], [F.asc("id")]).count() == 0
 
 
 def test_split_sizes_and_pairing(spark):
