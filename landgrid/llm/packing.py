@@ -15,6 +15,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,36 @@ from landgrid.llm.labelled import narrow
 from landgrid.llm.tokens import chunks, segments
 
 BLOCK = 1 << 20
-KNOWN_RUNS = 250_000
+#: About 250 MB in a worker.
+KNOWN_RUNS = 1_000_000
 #: Pre-tokenisation ends a run of letters before these marks in any case.
 SEAM = re.compile(rb"(?<=[A-Za-z])(?=[.,;:!?])")
+BAR = "|"
+JOINED = 64
 FINAL = (".", "!", "?", "。", "！", "？")
 CLOSING = "\"')]}»”’"
 
 
+class Codes(dict):
+    """Number of each run met so far; runs met for the first time are listed in ``new``. Plain ASCII runs share the number of
+    their lower case: the tokenizer lower-cases, and composes characters only beyond ASCII."""
+
+    def __init__(self):
+        super().__init__()
+        self.count, self.new = 0, []
+
+    def __missing__(self, run: bytes) -> int:
+        low = run.lower() if run.isascii() else run
+        if low != run:
+            code = self[low]
+        else:
+            code = self.count
+            self.count += 1
+            self.new.append(run)
+        self[run] = code
+        return code
+
+
 class RunEncoder:
     """Ids of texts with a word-level vocabulary, which drops white space: a text is the row of its runs between
     blanks. Runs met before are looked up, new ones are encoded together; the table of known runs starts again when full."""
@@ -47,21 +71,36 @@ class RunEncoder:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.removesuffix("</w>").rstrip(CLOSING).endswith(FINAL)
+        bar = self._ids([BAR])[0]
+        self.bar = int(bar[0]) if len(bar) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.codes = Codes()
         self.ids, self.sizes, self.first = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, runs: list[bytes]) -> None:
-        new = [r for r in dict.fromkeys(runs) if r not in self.codes]
-        found = self.tokenizer.encode_batch_fast([r.decode() for r in new], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_new(self) -> None:
+        """Ids of the new runs, many in one text with a bar between them; runs with a bar of their own go alone."""
+        new = [r.decode() for r in self.codes.new]
+        self.codes.new = []
+        alone = [n for n, r in enumerate(new) if BAR in r or self.bar is None]
+        held = set(alone)
+        joined = [n for n in range(len(new)) if n not in held] if held else range(len(new))
+        groups = [joined[i:i + JOINED] for i in range(0, len(joined), JOINED)]
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(new)
+        for group, ids in zip(groups, self._ids([f" {BAR} ".join(new[n] for n in group) for group in groups])):
+            bars = np.flatnonzero(ids == self.bar)
+            for n, a, b in zip(group, [0, *(bars + 1).tolist()], [*bars.tolist(), len(ids)], strict=True):
+                out[n] = ids[a:b]
+        for n, ids in zip(alone, self._ids([new[n] for n in alone])):
+            out[n] = ids
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))])
+        self.ids = np.concatenate([self.ids, *out])
 
     def encode(self, text: bytes) -> np.ndarray:
         """Ids of one text, worked in parts of bounded size."""
@@ -72,12 +111,13 @@ class RunEncoder:
         if len(self.codes) > KNOWN_RUNS:
             self._forget()
         split = [SEAM.sub(b" ", t).split() for t in texts]
-        runs = [r for s in split for r in s]
-        self._learn(runs)
-        codes = np.fromiter(map(self.codes.__getitem__, runs), np.int64, len(runs))
+        runs = sum(map(len, split))
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(split)), np.int64, runs)
+        if self.codes.new:
+            self._encode_new()
         sizes = self.sizes[codes]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
+        total = int(ends[-1]) if runs else 0
         ids = self.ids[np.arange(total) + np.repeat(self.first[codes] - (ends - sizes), sizes)]
         at = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
         return [ids[a:b] for a, b in zip(at[:-1], at[1:])]
