@@ -3,8 +3,8 @@
 Texts are cut into pieces by the tokenizer's pattern. Only distinct pieces are merged: a
 higher-order fold over the byte array of a piece replaces, step by step, the leftmost pair of least rank,
 looking ranks up in a literal map (dealt into small maps by hash, since Spark scans a map from its start).
-Documents are dealt into blocks of bounded size; a block receives its own pieces with their ids and puts its
-documents together again. Decoding concatenates the bytes of the ids. Bytes are held in hexadecimal.
+Documents are dealt into blocks of bounded size; a block is a stream of its own pieces with their ids, then of its documents,
+which are put together again as they come. Decoding concatenates the bytes of the ids. Bytes are held in hexadecimal.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.llm.labelled import narrow
-from landgrid.llm.pieces import cut
+from landgrid.llm.pieces import cut, kind_ranges
 from landgrid.llm.store import keep, packed, unpacked
 from landgrid.llm.tokens import raw
 
@@ -72,7 +72,7 @@ class ByteBpe:
     stays; extra columns are ignored.
     """
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str, block_bytes: int = 40 << 20, maps: int = 16_384):
+    def __init__(self, spark: SparkSession, path: str, pattern: str, block_bytes: int = 8 << 20, maps: int = 16_384):
         self.spark, self.pattern, self.block_bytes, self.maps = spark, pattern, block_bytes, maps
         self.ranks = read_ranks(path)
         hexed = [(t.hex().upper(), r) for t, r in self.ranks.items()]
@@ -87,39 +87,41 @@ class ByteBpe:
             pieces[rank] = token
         self.hex_of_id = ",".join(pieces)
 
-    def _rank(self, token: Column) -> Column:
-        table = F.from_json(F.lit(self.rank_maps), "array<map<string,int>>")
-        few = F.get(table, F.pmod(F.xxhash64(token), F.lit(self.maps)).cast("int"))
-        return F.coalesce(F.try_element_at(few, token), F.lit(NEVER))
-
     def fold(self, token: Column) -> Column:
-        """Ids of a piece in hexadecimal."""
+        """Ids of a piece in hexadecimal. The rank map is one literal, bound once around the whole fold."""
         def let(value: Column, use) -> Column:
             return F.get(F.transform(F.array(value), use), F.lit(0))
 
-        def step(state: Column, _: Column) -> Column:
-            parts, ranks = state["parts"], state["ranks"]
-
-            def merge(at: Column) -> Column:
-                joined = F.concat(F.get(parts, at - 1), F.get(parts, at))
-                none = F.array().cast("array<int>")
-                left = F.when(at > 1, F.array(self._rank(F.concat(F.get(parts, at - 2), joined)))).otherwise(none)
-                right = F.when(at + 1 < F.size(parts), F.array(self._rank(F.concat(joined, F.get(parts, at + 1))))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(parts, 1, at - 1), F.array(joined), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-                    F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(parts))).alias("ranks"))
-
-            least = F.array_min(ranks)
-            return F.when(F.coalesce(least, F.lit(NEVER)) == NEVER, state).otherwise(
-                let(F.array_position(ranks, least).cast("int"), merge))
-
-        size = (F.length(token) / 2).cast("int")
-        bytes_ = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(token, 2 * i + 1, F.lit(2)))
-        pairs = F.when(size < 2, F.array().cast("array<int>")).otherwise(
-            F.transform(F.sequence(F.lit(0), size - 2), lambda i: self._rank(F.substring(token, 2 * i + 1, F.lit(4)))))
-        start = F.struct(bytes_.alias("parts"), pairs.alias("ranks"))
-        merged = F.aggregate(F.sequence(F.lit(1), size), start, step, lambda s: F.transform(s["parts"], self._rank))
-        return let(self._rank(token), lambda whole: F.when(whole != NEVER, F.array(whole)).otherwise(merged))
+        def with_map(table: Column) -> Column:
+            def rank(part: Column) -> Column:
+                few = F.get(table, F.pmod(F.xxhash64(part), F.lit(self.maps)).cast("int"))
+                return F.coalesce(F.try_element_at(few, part), F.lit(NEVER))
+
+            def step(state: Column, _: Column) -> Column:
+                parts, ranks = state["parts"], state["ranks"]
+
+                def merge(at: Column) -> Column:
+                    joined = F.concat(F.get(parts, at - 1), F.get(parts, at))
+                    none = F.array().cast("array<int>")
+                    left = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), joined)))).otherwise(none)
+                    right = F.when(at + 1 < F.size(parts), F.array(rank(F.concat(joined, F.get(parts, at + 1))))).otherwise(none)
+                    return F.struct(
+                        F.concat(F.slice(parts, 1, at - 1), F.array(joined), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
+                        F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(parts))).alias("ranks"))
+
+                least = F.array_min(ranks)
+                return F.when(F.coalesce(least, F.lit(NEVER)) == NEVER, state).otherwise(
+                    let(F.array_position(ranks, least).cast("int"), merge))
+
+            size = (F.length(token) / 2).cast("int")
+            bytes_ = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(token, 2 * i + 1, F.lit(2)))
+            pairs = F.when(size < 2, F.array().cast("array<int>")).otherwise(
+                F.transform(F.sequence(F.lit(0), size - 2), lambda i: rank(F.substring(token, 2 * i + 1, F.lit(4)))))
+            start = F.struct(bytes_.alias("parts"), pairs.alias("ranks"))
+            merged = F.aggregate(F.sequence(F.lit(1), size), start, step, lambda s: F.transform(s["parts"], rank))
+            return let(rank(token), lambda whole: F.when(whole != NEVER, F.array(whole)).otherwise(merged))
+
+        return let(F.from_json(F.lit(self.rank_maps), "array<map<string,int>>"), with_map)
 
     def encode_pieces(self, pieces: DataFrame) -> DataFrame:
         """``pieces`` with a column piece (string) and ids added."""
@@ -137,18 +139,18 @@ class ByteBpe:
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """(doc_id, ids) of every document."""
-        rows, pattern = narrow(docs), self.pattern
+        rows, pattern, ranges = narrow(docs), self.pattern, kind_ranges()
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         blocks = max(4, -(-total // self.block_bytes))
 
         small = packed(rows).withColumn(
             "block", F.pmod(F.xxhash64("doc_id", "packed"), F.lit(blocks)).cast("int"))
-        small = small.select("block", "doc_id", "size", "packed").repartition(blocks, "block")
+        small = small.select("block", "doc_id", "size", "packed")
 
         def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             met: dict[int, list[pa.Array]] = {}
             for batch in unpacked(batches):
-                pieces, count = cut(*raw(batch.column("text")), pattern)
+                pieces, count = cut(*raw(batch.column("text")), pattern, ranges)
                 owner = np.repeat(batch.column("block").to_numpy(), count)
                 for block in np.unique(owner).tolist():
                     mine = pc.unique(pieces if (owner == block).all() else pieces.filter(pa.array(owner == block)))
@@ -163,30 +165,50 @@ class ByteBpe:
                     part = pieces.slice(at, 1 << 16)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], ["block", "piece"])
 
-        seen = small.mapInArrow(distinct, "block int, piece string")
+        seen = small.repartition(blocks, "block").mapInArrow(distinct, "block int, piece string")
         words = keep(seen.groupBy("piece").agg(F.collect_list("block").alias("blocks")), "pieces")
-        known = self.encode_pieces(words).select(F.explode("blocks").alias("block"), "piece", "ids").repartition(blocks, "block")
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-
-        def together(docs_: pa.Table, words_: pa.Table) -> Iterator[pa.RecordBatch]:
-            ids = words_.column("ids").combine_chunks()
-            names = words_.column("piece").combine_chunks()
+        known = self.encode_pieces(words).select(F.explode("blocks").alias("block"), "piece", "ids")
+        # Pieces of a block come before its documents.
+        both = known.select("block", F.lit(False).alias("text_"), "piece", "ids").unionByName(
+            small.withColumn("text_", F.lit(True)), allowMissingColumns=True)
+        stream = both.repartition(blocks, "block").sortWithinPartitions("block", "text_")
+
+        def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, words_ = None, []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                key = batch.column("block").to_numpy() * 2 + batch.column("text_").to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
+                for a, b in zip(at, [*at[1:], batch.num_rows]):
+                    part = batch.slice(a, b - a)
+                    if key[a] // 2 != block:
+                        block, words_ = key[a] // 2, []
+                    if key[a] % 2 == 0:
+                        words_.append(part.select(["piece", "ids"]))
+                    else:
+                        yield from put(words_, part.select(["doc_id", "size", "packed"]))
+
+        def put(words_: list[pa.RecordBatch], docs_: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            if words_:
+                table = pa.Table.from_batches(words_).combine_chunks()
+                names, ids = table.column("piece").combine_chunks(), table.column("ids").combine_chunks()
+            else:  # empty texts alone
+                names, ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
             sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             first = np.cumsum(sizes) - sizes
-            out = []
-            for batch in unpacked(iter(docs_.to_batches())):
-                pieces, per_doc = cut(*raw(batch.column("text")), pattern)
+            for batch in unpacked(iter([docs_]), 4 << 20):
+                pieces, per_doc = cut(*raw(batch.column("text")), pattern, ranges)
                 at = pc.index_in(pieces, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
                 count = sizes[at] if len(at) else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(count)])
                 place = np.arange(ends[-1]) + np.repeat((first[at] if len(at) else count) - ends[:-1], count)
                 offsets = ends[np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int64)].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[place] if len(place) else flat[:0]))
-                out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"]))
-            return pa.Table.from_batches(out, schema) if out else schema.empty_table()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
-        return small.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(together, "doc_id long, ids array<int>")
+        return stream.mapInArrow(together, "doc_id long, ids array<int>")
 
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids."""

@@ -1,8 +1,11 @@
-"""Cutting texts into the pieces of a tokenizer pattern, by whole batches."""
+"""Cutting texts into the pieces of a tokenizer pattern, by whole batches.
+
+Letters, numbers and white space are asked of the tokenizer library itself, whose tables follow another Unicode version than
+Python's; the driver sends them to the tasks as ranges.
+"""
 
 from __future__ import annotations
 
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -11,20 +14,30 @@ import regex
 
 #: The common pattern of byte-level vocabularies, which is cut without an engine (fixed value).
 COMMON = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Code points of white space (fixed values).
-WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = range(4)
+CODE_POINTS = 0x110000
+
+
+@lru_cache(maxsize=1)
+def kind_ranges() -> bytes:
+    """First code point of every run of one kind, times four, plus the kind: as the engine of ``tiktoken`` classes them. An
+    encoding of single bytes drops what its pattern does not match, so one call per kind names all of its code points."""
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(CODE_POINTS) if not 0xD800 <= c < 0xE000)
+    kind = np.full(CODE_POINTS, OTHER, np.int64)
+    for k, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        single = tiktoken.Encoding(f"kind{k}", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        kind[[ord(c) for c in bytes(single.encode_ordinary(every)).decode()]] = k
+    first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+    return (first * 4 + kind[first]).astype(np.int32).tobytes()
 
 
 @lru_cache(maxsize=1)
-def kinds() -> np.ndarray:
+def kinds(ranges: bytes) -> np.ndarray:
     """Kind of each code point."""
-    first = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
-    out = np.full(len(first), OTHER, np.uint8)
-    names = np.array(first)
-    out[names == "L"], out[names == "N"] = LETTER, NUMBER
-    out[WHITE] = SPACE
-    return out
+    both = np.frombuffer(ranges, np.int32)
+    return np.repeat((both % 4).astype(np.uint8), np.diff(np.append(both // 4, CODE_POINTS)))
 
 
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,13 +54,13 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return b, at
 
 
-def common_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+def common_starts(data: np.ndarray, offs: np.ndarray, ranges: bytes) -> np.ndarray:
     """First bytes of the pieces of texts, as ``COMMON`` cuts them."""
     code, at = code_points(data)
     n = len(code)
     if not n:
         return np.zeros(0, np.int64)
-    kind = kinds()[code]
+    kind = kinds(ranges)[code]
     begins = np.zeros(n + 3, bool)  # of texts, with room behind the last one
     begins[np.searchsorted(at, offs)] = True
     turn = np.ones(n, bool)
@@ -73,10 +86,10 @@ def common_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return at[start]
 
 
-def cut(data: np.ndarray, offs: np.ndarray, pattern: str) -> tuple[pa.StringArray, np.ndarray]:
-    """All pieces in order, and the number of each text."""
+def cut(data: np.ndarray, offs: np.ndarray, pattern: str, ranges: bytes) -> tuple[pa.StringArray, np.ndarray]:
+    """All pieces in order, and the number of each text; ``ranges`` are the ``kind_ranges`` of the driver."""
     if pattern == COMMON:
-        starts = common_starts(data, offs)
+        starts = common_starts(data, offs, ranges)
     else:
         found, whole = [], data.tobytes()
         engine = regex.compile(pattern)

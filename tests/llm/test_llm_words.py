@@ -11,10 +11,13 @@ import hard
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from landgrid.llm.bpe import ByteBpe
 from landgrid.llm.packing import Packer, RunEncoder, cut_places, least_cost_cuts
+from landgrid.llm.pieces import COMMON, cut, kind_ranges
 from landgrid.llm.resampling import ImportanceResampler, features
 from landgrid.llm.spelling import Acceptor, SpellingGroups, one_edit_pairs, shared
 
@@ -195,7 +198,7 @@ def test_run_encoder_is_the_tokenizer(rows):
     tok.encode_special_tokens = True
     hard_texts = [t or "" for _, t in rows] + [
         "can't WON'T, I'll; x.y.z 'tis a.'s (b.) c!\"d\" <|endoftext|> , .5 1,000.25", "ẖ H̱. É, ẞ a b\u0085c\x1cd\x1fe",
-        "İI.̇ ΣΣ. 12a,b3?", "日本語。中文！a。b", "​zero‍width", "\x00 nul \x7f", "é,è;é."]
+        "İI.̇ ΣΣ. 12a,b3?", "日本語。中文！a。b", "​zero‍width", "\x00 nul \x7f", "a|b | || c| |d", "é,è;é."]
     codec = RunEncoder(VOCABULARY)
     for got, text in zip(codec.encode_all([t.encode() for t in hard_texts]), hard_texts):
         assert got.tolist() == tok.encode(text, add_special_tokens=False).ids, text[:50]
@@ -287,3 +290,30 @@ def test_resampling_on_awkward_rows(spark, docs, none, rows):
     assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, 16)) and len(got) == 31
     ranked = sorted((r for r in got if r["rank"]), key=lambda r: r["rank"])
     assert [r["score"] for r in ranked] == sorted((r["score"] for r in ranked), reverse=True)
+
+
+# Pieces of the byte-level vocabulary
+
+def test_pieces_are_the_tokenizers_at_every_code_point():
+    """Our pieces become the vocabulary: the engine then gives one id per piece, in order, exactly if it cuts alike."""
+    ranges = kind_ranges()
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 1 << 17):
+        text = "".join(f"{chr(c)}'s{chr(c)}a 1{chr(c)}\n" for c in every[at:at + (1 << 17)])
+        data = np.frombuffer(text.encode(), np.uint8)
+        pieces = [p.encode() for p in cut(data, np.array([0, len(data)]), COMMON, ranges)[0].to_pylist()]
+        ranks = {bytes([b]): b for b in range(256)}
+        for p in pieces:
+            ranks.setdefault(p, len(ranks))
+        engine = tiktoken.Encoding(f"own{at}", pat_str=COMMON, mergeable_ranks=ranks, special_tokens={})
+        assert engine.encode_ordinary(text) == [ranks[p] for p in pieces]
+
+
+def test_encoding_newer_letters_and_repeats(spark):
+    texts = ["Ᲊ's", "Ɤ's x", "Ꟛ's", "\U000105c0's", None, "", "a" * 5_000 + "'s", " 　 x", "same", "same"]
+    rows = [(i // 2 if i else None, t, None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, block int")
+    codec = ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    engine = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    got = sorted((str(r["doc_id"]), r["ids"]) for r in codec.encode(df).collect())
+    assert got == sorted((str(i), engine.encode_ordinary(t or "")) for i, t, _ in rows)
