@@ -35,6 +35,21 @@ class Grid:
         return self.res * self.res / 1e6
 
 
+@dataclass(frozen=True)
+class Geometry:
+    """What a stored raster is laid on: its grid and the name of its reference system."""
+
+    grid: Grid
+    crs: str
+
+    def same(self, other: Geometry, tolerance: float = 1e-6) -> bool:
+        """Equal reference system and size, and resolution and origin equal to a millionth of a cell."""
+        a, b = self.grid, other.grid
+        near = lambda x, y: abs(x - y) <= tolerance * a.res
+        return (self.crs == other.crs and (a.nrows, a.ncols) == (b.nrows, b.ncols)
+                and near(a.res, b.res) and near(a.x0, b.x0) and near(a.y0, b.y0))
+
+
 # The defaults below are the settings of a study (seasons, cloud ladders, ring steps, patch and
 # sample sizes, forest and grid of the classifiers); results depend on them.
 @dataclass(frozen=True)

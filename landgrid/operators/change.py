@@ -35,9 +35,9 @@ def pick_transitions(transitions: Sequence[tuple[int, int]], index: int | None =
 
 def transition_values(df: DataFrame, values: Sequence[str],
                       transitions: Sequence[tuple[int, int]],
-                      keys: Sequence[str] = CELL) -> DataFrame:
+                      keys: Sequence[str] = CELL, numbers: Sequence[int] | None = None) -> DataFrame:
     """One row per cell and transition where both dates have the cell, with
-    ``pre_<value>`` and ``post_<value>``."""
+    ``pre_<value>`` and ``post_<value>``. Transitions are numbered from 1, or by ``numbers``."""
     years = sorted({y for t in transitions for y in t})
     wide = spread_years(df, values, years, keys)
     rows = [F.struct(F.lit(i).alias("transition_id"), F.lit(a).alias("pre_year"),
@@ -45,7 +45,7 @@ def transition_values(df: DataFrame, values: Sequence[str],
                      (F.col(f"has_{a}") & F.col(f"has_{b}")).alias("both"),
                      *[F.col(f"{v}_{a}").alias(f"pre_{v}") for v in values],
                      *[F.col(f"{v}_{b}").alias(f"post_{v}") for v in values])
-            for i, (a, b) in enumerate(transitions, start=1)]
+            for i, (a, b) in zip(numbers or range(1, len(transitions) + 1), transitions)]
     return wide.select(*keys, F.inline(F.array(*rows))).filter("both").drop("both")
 
 

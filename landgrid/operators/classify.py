@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from landgrid.functions import classes as C
 from landgrid.functions.bands import FEATURES
 from landgrid.operators.focal import focal_majority
 from landgrid.operators.pixels import denormalize
+from landgrid.operators.ranking import hash_first, seeded_hash
 from landgrid.session import compact
 
 
@@ -26,6 +27,14 @@ def complete(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     return df.dropna(subset=list(features))
 
 
+def training_points(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "cls", by: Sequence[str] = ("sensor",),
+                    ids: Sequence[str] = ("cell_id", "yr"), cfg: Classification = Classification()) -> DataFrame:
+    """The labelled rows models are fitted on: of each sensor and class at most ``cfg.n_per_class`` complete rows, those of
+    least seeded hash. Tasks pass on no more than that many rows of a class, so the sample costs one narrow shuffle."""
+    known = complete(df, [*features, label]).select(*by, label, *ids, *features)
+    return hash_first(known, [*by, label], ids, cfg.seed, cfg.n_per_class).drop("rk")
+
+
 def rf_train(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "cls",
              cfg: Classification = Classification(), trees: int | None = None) -> PipelineModel:
     """Random forest on the complete rows; four features are tried per split."""
@@ -33,7 +42,9 @@ def rf_train(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "cl
         *features, F.col(label).cast("double").alias("label_")))
     forest = RandomForestClassifier(
         labelCol="label_", featuresCol="features_", numTrees=trees or cfg.trees,
-        featureSubsetStrategy=str(cfg.features_per_split), maxDepth=cfg.depth, seed=cfg.seed)
+        featureSubsetStrategy=str(cfg.features_per_split), maxDepth=cfg.depth, seed=cfg.seed,
+        # Rows keep the node they have reached, so a level does not ship the forest grown so far.
+        cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
     assemble = VectorAssembler(inputCols=list(features), outputCol="features_", handleInvalid="keep")
     try:
         return Pipeline(stages=[assemble, forest]).fit(rows)
@@ -99,26 +110,40 @@ def svm_rbf_train(df: DataFrame, features: Sequence[str] = FEATURES, label: str
 
 def svm_tune(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "cls",
              cfg: Classification = Classification(), size: int = 48, max_iter: int = 20) -> DataFrame:
-    """Cross-validated accuracy of every (cost, gamma), best first."""
+    """Cross-validated accuracy of every (cost, gamma), best first.
+
+    Folds are seeded hashes of the inputs, so equal rows share one. Inputs are scaled, projected and learned on the rows outside a
+    fold and judged on those inside; the grid points of all folds run side by side."""
     spark = df.sparkSession
+    fold = F.conv(F.substring(seeded_hash(cfg.seed, *[F.col(f) for f in features]), 1, 8), 16, 10).cast("bigint") % cfg.tune_folds
     rows = _training_rows(df, features, label)
-    results, n = [], rows.count()
+    marked = compact(rows.withColumn("fold_", fold.cast("int")))
+    sizes = dict(tuple(r) for r in marked.groupBy("fold_").count().collect())
+    n = sum(sizes.values())
+    judge = MulticlassClassificationEvaluator(labelCol="label_", metricName="accuracy")
+
+    def judged(gamma: float, k: int) -> list[tuple[float, float, float]]:
+        inside, outside = marked.filter(F.col("fold_") == k), marked.filter(F.col("fold_") != k)
+        project, assemble, machines = svm_pipeline(outside, features, gamma, 1.0, n - sizes[k], size, cfg.seed, max_iter)[0].getStages()
+        mapped = [assemble.transform(project.transform(part)).select("features_", "label_").cache() for part in (outside, inside)]
+        out = []
+        for cost in cfg.tune_costs:
+            svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (cost * max(n - sizes[k], 1)), standardization=False)
+            out.append((float(cost), float(gamma), sizes[k] * judge.evaluate(machines.copy({machines.classifier: svc}).fit(mapped[0]).transform(mapped[1]))))
+        for part in mapped:
+            part.unpersist()
+        return out
+
     try:
-        for gamma in cfg.tune_gammas:
-            pipeline, ovr, _ = svm_pipeline(rows, features, gamma, 1.0, n, size, cfg.seed, max_iter)
-            project, assemble, _ = pipeline.getStages()
-            data = assemble.transform(project.transform(rows)).select("features_", "label_")
-            machines = [LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(n * (cfg.tune_folds - 1) // cfg.tune_folds, 1)),
-                                  standardization=False) for c in cfg.tune_costs]
-            grid = ParamGridBuilder().addGrid(ovr.classifier, machines).build()
-            check = MulticlassClassificationEvaluator(labelCol="label_", metricName="accuracy")
-            cv = CrossValidator(estimator=ovr, estimatorParamMaps=grid, evaluator=check,
-                                numFolds=cfg.tune_folds, parallelism=4, seed=cfg.seed).fit(data)
-            results += [(float(c), float(gamma), float(a))
-                        for c, a in zip(cfg.tune_costs, cv.avgMetrics)]
+        with ThreadPool(8) as pool:
+            parts = pool.starmap(judged, [(g, k) for g in cfg.tune_gammas for k in sorted(sizes)])
     finally:
         rows.unpersist()
-    return spark.createDataFrame(results, "cost double, gamma double, accuracy double") \
+        marked.unpersist()
+    right: dict[tuple[float, float], float] = {}
+    for cost, gamma, hits in (r for part in parts for r in part):
+        right[cost, gamma] = right.get((cost, gamma), 0.0) + hits
+    return spark.createDataFrame([(*k, v / n) for k, v in right.items()], "cost double, gamma double, accuracy double") \
                 .orderBy(F.desc("accuracy"), "cost", "gamma")
 
 
@@ -165,14 +190,6 @@ def classify_year(predicted: DataFrame, norm: DataFrame, params: DataFrame,
         "cell_id", "r", "c", "yr", C.clamp_class(ruled).alias("cls"))
 
 
-def class_balance(df: DataFrame, label: str = "y") -> DataFrame:
-    """Every row with the weight that balances positives against negatives."""
-    total = df.agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"),
-                   F.count(F.when(F.col(label) == 0, 1)).alias("n")).first()
-    weight = total["n"] / max(1, total["p"])
-    return df.withColumn("weight", F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(1.0))
-
-
 def class_weight(df: DataFrame, by: Sequence[str], label: str = "y") -> DataFrame:
     """pos_weight = negatives / max(1, positives)."""
     g = df.groupBy(*by).agg(F.count(F.when(F.col(label) == 1, 1)).alias("n_pos"),

@@ -1,6 +1,8 @@
-"""Neighbourhood operators by pushing: each cell sends its contribution to the cells around
-it and one aggregation collects them. Contributions to the same target combine before the
-shuffle, so a spatially sorted table shuffles about one row per cell."""
+"""Neighbourhood operators on tiles with a halo.
+
+An exchange step of its own deals the cells by tile and copies those at a tile's rim to the tiles beside it, which is about
+one row in sixteen. Inside a tile each cell then sends its contribution to the cells around it and one aggregation
+collects them; it is grouped by tile first, so Spark needs no further shuffle."""
 
 from __future__ import annotations
 
@@ -15,14 +17,30 @@ from landgrid.functions import classes as C
 SQUARE = tuple((dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1))
 
 
+HALO_TILE = 64
+TILE = ("tile_r", "tile_c")
+
+
+def with_halo(df: DataFrame, offsets: Sequence[tuple[int, int]], by: Sequence[str], tile: int = HALO_TILE) -> DataFrame:
+    """``df`` dealt by ``tile_r, tile_c``: every row goes to its own tile and to those that one of its ``offsets`` reaches."""
+    def reached(axis: str, steps: Sequence[int]) -> Column:
+        return F.sequence(F.expr(f"({axis} + {min(steps)}) div {tile}"), F.expr(f"({axis} + {max(steps)}) div {tile}"))
+
+    rows = df.withColumn("tile_r", F.explode(reached("r", [dr for dr, _ in offsets])))
+    rows = rows.withColumn("tile_c", F.explode(reached("c", [dc for _, dc in offsets])))
+    return rows.repartition(*by, *TILE)
+
+
 def push(df: DataFrame, offsets: Sequence[tuple[int, int]], by: Sequence[str],
-         carry: Mapping[str, Column]) -> DataFrame:
-    """Copy ``carry`` to the cells at ``offsets``; ``dr, dc`` tell where the copy went."""
+         carry: Mapping[str, Column], tile: int = HALO_TILE) -> DataFrame:
+    """Copy ``carry`` to the cells at ``offsets``; ``dr, dc`` tell where the copy went. To be grouped by
+    ``(*by, *TILE, r, c)``, which needs no shuffle."""
     targets = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"))
                         for dr, dc in offsets])
-    return (df.select(*by, "r", "c", *[e.alias(n) for n, e in carry.items()],
-                      F.inline(targets))
-            .withColumns({"r": F.col("r") + F.col("dr"), "c": F.col("c") + F.col("dc")}))
+    narrow = df.select(*by, "r", "c", *[e.alias(n) for n, e in carry.items()])
+    sent = with_halo(narrow, offsets, by, tile).select("*", F.inline(targets))
+    moved = sent.withColumns({"r": F.col("r") + F.col("dr"), "c": F.col("c") + F.col("dc")})
+    return moved.filter(F.expr(f"r div {tile} = tile_r AND c div {tile} = tile_c"))
 
 
 def focal_majority(lulc: DataFrame, by: Sequence[str] = ("yr",),
@@ -30,7 +48,7 @@ def focal_majority(lulc: DataFrame, by: Sequence[str] = ("yr",),
     """3 x 3 majority with the centre included, NULLs dropped, the lowest class on ties."""
     sent = push(lulc, SQUARE, by, {"v": F.col(value), "id": F.col("cell_id")})
     own = (F.col("dr") == 0) & (F.col("dc") == 0)
-    counts = sent.groupBy(*by, "r", "c").agg(
+    counts = sent.groupBy(*by, *TILE, "r", "c").agg(
         F.max(F.when(own, F.col("id"))).alias("cell_id"),
         *[F.count(F.when(F.col("v") == k, 1)).alias(f"n{k}") for k in classes],
     ).filter(F.col("cell_id").isNotNull())
@@ -45,7 +63,7 @@ def slope_degrees(dem: DataFrame, res: float, by: Sequence[str] = ()) -> DataFra
     # A copy sent by (dr, dc) came from the neighbour at (-dr, -dc).
     wx = -F.col("dc") * (2 - F.abs(F.col("dr")))
     wy = -F.col("dr") * (2 - F.abs(F.col("dc")))
-    g = sent.groupBy(*by, "r", "c").agg(
+    g = sent.groupBy(*by, *TILE, "r", "c").agg(
         F.max(F.when(own, F.col("id"))).alias("cell_id"),
         F.count("z").alias("n"),
         (F.sum(F.col("z") * wx) / (8.0 * res)).alias("gx"),
@@ -76,5 +94,6 @@ def forward_pairs(lulc: DataFrame, by: Sequence[str] = ("yr",), value: str = "cl
     sent = push(lulc, ((0, 0), (0, -1), (-1, 0)), by, {"v": F.col(value)})
     pick = lambda dr, dc: F.max(F.when((F.col("dr") == dr) & (F.col("dc") == dc),
                                        F.col("v")))
-    return sent.groupBy(*by, "r", "c").agg(pick(0, 0).alias(value), pick(0, -1).alias("right"),
-                                           pick(-1, 0).alias("below"))
+    found = sent.groupBy(*by, *TILE, "r", "c").agg(pick(0, 0).alias(value), pick(0, -1).alias("right"),
+                                                   pick(-1, 0).alias("below"))
+    return found.drop(*TILE)

@@ -46,29 +46,53 @@ def patch_windows(pairs: DataFrame, channels: Sequence[str], size: int, stride:
         F.col(f"cells.{d}_{c}").alias(f"{d}_{c}") for c in channels for d in ("pre", "post")])
 
 
-def centre_label(change: Column, cfg: Change) -> Column:
-    """1 when the share of change in the central square reaches the threshold."""
+def _complete_cell(channels: Sequence[str]) -> Column:
+    whole = F.lit(True)
+    for c in channels:
+        whole = whole & F.col(f"pre_{c}").isNotNull() & F.col(f"post_{c}").isNotNull()
+    return whole
+
+
+def _centre_sums(pairs: DataFrame, cfg: Change, stride: int, by: Sequence[str]) -> DataFrame:
+    """Cells with known change, and changed ones, of every window's central square. Only the cells of such squares are sent."""
     off, k = (cfg.patch_size - cfg.centre) // 2, cfg.centre
-    dr, dc = F.col("r") - F.col("r0"), F.col("c") - F.col("c0")
-    inside = dr.between(off, off + k - 1) & dc.between(off, off + k - 1)
-    share = F.avg(F.when(inside, change))
-    return F.when(share.isNotNull(), (share >= cfg.centre_threshold).cast("int"))
+    known = pairs.filter(F.col("change").isNotNull())
+    rows = known.withColumn("r0", F.explode(origins(F.col("r") - off, k, stride)))
+    cells = rows.withColumn("c0", F.explode(origins(F.col("c") - off, k, stride)))
+    return cells.groupBy(*by, *WINDOW).agg(F.count(F.lit(1)).alias("n_change"), F.sum("change").alias("s_change"))
 
 
 def patch_summaries(pairs: DataFrame, channels: Sequence[str], cfg: Change, stride: int,
                     by: Sequence[str], statistics: bool = True) -> DataFrame:
-    """Complete windows with their label ``y`` and, per channel, mean and deviation of both
-    dates and of their absolute difference. Everything is a running sum, so windows combine
-    before the shuffle and no array is built."""
-    aggs = [_complete(channels, cfg.patch_size).alias("ok"),
-            centre_label(F.col("change"), cfg).alias("y")]
+    """Complete windows with their label ``y`` (1 when the share of change in the central square reaches the threshold)
+    and, per channel, mean and deviation of both dates and of their absolute difference.
+
+    Windows are unions of ``gcd(size, stride)`` blocks: cells add up per block, and only the block's sums go to the windows
+    that hold it. The label takes the cells of central squares alone."""
+    size = cfg.patch_size
+    g = math.gcd(size, stride)
+    sums = [F.count(F.when(_complete_cell(channels), 1)).alias("n_")]
+    values: dict[str, Column] = {}
     if statistics:
         for c in channels:
             pre, post = F.col(f"pre_{c}"), F.col(f"post_{c}")
-            for tag, v in (("pre", pre), ("post", post), ("diff", F.abs(post - pre))):
-                aggs += [F.avg(v).alias(f"{tag}_{c}_mean"), F.stddev_pop(v).alias(f"{tag}_{c}_sd")]
-    g = to_windows(pairs, cfg.patch_size, stride).groupBy(*by, *WINDOW).agg(*aggs)
-    return g.filter("ok").drop("ok").withColumn("patch_id", F.concat_ws("-", *by, *WINDOW))
+            values |= {f"pre_{c}": pre, f"post_{c}": post, f"diff_{c}": F.abs(post - pre)}
+    for name, v in values.items():
+        sums += [F.sum(v).alias(f"{name}_s"), F.sum(v * v).alias(f"{name}_ss")]
+    blocks = pairs.groupBy(*by, F.expr(f"r div {g}").alias("br"), F.expr(f"c div {g}").alias("bc")).agg(*sums)
+    rows = blocks.withColumn("r0", F.explode(origins(F.col("br") * g, size, stride)))
+    held = rows.withColumn("c0", F.explode(origins(F.col("bc") * g, size, stride))).drop("br", "bc")
+    both = held.unionByName(_centre_sums(pairs, cfg, stride, by), allowMissingColumns=True)
+    added = ["n_", "n_change", "s_change", *[f"{name}_{s}" for name in values for s in ("s", "ss")]]
+    whole = both.groupBy(*by, *WINDOW).agg(*[F.sum(c).alias(c) for c in added]).filter(F.col("n_") == size * size)
+    share = F.col("s_change") / F.col("n_change")
+    out = [F.when(share.isNotNull(), (share >= cfg.centre_threshold).cast("int")).alias("y")]
+    for name in values:
+        mean, square = F.col(f"{name}_s") / float(size * size), F.col(f"{name}_ss") / float(size * size)
+        spread = square - mean * mean
+        # What is left of a constant window is rounding.
+        out += [mean.alias(f"{name}_mean"), F.sqrt(F.when(spread > 1e-13 * square, spread).otherwise(0.0)).alias(f"{name}_sd")]
+    return whole.select(*by, *WINDOW, *out).withColumn("patch_id", F.concat_ws("-", *by, *WINDOW))
 
 
 def summary_columns(channels: Sequence[str]) -> list[str]:

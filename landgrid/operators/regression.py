@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -190,21 +190,67 @@ def gwr(df: DataFrame, predictors: Sequence[str], bandwidth: int, response: str
                     shift.alias("b_intercept"), *slopes, "local_r2"))
 
 
-def gwr_bandwidth(df: DataFrame, predictors: Sequence[str], candidates: Sequence[int],
-                  response: str = "growth", key: str = "id") -> DataFrame:
-    """AICc of every candidate bandwidth from one neighbour search, best first."""
-    points, values, names, _ = _standardised(df, predictors, response, key)
-    widest = max(candidates)
-    near = cut_lineage(_with_self(nearest_neighbours(points, widest - 1), points))
-    wide = near.select("*", F.explode(F.array(*[F.lit(int(b)) for b in candidates])).alias("bw"))
+def _bandwidth_scores(near: DataFrame, values: DataFrame, names: Sequence[str], bandwidths: Sequence[int]) -> list[tuple]:
+    """(bw, n, rss, enp, aicc) of each bandwidth, in one job over the neighbour table."""
+    wide = near.select("*", F.explode(F.array(*[F.lit(int(b)) for b in bandwidths])).alias("bw"))
     wide = wide.filter(F.col("rank") < F.col("bw"))
     reach = wide.groupBy("i", "bw").agg(F.max("d").alias("h"))
     _, moments, pairs = _local_moments(values, wide.join(reach, ["i", "bw"]), names, ["i", "bw"])
     local = _solve(moments, values.drop("one_"), names, pairs, ["i", "bw"])
     e = F.col("y") - F.col("fit")
-    g = local.groupBy("bw").agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("rss"),
-                                F.sum("hat").alias("tr"))
-    n, tr = F.col("n"), F.col("tr")
-    aicc = (n * F.log(F.col("rss") / n) + n * math.log(2 * math.pi)
-            + n * (n + tr) / (n - 2 - tr))
-    return g.select("bw", "n", "rss", F.col("tr").alias("enp"), aicc.alias("aicc")).orderBy("aicc")
+    sums = local.groupBy("bw").agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("rss"), F.sum("hat").alias("tr"))
+    out = []
+    for r in sums.collect():  # a row per bandwidth
+        n, tr = r["n"], r["tr"]
+        free = n - 2 - tr
+        known = free > 0 and r["rss"] > 0
+        aicc = n * math.log(r["rss"] / n) + n * math.log(2 * math.pi) + n * (n + tr) / free if known else math.inf
+        out.append((r["bw"], n, r["rss"], tr, aicc))
+    return out
+
+
+def golden_section(scores: Callable[[list[int]], dict[int, float]], low: int, high: int) -> dict[int, float]:
+    """Scores met on the way to the least one of a unimodal function on the integers ``low`` to ``high``; each is asked for once."""
+    known: dict[int, float] = {}
+
+    def ask(*places: int) -> None:
+        new = sorted({p for p in places if p not in known})
+        if new:
+            known.update(scores(new))
+
+    ratio = (math.sqrt(5) - 1) / 2
+    while high - low > 2:
+        step = ratio * (high - low)
+        left = round(high - step)
+        right = max(round(low + step), left + 1)
+        ask(left, right)
+        if known[left] <= known[right]:
+            high = right
+        else:
+            low = left
+    ask(*range(low, high + 1))
+    return known
+
+
+def gwr_bandwidth(df: DataFrame, predictors: Sequence[str], candidates: Sequence[int] | None = None, response: str = "growth",
+                  key: str = "id", lower: int = 20, upper: int | None = None) -> DataFrame:
+    """AICc of bandwidths from one neighbour search, best first: of all ``candidates``, or of those that a golden-section search
+    meets between ``lower`` and ``upper`` (every point by default). The neighbour table has n times the widest bandwidth rows,
+    so a large sample should bound ``upper``."""
+    points, values, names, _ = _standardised(df, predictors, response, key)
+    n = points.count()
+    low, high = max(lower, len(names) + 3), min(upper or n, n)
+    widest = max(candidates) if candidates else max(high, min(low, n))
+    near = cut_lineage(_with_self(nearest_neighbours(points, widest - 1), points))
+    rows: dict[int, tuple] = {}
+
+    def scores(bandwidths: list[int]) -> dict[int, float]:
+        found = _bandwidth_scores(near, values, names, bandwidths)
+        rows.update({r[0]: r for r in found})
+        return {r[0]: r[4] for r in found}
+
+    if candidates:
+        scores(list(candidates))
+    else:
+        golden_section(scores, min(low, high), high)
+    return df.sparkSession.createDataFrame(list(rows.values()), "bw int, n bigint, rss double, enp double, aicc double").orderBy("aicc")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landgrid.config import Grid
+from landgrid.functions import geo
 from landgrid.functions.classes import class_label, entropy_band, sanitize_class
+from landgrid.operators import focal, pixels
 
 
 def growth_trajectory(area: DataFrame) -> DataFrame:
@@ -45,6 +49,7 @@ def hotspot_popups(hotspots: DataFrame, ueii: DataFrame) -> DataFrame:
     """Hotspot zones with the UEII of the latest transition (latest end, then latest start)."""
     last = ueii.agg(F.max(F.struct("post_year", "pre_year")).alias("m")).select("m").scalar()
     latest = ueii.filter(F.struct("post_year", "pre_year") == last).select("zone_id", "ueii")
+    # The wording of the popups here and in ring_labels.
     value = F.when(F.col("ueii").isNull(), "—").otherwise(
         F.format_string("%.2f", F.round("ueii", 2)))
     return hotspots.select("zone_id").join(latest, "zone_id", "left").select(
@@ -63,8 +68,46 @@ def display_classes(lulc: DataFrame) -> DataFrame:
                .withColumn("label", class_label(F.col("cls")))
 
 
-def change_overlay(pairs: DataFrame, change: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Class map of the first date with the new urban cells marked 1 on top."""
+def change_overlay(pairs: DataFrame, change: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Class map of the first date with the new urban cells marked 1 on top; ``change`` is joined where the pairs do not
+    carry the flag themselves."""
+    new = F.when(F.col("change") == 1, 1).alias("new_urban")
+    if change is None:
+        return pairs.select(*keys, sanitize_class(F.col("pre_cls")).alias("cls"), new).withColumn("label", class_label(F.col("cls")))
     base = pairs.select(*keys, sanitize_class(F.col("pre_cls")).alias("cls"))
-    top = change.select(*keys, F.when(F.col("change") == 1, 1).alias("new_urban"))
-    return base.join(top, list(keys), "left").withColumn("label", class_label(F.col("cls")))
+    return base.join(change.select(*keys, new), list(keys), "left").withColumn("label", class_label(F.col("cls")))
+
+
+@dataclass
+class Dashboard:
+    points: DataFrame
+    extent: DataFrame
+    layers: tuple[str, ...]
+
+
+def dashboard(lulc: DataFrame | None, change: DataFrame | None, grid: Grid, factor: int, zone: int, south: bool) -> Dashboard | None:
+    """The map of the last year, coarsened and placed in degrees, with the change layer where there is one, and the box the map
+    opens on: the outer edges of the coarse cells. No class map, no dashboard."""
+    if lulc is None:
+        return None
+    points = focal.aggregate_modal(lulc, factor, by=())
+    layers: tuple[str, ...] = ("cls",)
+    if change is not None:
+        points = points.join(focal.aggregate_modal(change, factor, by=(), classes=(0, 1), value="change"), ["r", "c"], "left")
+        layers = ("cls", "change")
+    coarse = Grid(res=grid.res * factor, nrows=-(-grid.nrows // factor), ncols=-(-grid.ncols // factor), x0=grid.x0, y0=grid.y0)
+    points = points.select("r", "c", F.col("cls").cast("int").alias("cls"), *layers[1:])
+    placed = geo.from_utm(pixels.cell_xy(points, coarse), "x", "y", "lon", "lat", zone, south)
+    # The four corners of every coarse cell: edges of a projected grid bend.
+    ends = points.groupBy().agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    rim = ends.select(F.explode(F.concat(
+        F.flatten(F.transform(F.sequence(F.col("c0"), F.col("c1") + 1), lambda c: F.array(_corner(F.col("r0"), c), _corner(F.col("r1") + 1, c)))),
+        F.flatten(F.transform(F.sequence(F.col("r0"), F.col("r1") + 1), lambda r: F.array(_corner(r, F.col("c0")), _corner(r, F.col("c1") + 1)))))).alias("p"))
+    corners = rim.select((F.lit(coarse.x0) + F.col("p.c") * coarse.res).alias("x"), (F.lit(coarse.y0) + F.col("p.r") * coarse.res).alias("y"))
+    extent = geo.from_utm(corners, "x", "y", "lon", "lat", zone, south).agg(
+        F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"))
+    return Dashboard(placed.drop("x", "y"), extent, layers)
+
+
+def _corner(r: Column, c: Column) -> Column:
+    return F.struct(r.alias("r"), c.alias("c"))

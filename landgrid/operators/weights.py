@@ -9,63 +9,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landgrid.session import cut_lineage
-
-# Bins are shrunk until no bin holds more than this many points per wanted neighbour.
-CROWD = 16
-
-
-def _bins(x: str, y: str, size: float) -> tuple[Column, Column]:
-    return F.floor(F.col(x) / size).cast("bigint"), F.floor(F.col(y) / size).cast("bigint")
+from landgrid.operators.quadtree import Quadtree
 
 
 def nearest_neighbours(points: DataFrame, k: int) -> DataFrame:
-    """(i, j, d, rank) for the ``k`` nearest other points, the lower id first on ties.
-
-    Points meet only in neighbouring bins. A point is settled once its k-th distance is at most
-    the bin size, which no point outside the 3 x 3 bins can beat; the others go on with bins
-    twice as wide. Bins start small enough that none is crowded."""
-    points = cut_lineage(points.select("id", F.col("x").cast("double").alias("x"),
-                                       F.col("y").cast("double").alias("y")))
-    n, x0, x1, y0, y1 = points.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"),
-                                   F.max("y")).first()
-    k = min(int(k), max(1, n - 1))
-    span = max((x1 - x0) if n else 0.0, (y1 - y0) if n else 0.0, 1e-9)
-    size = max(math.sqrt(max((x1 - x0) * (y1 - y0), span * span / max(n, 1)) * k / max(n, 1) / 2),
-               1e-9)
-    while size > 1e-9:
-        bx, by = _bins("x", "y", size)
-        crowd = points.groupBy(bx, by).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0]
-        if (crowd or 0) <= CROWD * k:
-            break
-        size /= 2
-
-    order = Window.partitionBy("i").orderBy("d", "j")
-    around = F.array(*[F.struct(F.lit(a).alias("da"), F.lit(b).alias("db"))
-                       for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    open_, settled = points, []
-    while True:
-        bx, by = _bins("x", "y", size)
-        right = points.select(bx.alias("bx"), by.alias("by"), F.col("id").alias("j"),
-                              F.col("x").alias("xj"), F.col("y").alias("yj"))
-        left = open_.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"),
-                            bx.alias("bx"), by.alias("by"), F.inline(around))
-        left = left.withColumns({"bx": F.col("bx") + F.col("da"), "by": F.col("by") + F.col("db")})
-        dx, dy = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")
-        pairs = left.join(right, ["bx", "by"]).filter(F.col("i") != F.col("j")).select(
-            "i", "j", F.sqrt(dx * dx + dy * dy).alias("d"))
-        near = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        near = cut_lineage(near)
-        if size > span:
-            settled.append(near)
-            break
-        done = near.filter((F.col("rank") == k) & (F.col("d") <= size)).select("i")
-        settled.append(near.join(done, "i", "left_semi"))
-        open_ = cut_lineage(open_.join(done.withColumnRenamed("i", "id"), "id", "left_anti"))
-        if open_.isEmpty():
-            break
-        size *= 2
-    return reduce(DataFrame.unionByName, settled)
+    """(i, j, d, rank) for the ``k`` nearest other points, the lower id first on ties."""
+    return Quadtree(points, k).nearest()
 
 
 def knn_weights(points: DataFrame, k: int = 8) -> DataFrame:

@@ -124,6 +124,11 @@ SQL = {
  (SELECT x1 AS x, y1 AS y, y2 - y1 AS v FROM roads UNION ALL SELECT x2, y2, x2 - x1 FROM roads) z GROUP BY ALL"""),
     "extract_at_points": sql("""SELECT s.seg_id, f.cell_id, round(f.ndvi, 6) AS ndvi, round(f.b08, 6) AS b08 FROM roads s
  LEFT JOIN feat f ON f.yr = 2001 AND s.x1 = f.c * 1000 + 500 AND s.y1 = f.r * 1000 + 500"""),
+    "extract_at_polygons": sql("""SELECT s.seg_id, f.cell_id, round(px, 6) AS x, round(py, 6) AS y, round(f.ndvi, 6) AS ndvi FROM
+ (SELECT seg_id, CAST(x1 AS DOUBLE) + CASE seg_id % 3 WHEN 0 THEN 2250 ELSE 500 END AS px, CAST(y1 AS DOUBLE) + 2000 AS py FROM roads) s
+ LEFT JOIN feat f ON f.yr = 2001 AND f.c = floor(px / 1000) AND f.r = floor(py / 1000)"""),
+    "extract_at_degrees": sql(f"""SELECT u.cell_id, u.r, u.c, l.cls FROM (SELECT cell_id, CAST(floor((y - 9770000) / 1000) AS BIGINT) AS r,
+ CAST(floor((x - 230000) / 1000) AS BIGINT) AS c FROM ({_utm()}) z) u LEFT JOIN lulc l ON l.yr = 2001 AND l.r = u.r AND l.c = u.c"""),
     "compare_geom": sql("""SELECT a.k = b.k AND a.r0 = b.r0 AND a.r1 = b.r1 AND a.c0 = b.c0 AND a.c1 = b.c1 AS same, a.k AS cells_a, b.k AS cells_b FROM
  (SELECT count(*) AS k, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM lulc WHERE yr = 1995) a,
  (SELECT count(*) AS k, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM lulc WHERE yr = 2001) b"""),

@@ -1,6 +1,6 @@
 """SQL of sampling, model-table and composed queries."""
 
-from landgrid.oracle.base import sql
+from landgrid.oracle.base import FEATURES, sql
 from landgrid.oracle.grids import _ADJ, _COMPONENTS, windows
 from landgrid.oracle.pixels import SQL as PIXEL_SQL
 from landgrid.oracle.zones import _ZC
@@ -117,6 +117,18 @@ SQL = {
  ON m.yr = l.yr AND m.cell_id = l.cell_id AND m.rn = 1"""),
     "class_weight": windows("""SELECT transition_id, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg,
  round(count(*) FILTER (y = 0) / CAST(greatest(count(*) FILTER (y = 1), 1) AS DOUBLE), 6) AS pos_weight FROM win GROUP BY transition_id"""),
+    "change_models": windows("""SELECT transition_id, p AS n_pos, q AS n_neg, round(q / CAST(greatest(p, 1) AS DOUBLE), 6) AS pos_weight, true AS at_rest FROM
+ (SELECT b.transition_id, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM blocked b JOIN first_seed f ON f.transition_id = b.transition_id
+ JOIN bsplit s ON s.seed = f.seed AND s.block = b.block WHERE s.split = 'train' GROUP BY b.transition_id) z""", **_BLOCKS,
+        first_seed="""SELECT transition_id, min_by(seed, pos) FILTER (tp > 0 AND nv > 0) AS seed FROM
+ (SELECT transition_id, seed, pos, count(*) FILTER (split = 'train' AND y = 1) AS tp, count(*) FILTER (split = 'val') AS nv
+ FROM blocked JOIN bsplit USING (block) GROUP BY ALL) z GROUP BY transition_id"""),
+    "model_facts": sql("""SELECT f.sensor, f.yr, f.n_pixels, f.n_classed, CAST(0 AS BIGINT) AS n_unknown, p.n_points, CAST(1 AS DOUBLE) AS importance_sum FROM
+ (SELECT sensor, yr, count(*) AS n_pixels, count(*) FILTER (whole) AS n_classed FROM lab GROUP BY sensor, yr) f
+ JOIN (SELECT sensor, CAST(sum(least(n, 400)) AS BIGINT) AS n_points FROM (SELECT sensor, cls, count(*) AS n FROM lab WHERE whole AND cls IS NOT NULL GROUP BY ALL) z
+ GROUP BY sensor) p ON p.sensor = f.sensor""",
+        lab="SELECT f.*, (" + " AND ".join(f"f.{b} IS NOT NULL" for b in FEATURES) + """) AS whole, CASE WHEN code = 50 THEN 1
+ WHEN code IN (60, 70) THEN 3 WHEN code = 80 THEN 4 WHEN code IN (10, 20, 30, 40, 90, 95, 96) THEN 2 END AS cls FROM feat f LEFT JOIN land_cover USING (cell_id)"""),
     "transition_report": windows("""SELECT transition_id, n_train, n_val, n_test, round(CASE WHEN k > 0 THEN 2 * p * q / (p + q + 1e-9) END, 6) AS "F1",
  round(CASE WHEN k > 0 THEN p END, 6) AS "Precision", round(CASE WHEN k > 0 THEN q END, 6) AS "Recall", round(CASE WHEN k > 0 THEN tp / (tp + fp + fn + 1e-9) END, 6) AS "IoU"
  FROM (SELECT *, tp + fp + fn + tn AS k, tp / (tp + fp + 1e-9) AS p, tp / (tp + fn + 1e-9) AS q FROM (SELECT b.transition_id,
@@ -131,6 +143,17 @@ SQL = {
         sc="""SELECT p.transition_id, r0, c0, least(2 * avg(abs(post_ndvi - pre_ndvi)), 1) AS s FROM orig o JOIN cpair p ON p.r BETWEEN o.r0 AND o.r0 + 7
  AND p.c BETWEEN o.c0 AND o.c0 + 7 GROUP BY p.transition_id, r0, c0 HAVING count(*) = 64"""),
     "preprocess_year": PIXEL_SQL["minmax_normalize"],
+    "preprocess_scene": sql("""SELECT r, c, 2001 AS yr, round((b08 - lo8) / (hi8 - lo8), 6) AS b08, round((ndvi - lov) / (hiv - lov), 6) AS ndvi FROM idx,
+ (SELECT min(b08) AS lo8, max(b08) AS hi8, min(ndvi) AS lov, max(ndvi) AS hiv FROM idx) z""",
+        bil="""SELECT r, c, sum(w * b04) / sum(w) FILTER (b04 IS NOT NULL) AS b04, sum(w * b08) / sum(w) FILTER (b08 IS NOT NULL) AS b08 FROM
+ (SELECT t.r, t.c, s.b04, s.b08, (1 - abs(t.x - (s.c * 1000 + 500)) / 1e3) * (1 - abs(t.y - (s.r * 1000 + 500)) / 1e3) AS w
+ FROM (SELECT i AS r, j AS c, 150 + (j + 5e-1) * 800 AS x, -100 + (i + 5e-1) * 800 AS y FROM
+ generate_series(0, (SELECT CAST(floor(nr * 125e-2) AS BIGINT) - 1 FROM grid_size)) a(i), generate_series(0, 61) b(j)) t
+ JOIN refl s ON s.yr = 2001 AND s.c BETWEEN CAST(floor((t.x - 500) / 1000) AS BIGINT) AND CAST(floor((t.x - 500) / 1000) AS BIGINT) + 1
+ AND s.r BETWEEN CAST(floor((t.y - 500) / 1000) AS BIGINT) AND CAST(floor((t.y - 500) / 1000) AS BIGINT) + 1) z WHERE w > 0 GROUP BY r, c""",
+        idx="SELECT *, (b08 - b04) / (b08 + b04 + 1e-6) AS ndvi FROM bil"),
+    "compare_products": sql("""SELECT variant = 'same' AS same, n AS cells_a, n AS cells_b, variant FROM (SELECT count(DISTINCT cell_id) AS n FROM lulc WHERE yr = 2001) z,
+ (SELECT unnest(['same', 'resolution', 'origin', 'system', 'size']) AS variant) y"""),
     "auto_training_samples": sql("""SELECT cell_id AS id, cls AS class, CAST(c * 1000 + 500 AS DOUBLE) AS x, CAST(r * 1000 + 500 AS DOUBLE) AS y FROM
  (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY md5('42|' || cell_id), cell_id) AS rk FROM (SELECT *, CASE WHEN code = 50 THEN 1
  WHEN code IN (60, 70) THEN 3 WHEN code = 80 THEN 4 WHEN code IN (10, 20, 30, 40, 90, 95, 96) THEN 2 END AS cls FROM land_cover) z WHERE cls IS NOT NULL) y WHERE rk <= 100"""),

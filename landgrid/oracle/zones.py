@@ -86,6 +86,11 @@ SQL = {
  (SELECT a.r // 4 AS r, a.c // 4 AS c, CAST(CASE WHEN a.cls = 1 OR b.cls <> 1 THEN 0 WHEN a.cls IS NULL OR b.cls IS NULL THEN NULL ELSE 1 END AS INT) AS change,
  count(*) AS k FROM lulc a JOIN lulc b ON b.cell_id = a.cell_id AND b.yr = 2001 WHERE a.yr = 1995 GROUP BY ALL) z) y WHERE rn = 1""",
         geo=from_utm_sql("SELECT r, c, 280000 + (c + 5e-1) * 4000 AS x, 9850000 + (r + 5e-1) * 4000 AS y FROM lc")),
+    "dashboard_extent": sql("SELECT min(lon) AS lon_min, max(lon) AS lon_max, min(lat) AS lat_min, max(lat) AS lat_max FROM geo",
+        lim="SELECT min(r // 4) AS r0, max(r // 4) + 1 AS r1, min(c // 4) AS c0, max(c // 4) + 1 AS c1 FROM lulc WHERE yr = 2001",
+        rim="""SELECT r, c FROM lim, (SELECT unnest(range(0, 100000)) AS r) a, (SELECT unnest(range(0, 14)) AS c) b
+ WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1 AND (r IN (r0, r1) OR c IN (c0, c1))""",
+        geo=from_utm_sql("SELECT r, c, 280000 + c * 4e3 AS x, 9850000 + r * 4e3 AS y FROM rim")),
     "change_overlay": sql("""SELECT cell_id, transition_id, pre_cls AS cls, CASE WHEN change = 1 THEN 1 END AS new_urban, CASE pre_cls WHEN 1 THEN 'Urban'
  WHEN 2 THEN 'Vegetation' WHEN 3 THEN 'Bare Soil' WHEN 4 THEN 'Water' END AS label FROM changes"""),
 }

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrid.config import Change, Classification, Drivers, Grid, Study
+from landgrid.config import Change, Classification, Drivers, Geometry, Grid, Study
 from landgrid.functions import bands as B
 from landgrid.functions import classes as C
 from landgrid.functions.classes import became
@@ -18,6 +18,7 @@ from landgrid.operators import (change, changemodel, classify, components, lands
                                 weights, zones)
 from landgrid.plans.drivers import PREDICTORS
 from landgrid.session import cut_lineage, join_bounded
+from landgrid.sources.products import product_geometry, refresh_report, scan_scene, stored_product, write_product
 
 
 def preprocess_year(px: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -29,6 +30,31 @@ def preprocess_year(px: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return pixels.minmax_normalize(feat, params), params, pixels.quality_of(layer_table)
 
 
+@dataclass
+class Preprocessed:
+    features: DataFrame
+    params: DataFrame
+    quality: DataFrame
+
+
+def preprocess_scene(spark: SparkSession, path: str, sensor: str, dst: Geometry) -> Preprocessed:
+    """A stored scene from its reader to normalised features: named, masked, scaled, laid on the study's geometry (the scene
+    brings its own record), with indices, parameters and quality figures."""
+    src = product_geometry(spark, path)
+    if src is None:
+        raise ValueError(f"no geometry record beside {path}")
+    keys = ("cell_id", "r", "c", "yr")
+    px = pixels.canonicalize(scan_scene(spark, path, sensor, keys)).withColumnsRenamed({"SCL": "scl", "QA_PIXEL": "qa"})
+    flag = "qa" if sensor == "sentinel" else "scl"
+    px = px.withColumns({"sensor": F.lit(sensor), flag: F.lit(None).cast("bigint")})
+    aligned = resample.align(pixels.reflectance(px), src, dst, B.BANDS, ["yr", "sensor"])
+    feat = pixels.with_indices(aligned).withColumn("cell_id", F.col("r") * dst.grid.ncols + F.col("c"))
+    feat = feat.select("cell_id", "r", "c", "yr", "sensor", *B.FEATURES)
+    layer_table = cut_lineage(pixels.layer_stats(feat))
+    params = pixels.params_of(layer_table)
+    return Preprocessed(pixels.minmax_normalize(feat, params), params, pixels.quality_of(layer_table))
+
+
 def auto_training_samples(land_cover: DataFrame, src: Grid, dst: Grid, per_class: int,
                           seed: int, source: str = "worldcover") -> DataFrame:
     """Training points (id, class, x, y) drawn from a reference land-cover map."""
@@ -94,14 +120,15 @@ def train_models(feat: DataFrame, points: DataFrame, grid: Grid, train_years: di
 @dataclass
 class ChangeResult:
     patches: DataFrame
+    models: DataFrame
     probability: DataFrame
     change_map: DataFrame
     report: DataFrame
 
 
-def labelled_pairs(stack: DataFrame, transitions: Sequence[tuple[int, int]],
-                   channels: Sequence[str] = B.FEATURES) -> DataFrame:
-    pairs = change.transition_values(stack, [*channels, "cls"], transitions)
+def labelled_pairs(stack: DataFrame, transitions: Sequence[tuple[int, int]], channels: Sequence[str] = B.FEATURES,
+                   numbers: Sequence[int] | None = None) -> DataFrame:
+    pairs = change.transition_values(stack, [*channels, "cls"], transitions, numbers=numbers)
     return pairs.withColumn("change", became(F.col("pre_cls"), F.col("post_cls")))
 
 
@@ -118,23 +145,56 @@ def split_patches(labelled: DataFrame, cfg: Change, by: Sequence[str]) -> DataFr
     return marked.withColumn("split", out)
 
 
-def detect_change(stack: DataFrame, transitions: Sequence[tuple[int, int]], grid: Grid,
-                  cfg: Change, channels: Sequence[str] = B.FEATURES, seed: int = 42) -> ChangeResult:
-    """Label, split, balance, train, score and clean the change maps of all transitions."""
+def detect_change(stack: DataFrame, transitions: Sequence[tuple[int, int]], grid: Grid, cfg: Change,
+                  channels: Sequence[str] = B.FEATURES, seed: int = 42, only: Sequence[tuple[int, int]] | None = None,
+                  path: str | None = None, skip_train: bool = False) -> ChangeResult:
+    """Label, split, balance, train, score and clean the change maps of all transitions, or of those in ``only``.
+
+    Every transition has its own model, class weight and row of the report. With ``path``, models, report, probability and change
+    map are kept there; a run over some pairs replaces their rows and leaves the others as they are. ``skip_train`` takes
+    the models kept by an earlier run."""
     by = ["transition_id"]
-    pairs = cut_lineage(labelled_pairs(stack, transitions, channels))
+    number = {pair: i for i, pair in enumerate(transitions, start=1)}
+    pairs_now = [tuple(pair) for pair in (transitions if only is None else only)]
+    if unknown := [pair for pair in pairs_now if pair not in number]:
+        raise ValueError(f"no such transitions: {unknown} of {list(transitions)}")
+    there = {r["yr"] for r in stack.select("yr").distinct().collect()}
+    if missing := sorted({y for pair in pairs_now for y in pair} - there):
+        raise ValueError(f"no map for {missing}")
+    numbers = [number[pair] for pair in pairs_now]
+    pairs = cut_lineage(labelled_pairs(stack, pairs_now, channels, numbers))
     labelled = patches.patch_summaries(pairs, channels, cfg, cfg.stride_train, by)
-    labelled = labelled.withColumn("block", patches.block_id(grid, cfg))
-    marked = cut_lineage(split_patches(cut_lineage(labelled), cfg, by))
-    train = sampling.balance_negatives(marked.filter("split = 'train'"), by, ["patch_id"],
-                                       cfg.negatives_per_positive, seed)
-    model = changemodel.change_model(train, marked.filter("split = 'val'"), channels)
-    score = lambda p: changemodel.score_patches(model, p)
+    labelled = cut_lineage(labelled.withColumn("block", patches.block_id(grid, cfg)))
+    changed = {r["transition_id"] for r in labelled.filter("y = 1").select("transition_id").distinct().collect()}
+    if bare := [pair for pair in pairs_now if number[pair] not in changed]:
+        raise ValueError(f"no patch with change in {bare}: lower the label's threshold, its square or the training stride")
+    marked = cut_lineage(split_patches(labelled, cfg, by))
+    years = stack.sparkSession.createDataFrame([(number[a, b], a, b) for a, b in pairs_now],
+                                               "transition_id int, pre_year int, post_year int")
+    if skip_train:
+        kept = stored_product(stack.sparkSession, f"{path}/models") if path else None
+        models = None if kept is None else kept.join(F.broadcast(years), ["pre_year", "post_year"]).select(
+            "transition_id", "penalty", "n_pos", "n_neg", "pos_weight", "intercept", "coef", "steepness", "val_f1")
+        if models is None or models.count() < len(pairs_now):
+            raise ValueError(f"no kept models of {pairs_now} in {path}")
+    else:
+        train = sampling.balance_negatives(marked.filter("split = 'train'"), by, ["patch_id"],
+                                           cfg.negatives_per_positive, seed)
+        models = changemodel.change_models(train, marked.filter("split = 'val'"), by, channels)
+    score = lambda p: changemodel.score_patches(models, p, by, channels)
     prob = cut_lineage(changemodel.change_probability(pairs, score, cfg, by, channels))
     post = pairs.select(*by, "cell_id", F.col("post_cls").alias("cls"))
     clean = components.sieve_small(prob, post, cfg.min_component, by)
-    report = changemodel.transition_report(score(marked), by)
-    return ChangeResult(marked, prob, clean, report)
+    report = changemodel.transition_report(score(marked), by).join(F.broadcast(years), by)
+    if path:
+        keys = ["pre_year", "post_year"]
+        if not skip_train:
+            refresh_report(models.join(F.broadcast(years), by).drop("transition_id"), f"{path}/models", keys)
+        report = refresh_report(report.drop("transition_id"), f"{path}/report", keys)
+        tag = F.concat_ws("_", "pre_year", "post_year").alias("transition")
+        for name, table in (("change_prob", prob), ("change_map", clean)):
+            write_product(table.join(F.broadcast(years), by).select(*table.columns, tag), f"{path}/{name}", True, "transition")
+    return ChangeResult(marked, models, prob, clean, report)
 
 
 @dataclass
@@ -191,9 +251,9 @@ def sample_drivers(stack: DataFrame, cfg: Drivers,
 
 
 def driver_models(stack: DataFrame, cfg: Drivers = Drivers(), run_gwr: bool = False,
-                  bandwidths: Sequence[int] = (40, 80, 160), grid: Grid | None = None) -> DriverTables:
+                  bandwidths: Sequence[int] | None = None, grid: Grid | None = None) -> DriverTables:
     """Sample the stack and explain growth: logistic, Moran, spatial lag, correlation, and the
-    local regression on request."""
+    local regression on request, at the best of ``bandwidths`` or the one a search finds."""
     names = [p for p in PREDICTORS if p in stack.columns]
     df, dropped = sample_drivers(stack, cfg, names)
     n = df.count()
@@ -208,7 +268,7 @@ def driver_models(stack: DataFrame, cfg: Drivers = Drivers(), run_gwr: bool = Fa
         spatial_lag=regression.spatial_lag_model(df, w, names),
         correlation=stats.correlation_matrix(df, ["growth", *names]))
     if run_gwr:
-        usable = [b for b in bandwidths if b < n] or [max(2, n - 1)]
+        usable = None if bandwidths is None else [b for b in bandwidths if b < n] or [max(2, n - 1)]
         out.bandwidths = cut_lineage(regression.gwr_bandwidth(df, names, usable))
         out.gwr = regression.gwr(df, names, out.bandwidths.first()["bw"])
         if grid is not None:

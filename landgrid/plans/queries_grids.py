@@ -122,6 +122,30 @@ def extract_at_points(spark, sf):
     return keep(out, ["seg_id", "cell_id"], ["ndvi", "b08"])
 
 
+@query("extract_at_polygons")
+def extract_at_polygons(spark, sf):
+    """Layers of the last year inside U-shaped polygons at the line starts, the mean position of which lies outside them."""
+    notch = 1000 + 500 * (1 + F.col("seg_id") % 3)
+    corners = [(0, 0), (3000, 0), (3000, 3000), (notch, 3000), (notch, 1000), (1000, 1000), (1000, 3000), (0, 3000)]
+    vertices = testbed.roads(spark, sf).select("seg_id", F.lit(0).alias("part"), F.lit(0).alias("ring"), F.posexplode(F.array(*[
+        F.struct((F.col("x1") + dx).cast("double").alias("x"), (F.col("y1") + dy).cast("double").alias("y")) for dx, dy in corners])).alias("seq", "v"))
+    points = vectors.points_on_surface(vertices.select("seg_id", "part", "ring", "seq", "v.x", "v.y"), ["seg_id"])
+    layers = pixels.feature_stack(testbed.px(spark, sf)).filter(F.col("yr") == 2001)
+    out = vectors.extract_at_points(layers, points, testbed.grid(spark, sf), ["cell_id", "ndvi"])
+    return keep(out, ["seg_id", "cell_id"], ["x", "y", "ndvi"])
+
+
+@query("extract_at_degrees")
+def extract_at_degrees(spark, sf):
+    """Class of the last year at points given in degrees."""
+    grid = Grid(res=RES, nrows=testbed.grid(spark, sf).nrows, ncols=50, x0=230_000.0, y0=9_770_000.0)
+    lulc = testbed.lulc(spark, sf)
+    points = lulc.select("cell_id", (36.6 + F.col("c") / 100.0).alias("x"), (-1.5 + (F.col("r") % 40) / 100.0).alias("y")).distinct()
+    layers = lulc.filter(F.col("yr") == 2001).select("r", "c", "cls")
+    out = vectors.extract_at_points(layers, points, grid, ["cls"], degrees=(37, True))
+    return out.select("cell_id", "r", "c", "cls")
+
+
 @query("compare_geom")
 def compare_geom(spark, sf):
     lulc = testbed.lulc(spark, sf)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from landgrid.config import Drivers, Sprawl
+from landgrid.config import Drivers, Geometry, Grid, Sprawl
 from landgrid.functions import classes as C
 from landgrid.functions.bands import FEATURES
 from landgrid.operators.change import change_reference, transition_pairs, transition_values
@@ -15,8 +17,9 @@ from landgrid.plans.common import keep, register
 from landgrid.plans.drivers import PREDICTORS, coarse_grid, driver_stack
 from landgrid.plans.queries_grids import patch_labels, patch_pairs
 from landgrid.plans.queries_zones import NEXT_YEAR
-from landgrid.session import cut_lineage
-from landgrid.sources import testbed
+from landgrid.session import cut_lineage, scratch_path
+from landgrid.sources import products, testbed
+from landgrid.sources.products import write_product
 
 QUERIES = {}
 query = register(QUERIES)
@@ -197,49 +200,94 @@ def gwr(spark, sf):
 
 @query("gwr_bandwidth")
 def gwr_bandwidth(spark, sf):
-    return regression.gwr_bandwidth(drivers(spark, sf), PREDICTORS, [30, 60, 120])
+    return regression.gwr_bandwidth(drivers(spark, sf), PREDICTORS)
+
+
+def sensor_points(spark, sf):
+    """Stored training points of every sensor."""
+    return cut_lineage(classify.training_points(training(spark, sf)))
+
+
+def by_sensor(points):
+    """(sensor, its points); sensors are few."""
+    names = sorted(r["sensor"] for r in points.select("sensor").distinct().collect())
+    return [(s, points.filter(F.col("sensor") == s)) for s in names]
+
+
+def scored_by_sensor(spark, sf, fit, first_label=0):
+    """Every pixel of every year under the model of its sensor; the incomplete ones without a class."""
+    px, out = training(spark, sf), None
+    for sensor, points in by_sensor(sensor_points(spark, sf)):
+        scored = classify.predict_pixels(fit(points), px.filter(F.col("sensor") == sensor), ["cell_id", "yr"],
+                                         first_label=first_label)
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 @query("rf_train")
 def rf_train(spark, sf):
-    """Class counts predicted by a forest that saw the same rows."""
-    df = cut_lineage(training(spark, sf))
-    model = classify.rf_train(df)
-    return classify.predict_pixels(model, df, ["cell_id", "yr"]).groupBy("yr", "cls").count()
+    """Class counts predicted by the forest of each sensor."""
+    return scored_by_sensor(spark, sf, classify.rf_train).groupBy("yr", "cls").count()
 
 
 @query("rf_importance")
 def rf_importance(spark, sf):
-    df = training(spark, sf)
-    return classify.rf_importance(classify.rf_train(df), df)
+    out = None
+    for sensor, points in by_sensor(sensor_points(spark, sf)):
+        imp = classify.rf_importance(classify.rf_train(points), points).withColumn("sensor", F.lit(sensor))
+        out = imp if out is None else out.unionByName(imp)
+    return out
 
 
 @query("svm_rbf_train")
 def svm_rbf_train(spark, sf):
-    df = cut_lineage(training(spark, sf))
-    model = classify.svm_rbf_train(df)
-    return classify.predict_pixels(model, df, ["cell_id", "yr"], first_label=1).groupBy("yr", "cls").count()
+    return scored_by_sensor(spark, sf, classify.svm_rbf_train, 1).groupBy("yr", "cls").count()
 
 
 @query("svm_tune")
 def svm_tune(spark, sf):
-    return classify.svm_tune(training(spark, sf))
+    out = None
+    for sensor, points in by_sensor(sensor_points(spark, sf)):
+        tuned = classify.svm_tune(points).withColumn("sensor", F.lit(sensor))
+        out = tuned if out is None else out.unionByName(tuned)
+    return out
 
 
 @query("predict_pixels")
 def predict_pixels(spark, sf):
-    """Every pixel of every year; the incomplete ones without a class."""
-    df = cut_lineage(training(spark, sf))
-    model = classify.rf_train(df)
-    return classify.predict_pixels(model, df, ["cell_id", "yr"])
+    return scored_by_sensor(spark, sf, classify.rf_train)
 
 
 @query("predict_test")
 def predict_test(spark, sf):
-    df = training(spark, sf).dropna(subset=["cls"]).withColumn("id", F.concat_ws("-", "cell_id", "yr"))
-    marked = cut_lineage(sampling.train_test_split(df, ["cls"], ["id"], 0.7, SEED))
-    model = classify.rf_train(marked.filter("split = 'train'"))
-    return classify.predict_test(model, marked.filter("split = 'test'"), "RandomForest", "both")
+    out = None
+    for sensor, points in by_sensor(sensor_points(spark, sf)):
+        df = points.withColumn("id", F.concat_ws("-", "cell_id", "yr"))
+        marked = cut_lineage(sampling.train_test_split(df, ["cls"], ["id"], 0.7, SEED))
+        model = classify.rf_train(marked.filter("split = 'train'"))
+        pred = classify.predict_test(model, marked.filter("split = 'test'"), "RandomForest", sensor)
+        out = pred if out is None else out.unionByName(pred)
+    return out
+
+
+@query("model_facts")
+def model_facts(spark, sf):
+    """What must hold of the models whatever they learned: points per sensor, shares of importance that sum to one, a class
+    exactly where no layer is missing, and that only classes of the points are predicted."""
+    points = sensor_points(spark, sf)
+    px, out = training(spark, sf), None
+    for sensor, own in by_sensor(points):
+        model = classify.rf_train(own)
+        total = sum(r["importance"] for r in classify.rf_importance(model, own).collect())
+        scored = classify.predict_pixels(model, px.filter(F.col("sensor") == sensor), ["cell_id", "yr"])
+        known = [r["cls"] for r in own.select("cls").distinct().collect()]
+        facts = scored.groupBy("yr").agg(
+            F.count(F.lit(1)).alias("n_pixels"), F.count("cls").alias("n_classed"),
+            F.count(F.when(~F.col("cls").isin(known), 1)).alias("n_unknown")).select(
+            F.lit(sensor).alias("sensor"), "yr", "n_pixels", "n_classed", "n_unknown",
+            F.lit(own.count()).cast("long").alias("n_points"), F.lit(round(total, 6)).alias("importance_sum"))
+        out = facts if out is None else out.unionByName(facts)
+    return out
 
 
 @query("pick_best_model")
@@ -284,11 +332,24 @@ def transition_report(spark, sf):
 
 @query("change_model_train")
 def change_model_train(spark, sf):
-    """Patch probabilities of the trained change model."""
+    """Patch probabilities of the trained change models."""
+    marked, models = _models(spark, sf)
+    scored = changemodel.score_patches(models, marked, BY)
+    return scored.select("transition_id", "patch_id", "split", "y", "prob")
+
+
+@query("change_models")
+def change_models(spark, sf):
+    """What must hold of the models: one per transition, weighted by its own patches, at rest."""
+    _, models = _models(spark, sf)
+    return models.select("transition_id", "n_pos", "n_neg", F.round("pos_weight", 6).alias("pos_weight"),
+                         (F.col("steepness") < 1e-7).alias("at_rest"))
+
+
+def _models(spark, sf):
     labelled, st = _summaries(spark, sf)
     marked = cut_lineage(jobs.split_patches(labelled, st.change, BY))
-    model = changemodel.change_model(marked.filter("split = 'train'"), marked.filter("split = 'val'"))
-    return changemodel.score_patches(model, marked).select("transition_id", "patch_id", "split", "y", "prob")
+    return marked, changemodel.change_models(marked.filter("split = 'train'"), marked.filter("split = 'val'"), BY)
 
 
 def _summaries(spark, sf):
@@ -312,6 +373,37 @@ def preprocess_year(spark, sf):
     return keep(norm, ["cell_id", "yr", "sensor"], FEATURES)
 
 
+@query("preprocess_scene")
+def preprocess_scene(spark, sf):
+    """A stored scene of one year, laid on another grid: two features on cells of 800 m."""
+    src = Geometry(testbed.grid(spark, sf), "UTM37S")
+    path = scratch_path(spark, "scene")
+    scene = testbed.px(spark, sf).filter("yr = 2001").select("cell_id", "r", "c", "yr", *[
+        F.col(b).alias(b.upper()) for b in ("b02", "b03", "b04", "b08", "b11", "b12", "scl")])
+    write_product(scene, path, geometry=src)
+    dst = Geometry(Grid(res=800.0, nrows=int(src.grid.nrows * 1.25), ncols=62, x0=150.0, y0=-100.0), "UTM37S")
+    out = jobs.preprocess_scene(spark, path, "sentinel", dst)
+    return keep(out.features, ["r", "c", "yr"], ["b08", "ndvi"])
+
+
+@query("compare_products")
+def compare_products(spark, sf):
+    """Products with equal cells on the same geometry, and on others that differ in one thing each."""
+    grid = testbed.grid(spark, sf)
+    base = Geometry(grid, "UTM37S")
+    cases = {"same": base, "resolution": Geometry(replace(grid, res=900.0), "UTM37S"), "origin": Geometry(replace(grid, x0=500.0), "UTM37S"),
+             "system": Geometry(grid, "EPSG:4326"), "size": Geometry(replace(grid, nrows=grid.nrows + 1), "UTM37S")}
+    cells = testbed.lulc(spark, sf).filter("yr = 2001")
+    first, out = scratch_path(spark, "product"), None
+    write_product(cells, first, geometry=base)
+    for name, geometry in cases.items():
+        path = scratch_path(spark, "product")
+        write_product(cells, path, geometry=geometry)
+        row = products.compare_products(spark, first, path).withColumn("variant", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("auto_training_samples")
 def auto_training_samples(spark, sf):
     grid = testbed.grid(spark, sf)

@@ -195,25 +195,30 @@ def ring_labels(spark, sf):
     return report.ring_labels(zones.with_ring_bounds(area, SPRAWL))
 
 
+def dashboard(spark, sf, with_change=True):
+    """Last class map and first-to-last change, coarsened."""
+    size = testbed.grid(spark, sf)
+    grid = Grid(res=size.res, nrows=size.nrows, ncols=size.ncols, x0=280_000.0, y0=9_850_000.0)
+    lulc = testbed.lulc(spark, sf)
+    changed = change.change_reference(lulc, [(YEARS[0], YEARS[-1])]) if with_change else None
+    return report.dashboard(lulc.filter(F.col("yr") == YEARS[-1]), changed, grid, 4, 37, True)
+
+
 @query("dashboard_layers")
 def dashboard_layers(spark, sf):
-    """Last class map and first-to-last change, coarsened, as coloured points with their
-    position in degrees."""
-    grid = testbed.grid(spark, sf)
-    lulc = testbed.lulc(spark, sf)
-    last = focal.aggregate_modal(lulc.filter(F.col("yr") == YEARS[-1]), 4, by=())
-    changed = change.change_reference(lulc, [(YEARS[0], YEARS[-1])])
-    ch = focal.aggregate_modal(changed, 4, by=(), classes=(0, 1), value="change")
-    both = last.join(ch, ["r", "c"], "left")
-    coarse = Grid(res=grid.res * 4, nrows=-(-grid.nrows // 4), ncols=-(-grid.ncols // 4),
-                  x0=280_000.0, y0=9_850_000.0)
-    placed = geo.from_utm(pixels.cell_xy(both, coarse), "x", "y", "lon", "lat", 37, True)
-    return placed.select("r", "c", F.coalesce("cls", F.lit(None).cast("int")).alias("cls"), "change",
-                         F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+    """The map's layers as coloured points with their position in degrees."""
+    placed = dashboard(spark, sf).points
+    return placed.select("r", "c", "cls", "change", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+
+
+@query("dashboard_extent")
+def dashboard_extent(spark, sf):
+    """The box the map opens on; without the change layer it is the same."""
+    box = dashboard(spark, sf, with_change=False).extent
+    return box.select(*[F.round(c, 7).alias(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
 
 
 @query("change_overlay")
 def change_overlay(spark, sf):
-    keys = ["cell_id", "transition_id"]
     changes = change.change_reference(testbed.lulc(spark, sf), TRANSITIONS)
-    return report.change_overlay(changes, changes, keys)
+    return report.change_overlay(changes, keys=["cell_id", "transition_id"])

@@ -8,7 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrid.operators.pixels import conform_layers
+from landgrid.config import Geometry, Grid
+from landgrid.operators.pixels import conform_layers, same_geometry
 from landgrid.session import cut_lineage, join_bounded
 
 
@@ -26,11 +27,31 @@ def stored_product(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+GEOMETRY = "_geometry"
+RECORD = "res double, nrows long, ncols long, x0 double, y0 double, crs string"
+
+
+def product_geometry(spark: SparkSession, path: str) -> Geometry | None:
+    """The geometry record kept beside a product, if it has one."""
+    kept = stored_product(spark, f"{path}/{GEOMETRY}")
+    row = None if kept is None else kept.first()
+    return None if row is None else Geometry(Grid(row["res"], row["nrows"], row["ncols"], row["x0"], row["y0"]), row["crs"])
+
+
 def write_product(df: DataFrame, path: str, overwrite: bool = False,
-                  partition: str = "yr") -> None:
+                  partition: str = "yr", geometry: Geometry | None = None) -> None:
     """Write one partition per year. Years that exist are skipped unless ``overwrite``, and
-    then only the years in ``df`` are replaced."""
+    then only the years in ``df`` are replaced. With ``geometry`` its record is kept beside them; years of
+    another geometry cannot join a product."""
     old = stored_product(df.sparkSession, path)
+    if geometry is not None:
+        known = product_geometry(df.sparkSession, path)
+        if known is None:
+            g = geometry.grid
+            df.sparkSession.createDataFrame([(float(g.res), g.nrows, g.ncols, float(g.x0), float(g.y0), geometry.crs)], RECORD) \
+                .coalesce(1).write.mode("overwrite").parquet(f"{path}/{GEOMETRY}")
+        elif not known.same(geometry):
+            raise ValueError(f"{path} is laid on {known}, not on {geometry}")
     if not overwrite and old is not None:
         df = join_bounded(df, old.select(partition).distinct(), partition, "left_anti")
     # Rebalancing gives each file one year and a sensible size, splitting a year that is large;
@@ -43,7 +64,7 @@ def write_product(df: DataFrame, path: str, overwrite: bool = False,
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new`` replace rows of ``old`` with the same key."""
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
+    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns).unionByName(new)
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
@@ -62,6 +83,15 @@ def refresh_report(new: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     return merged
 
 
+def compare_products(spark: SparkSession, a: str, b: str) -> DataFrame:
+    """One row: do two stored products have the same geometry record and the same cells?"""
+    one, two = product_geometry(spark, a), product_geometry(spark, b)
+    if one is None or two is None:
+        raise ValueError(f"no geometry record beside {a if one is None else b}")
+    cells = same_geometry(spark.read.parquet(a), spark.read.parquet(b))
+    return cells.withColumn("same", F.col("same") & F.lit(one.same(two)))
+
+
 def available_years(scenes: Sequence[DataFrame], want: Sequence[int] | None = None) -> DataFrame:
     """Distinct years over the scene tables, optionally only the wanted ones."""
     years = None

@@ -63,6 +63,43 @@ def test_distance_matches_brute_force(frame, band):
             assert got[r, c] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("tile", (1, 5, 8, 40))
+@pytest.mark.parametrize("share", (0.01, 0.2))
+def test_distance_over_column_tiles(frame, tile, share):
+    """Tiles with no cell or no target of their own, and targets in columns that a band does not have."""
+    rng = np.random.default_rng(tile)
+    a = (rng.random((19, 37)) < share).astype(int)
+    a[3, 30] = 1
+    gone = rng.random(a.shape) < 0.3
+    gone[8:13, 10:30] = True
+    gone[3, 30] = False
+    df = frame(a.tolist()).withColumn("t", F.col("cls") == 1)
+    cells = [(int(r), int(c)) for r, c in np.argwhere(~gone)]
+    here = df.join(df.sparkSession.createDataFrame(cells, "r bigint, c bigint"), ["r", "c"])
+    got = {(r["r"], r["c"]): r["dist"] for r in distance.distance_transform(
+        here, "t", Grid(10.0, 19, 37), ["yr"], band_cells=4 * tile, tile_cols=tile).collect()}
+    hits = np.argwhere((a == 1) & ~gone)
+    assert set(got) == set(cells)
+    for r, c in cells:
+        assert got[r, c] == pytest.approx(10.0 * np.sqrt(((hits - (r, c)) ** 2).sum(axis=1).min()))
+
+
+def test_envelope_is_the_minimum_of_its_parabolas():
+    rng = np.random.default_rng(1)
+    for low, high in ((0, 30), (12, 20), (31, 60), (-20, -1)):
+        square = np.where(rng.random((40, 31)) < 0.4, rng.integers(0, 400, (40, 31)), -1)
+        square[0] = -1
+        col = np.broadcast_to(np.arange(31), square.shape)
+        e = distance.Envelope(col, square, low, high)
+        x = np.arange(low, high + 1)
+        for i in range(40):
+            own = np.flatnonzero(square[i] >= 0)
+            want = ((x[:, None] - own) ** 2 + square[i][own]).min(axis=1) if len(own) else np.full(len(x), distance.FAR)
+            assert (e.squares()[i] == want).all()
+        again = distance.Envelope(*e.pieces(), low, high)
+        assert (again.squares() == e.squares()).all() and again.top.max() <= e.top.max()
+
+
 def test_distance_without_target(frame):
     df = frame([[0, 0], [0, None]]).withColumn("t", F.col("cls") == 1)
     got = distance.distance_transform(df, "t", Grid(10.0, 2, 2), ["yr"]).collect()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landgrid.config import Change, Classification, Drivers, Grid
+from landgrid.operators.quadtree import Quadtree, leaves_of
 from landgrid.operators import (changemodel, classify, patches, ranking, regression, sampling,
                                 stats, weights)
 from landgrid.plans import jobs
@@ -110,22 +111,62 @@ def test_block_splits_and_seed_choice(spark):
     assert [r[0] for r in ids] == [1, 16, 11]
 
 
-@pytest.mark.parametrize("layout", ["even", "clustered"])
-def test_knn_matches_brute_force(spark, layout):
+def layout_points(layout, n=600):
     rng = np.random.default_rng(2)
-    xy = rng.uniform(0, 100, (120, 2))
-    if layout == "clustered":
-        xy[:90] = 50 + rng.normal(size=(90, 2)) * 1e-3
-        xy[90:95] += 1e5
-    df = spark.createDataFrame([(i, float(p[0]), float(p[1])) for i, p in enumerate(xy)],
+    xy = rng.uniform(0, 100, (n, 2))
+    if layout == "clustered":  # three quarters in a thousandth of the width, a few far out
+        xy[:3 * n // 4] = 50 + rng.normal(size=(3 * n // 4, 2)) * 1e-3
+        xy[:20] += 1e5
+    elif layout == "grid":  # every distance is tied
+        xy = np.floor(xy / 4)
+    elif layout == "spot":  # a third on one spot
+        xy[::3] = (7.0, 7.0)
+    elif layout == "line":
+        xy[:, 1] = 3.0
+    return xy
+
+
+@pytest.mark.parametrize("leaf", (20_000, 30))
+@pytest.mark.parametrize("layout", ["even", "clustered", "grid", "spot", "line"])
+def test_knn_matches_brute_force(spark, layout, leaf):
+    xy = layout_points(layout)
+    df = spark.createDataFrame([(i, float(p[0]), float(p[1])) for i, p in enumerate(xy)] + [(-1, None, 1.0), (-2, 1.0, float("nan"))],
                                "id bigint, x double, y double")
     got = {}
-    for r in weights.nearest_neighbours(df, 6).collect():
-        got.setdefault(r["i"], {})[r["rank"]] = r["j"]
+    for r in Quadtree(df, 6, leaf).nearest().collect():
+        got.setdefault(r["i"], {})[r["rank"]] = (r["j"], r["d"])
+    assert set(got) == set(range(len(xy)))
     for i in range(len(xy)):
         d = np.sqrt(((xy - xy[i]) ** 2).sum(axis=1))
         want = [j for j in np.lexsort((np.arange(len(xy)), d)) if j != i][:6]
-        assert [got[i][k] for k in range(1, 7)] == want
+        assert [got[i][k][0] for k in range(1, 7)] == want and got[i][6][1] == d[want[-1]]
+
+
+def test_quadtree_bounds_leaves_visits_and_jobs(spark):
+    """Clusters and sparse points side by side: no leaf is crowded, a point visits few others, few jobs run."""
+    xy = layout_points("clustered", 8_000)
+    df = spark.createDataFrame([(i, float(p[0]), float(p[1])) for i, p in enumerate(xy)], "id bigint, x double, y double").cache()
+    df.count()
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("quadtree", "")
+    tree = Quadtree(df, 8, 128)
+    local, visits = tree.visits()
+    sizes = [r["count"] for r in local.groupBy("leaf").count().collect()]
+    assert max(sizes) <= 128 and sum(sizes) == 8_000
+    # Less than one visit a point, each of at most 8 candidates; only stragglers beside a cluster make many.
+    per_point = visits.groupBy("i").count().agg(F.sum("count"), F.count(F.when(F.col("count") > 20, 1))).first()
+    assert per_point[0] < 8_000 and per_point[1] < 0.005 * 8_000
+    sc.setJobGroup("nearest", "")
+    assert weights.nearest_neighbours(df, 8).count() == 64_000
+    assert len(tracker.getJobIdsForGroup("nearest")) < 15
+    sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_leaves_cover_and_merge():
+    cells = {(2, 0): 3, (2, 1): 4, (2, 5): 50, (3, 40): 9, (3, 41): 9, (2, 11): 2, (1, 3): 1}
+    got = set(leaves_of(cells, 10))
+    assert got == {(1, 0), (2, 5), (3, 40), (3, 41), (2, 11), (1, 3)}  # beside a crowded sibling a sparse cell stays
+    assert leaves_of({(4, 200): 1, (4, 7): 2}, 10) == [(0, 0)]
 
 
 def test_knn_with_fewer_points_than_k(spark):
@@ -224,6 +265,33 @@ def test_gwr_matches_numpy(samples):
     assert table[40]["aicc"] == pytest.approx(want)
 
 
+def test_bandwidth_search_equals_full_search(samples):
+    df, rows = samples
+    full = regression.gwr_bandwidth(df, ["a", "b"], list(range(20, len(rows) + 1)))
+    found = regression.gwr_bandwidth(df, ["a", "b"]).collect()
+    best = full.first()
+    assert found[0]["bw"] == best["bw"] and found[0]["aicc"] == pytest.approx(best["aicc"], rel=1e-9)
+    assert len(found) < 20
+    # Coefficients that vary over the map: neither the narrowest nor the widest is best.
+    bent = df.withColumn("resp", F.col("a") * F.sin(F.col("x") / 25) + F.col("b") * F.col("y") / 50)
+    best = regression.gwr_bandwidth(bent, ["a", "b"], list(range(20, len(rows) + 1)), "resp").first()
+    found = regression.gwr_bandwidth(bent, ["a", "b"], response="resp").collect()
+    assert 20 <= best["bw"] < 120 and found[0]["bw"] == best["bw"]
+
+
+def test_golden_section_asks_once():
+    asked = []
+
+    def scores(places):
+        asked.extend(places)
+        return {p: (p - 137) ** 2 for p in places}
+
+    for low, high in ((20, 1000), (137, 137), (100, 138), (138, 200)):
+        asked.clear()
+        known = regression.golden_section(scores, low, high)
+        assert min(known, key=known.get) == min(max(137, low), high) and len(asked) == len(set(asked)) < 35
+
+
 def test_accuracy_of_known_matrix(spark):
     pairs = [(1, 1)] * 8 + [(1, 2)] * 2 + [(2, 2)] * 9 + [(2, 1)] * 1
     df = spark.createDataFrame([("m", p, r) for p, r in pairs], "model string, pred int, ref int")
@@ -255,19 +323,101 @@ def test_classifiers_learn_and_skip_incomplete(spark):
     assert sum(r["importance"] for r in imp) == pytest.approx(1.0)
 
 
-def test_change_model_separates_and_reports(spark):
+def patch_table(spark, groups=(1, 2, 3), n=120):
     rng = np.random.default_rng(8)
     cols = patches.summary_columns(["b"])
     rows = []
-    for i in range(120):
-        y = int(i % 3 == 0)
-        rows.append((1, f"1-{i}", ["train", "val", "test"][i // 40], y, *map(float, rng.normal(size=6) * 0.2 + y)))
-    df = spark.createDataFrame(rows, ["transition_id", "patch_id", "split", "y", *cols])
-    model = changemodel.change_model(df.filter("split = 'train'"), df.filter("split = 'val'"), ["b"])
-    rep = changemodel.transition_report(changemodel.score_patches(model, df), ["transition_id"]).first()
-    assert (rep["n_train"], rep["n_val"], rep["n_test"]) == (40, 40, 40) and rep["F1"] > 0.9
+    for g in groups:
+        for i in range(n):
+            y = int(i % (g + 2) == 0)
+            rows.append((g, f"{g}-{i}", ["train", "val", "test"][i // (n // 3)], y, *map(float, rng.normal(size=6) * 0.8 * g + y * (-1) ** g)))
+    rows.append((1, "1-null", "train", 1, *[None] * 6))
+    return spark.createDataFrame(rows, "transition_id int, patch_id string, split string, y int, " + ", ".join(f"{c} double" for c in cols)), cols
+
+
+def newton(x, y, penalty):
+    """Weighted penalised logistic regression of one group on scaled inputs, back in their units."""
+    mean, sd = x.mean(0), x.std(0)
+    z = np.column_stack([np.ones(len(x)), (x - mean) / sd])
+    w = np.where(y == 1, (y == 0).sum() / max(1, y.sum()), 1.0)
+    pen = np.diag([0.0] + [penalty] * x.shape[1])
+    beta = np.zeros(z.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-z @ beta))
+        beta = beta - np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z / w.sum() + pen, z.T @ (w * (p - y)) / w.sum() + pen @ beta)
+    return beta[0] - (beta[1:] / sd) @ mean, beta[1:] / sd
+
+
+def test_grouped_models_equal_separate_fits(spark):
+    df, cols = patch_table(spark)
+    train = df.filter("split = 'train'")
+    got = {(r["transition_id"], r["penalty"]): r for r in changemodel.fit_models(train, ["transition_id"], ["b"]).collect()}
+    assert len(got) == 9
+    for g in (1, 2, 3):
+        rows = [r for r in train.collect() if r["transition_id"] == g and r[cols[0]] is not None]
+        x, y = np.array([[r[c] for c in cols] for r in rows]), np.array([r["y"] for r in rows])
+        for penalty in changemodel.PENALTIES:
+            a, b = newton(x, y, penalty)
+            r = got[g, penalty]
+            assert r["intercept"] == pytest.approx(a, abs=1e-6) and r["coef"] == pytest.approx(b, abs=1e-6)
+            assert (r["n_pos"], r["n_neg"], r["pos_weight"]) == (y.sum(), (1 - y).sum(), (1 - y).sum() / y.sum())
+            assert r["steepness"] < 1e-9
+
+
+def test_change_models_separate_and_report(spark):
+    df, cols = patch_table(spark)
+    val = df.filter("split = 'val'")
+    models = changemodel.change_models(df.filter("split = 'train'"), val, ["transition_id"], ["b"])
+    assert models.count() == 3
+    every = changemodel.fit_models(df.filter("split = 'train'"), ["transition_id"], ["b"])
+    for r in models.collect():  # no other penalty does better
+        for other in every.filter(F.col("transition_id") == r["transition_id"]).collect():
+            hits = [(1 / (1 + np.exp(-(other["intercept"] + sum(c * v[k] for c, k in zip(other["coef"], cols))))) >= 0.5, v["y"] == 1)
+                    for v in val.filter(F.col("transition_id") == r["transition_id"]).collect()]
+            tp = sum(a and b for a, b in hits)
+            f1 = 2 * tp / max(sum(a for a, _ in hits) + sum(b for _, b in hits), 1)
+            assert f1 <= r["val_f1"] + 1e-6
+    scored = changemodel.score_patches(models, df.unionByName(df.limit(1).withColumn("transition_id", F.lit(9))), ["transition_id"], ["b"])
+    assert scored.filter("transition_id = 9").first()["prob"] is None and scored.count() == df.count() + 1
+    rep = {r["transition_id"]: r for r in changemodel.transition_report(scored, ["transition_id"]).collect()}
+    assert (rep[2]["n_train"], rep[2]["n_val"], rep[2]["n_test"]) == (40, 40, 40) and rep[1]["F1"] > 0.8
     none = changemodel.transition_report(df.withColumn("prob", F.lit(0.1)).filter("split <> 'test'"), ["transition_id"]).first()
     assert none["n_test"] == 0 and none["F1"] is None
+    one_class = changemodel.fit_models(df.filter("split = 'train' AND y = 0"), ["transition_id"], ["b"]).collect()
+    assert all(r["n_pos"] == 0 and abs(c) < 1e-3 for r in one_class for c in r["coef"])
+
+
+def test_change_of_one_pair_leaves_others(spark, tmp_path):
+    """Two pairs, kept; a second run over one of them, and one with the kept models."""
+    rng = np.random.default_rng(3)
+    cfg, grid = Change(patch_size=4, stride_train=2, stride_infer=2, centre=2), Grid(10.0, 24, 24)
+    rows = [(r * 24 + c, r, c, yr, float(rng.random()), int(rng.integers(1, 4)) if (r // 6 + c // 6 + yr) % 3 else 1)
+            for yr in (2000, 2001, 2002) for r in range(24) for c in range(24)]
+    stack = spark.createDataFrame(rows, "cell_id bigint, r bigint, c bigint, yr int, b double, cls int").cache()
+    pairs, path = [(2000, 2001), (2001, 2002)], str(tmp_path / "change")
+    run = lambda **kw: jobs.detect_change(stack, pairs, grid, cfg, ["b"], path=path, **kw)
+    read = lambda name: {(r["pre_year"], r["post_year"]): r for r in spark.read.parquet(f"{path}/{name}").collect()}
+    maps = lambda: sorted(tuple(r) for r in spark.read.parquet(f"{path}/change_map").collect())
+    first = run()
+    assert set(read("report")) == set(pairs) == set(read("models")) and first.models.count() == 2
+    report, models, whole = read("report"), read("models"), maps()
+    marked = spark.read.parquet(f"{path}/report").withColumn("F1", F.when(F.col("pre_year") == 2000, F.lit(-1.0)).otherwise(F.col("F1")))
+    rows_marked = marked.collect()
+    spark.createDataFrame(rows_marked, marked.schema).write.mode("overwrite").parquet(f"{path}/report")
+    again = run(only=[(2001, 2002)])
+    assert read("report")[2000, 2001]["F1"] == -1.0  # untouched
+    assert read("report")[2001, 2002].asDict() == report[2001, 2002].asDict() and set(read("models")) == set(pairs)
+    assert maps() == whole and {r["transition_id"] for r in again.models.collect()} == {2}
+    kept = run(only=[(2000, 2001)], skip_train=True)
+    assert read("report")[2000, 2001].asDict() == report[2000, 2001].asDict() and kept.models.first()["coef"] == models[2000, 2001]["coef"]
+    with pytest.raises(ValueError, match="no such transitions"):
+        run(only=[(1990, 1991)])
+    with pytest.raises(ValueError, match="no kept models"):
+        jobs.detect_change(stack, pairs, grid, cfg, ["b"], path=f"{path}-none", skip_train=True)
+    with pytest.raises(ValueError, match="no map"):
+        jobs.detect_change(stack, [(2000, 1999)], grid, cfg, ["b"])
+    with pytest.raises(ValueError, match="no patch with change"):
+        jobs.detect_change(stack.withColumn("cls", F.lit(2)), pairs, grid, cfg, ["b"])
 
 
 def test_driver_models_end_to_end(spark, samples):
