@@ -8,7 +8,6 @@ so any number of transitions is scored in one join.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 
 from landgrid.config import Change
 from landgrid.functions.bands import FEATURES
+from landgrid.operators.newton import SUMS, Fit, added, packed_sums
 from landgrid.operators.patches import overlap_mean, patch_summaries, summary_columns
 from landgrid.operators.stats import binary_metrics
 from landgrid.session import compact, join_bounded
@@ -26,48 +26,12 @@ Scorer = Callable[[DataFrame], DataFrame]
 PENALTIES = (0.001, 0.01, 0.1)
 
 
-@dataclass
-class Fit:
-    """One model under way: weighted logistic loss with ``penalty`` half the squared norm of the slopes, on scaled inputs."""
-
-    penalty: float
-    beta: np.ndarray
-    at: np.ndarray = field(init=False)
-    loss: float = np.inf
-    step: float = 1.0
-    direction: np.ndarray | None = None
-    steepness: float = np.inf
-    rest: bool = False
-
-    def __post_init__(self) -> None:
-        self.at = self.beta
-
-    def take(self, loss: float, slope: np.ndarray, curve: np.ndarray, tolerance: float) -> None:
-        """Loss and its derivatives at ``at``: go on from there if it is lower, else shorten the step."""
-        loss += self.penalty / 2 * float(self.at[1:] @ self.at[1:])
-        if loss <= self.loss or self.step < 1e-6:
-            if loss <= self.loss:
-                slope, curve = slope.copy(), curve.copy()
-                slope[1:] += self.penalty * self.at[1:]
-                curve[np.arange(1, len(curve)), np.arange(1, len(curve))] += self.penalty
-                self.beta, self.loss, self.steepness = self.at, loss, float(np.abs(slope).max())
-                self.direction, self.step = -np.linalg.pinv(curve, hermitian=True) @ slope, 1.0
-            else:
-                self.rest = True
-            self.rest |= self.steepness < tolerance
-        else:
-            self.step /= 2
-        self.at = self.beta + self.step * self.direction
-
-
 def _sums(rows: DataFrame, by: Sequence[str], inputs: Sequence[str], scale: dict[tuple, tuple[np.ndarray, np.ndarray, float]],
           live: dict[tuple[tuple, int], np.ndarray]) -> dict[tuple[tuple, int], np.ndarray]:
     """Loss, gradient and upper curvature sums of every live model, in one job. ``scale`` has mean, deviation and weight of
     positives of each group. Tasks add up their own rows, Spark the tasks."""
     groups = {g: n for n, g in enumerate(scale)}
     upper = np.triu_indices(len(inputs) + 1)
-    schema = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("k", T.IntegerType()),
-                           T.StructField("v", T.ArrayType(T.DoubleType()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
@@ -93,16 +57,11 @@ def _sums(rows: DataFrame, by: Sequence[str], inputs: Sequence[str], scale: dict
                     part = np.concatenate([[weight.sum(), loss], z.T @ (weight * (p - y[own])), curve[upper]])
                     total[n, k] = total.get((n, k), 0.0) + part
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in total], pa.int32()), pa.array([k for _, k in total], pa.int32()),
-                                              pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["g", "k", "v"])
+            yield packed_sums(total)
 
-    parts = rows.select(*by, *inputs, "y").mapInArrow(scan, schema)
-    added = parts.select("g", "k", F.posexplode("v").alias("at", "v")).groupBy("g", "k", "at").agg(F.sum("v").alias("v"))
+    parts = rows.select(*by, *inputs, "y").mapInArrow(scan, SUMS)
     names = list(groups)
-    out: dict[tuple[tuple, int], np.ndarray] = {}
-    for r in added.toArrow().to_pylist():  # a few thousand numbers per model, whatever the number of patches
-        out.setdefault((names[r["g"]], r["k"]), np.zeros(2 + len(inputs) + 1 + len(upper[0])))[r["at"]] = r["v"]
-    return out
+    return {(names[g], k): v for (g, k), v in added(parts).items()}
 
 
 def fit_models(train: DataFrame, by: Sequence[str], channels: Sequence[str] = FEATURES, penalties: Sequence[float] = PENALTIES,
@@ -130,18 +89,12 @@ def fit_models(train: DataFrame, by: Sequence[str], channels: Sequence[str] = FE
             counts[group] = (r["n_pos"], r["n_neg"], weight)
             for k, penalty in enumerate(penalties):
                 fits[group, k] = Fit(float(penalty), np.zeros(len(inputs) + 1))
-        upper = np.triu_indices(len(inputs) + 1)
         for _ in range(max_steps):
             live = {key: f.at for key, f in fits.items() if not f.rest}
             if not live:
                 break
             for key, v in _sums(rows, by, inputs, scale, live).items():
-                size = len(inputs) + 1
-                curve = np.zeros((size, size))
-                curve[upper] = v[2 + size:]
-                curve = curve + np.triu(curve, 1).T
-                whole = max(v[0], 1e-300)
-                fits[key].take(v[1] / whole, v[2:2 + size] / whole, curve / whole, tolerance)
+                fits[key].take_sums(v, tolerance)
     finally:
         rows.unpersist()
     table = []

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from landgrid.config import Classification
 from landgrid.functions import classes as C
 from landgrid.functions.bands import FEATURES
 from landgrid.operators.focal import focal_majority
+from landgrid.operators.newton import SUMS, Fit, added, packed_sums
 from landgrid.operators.pixels import denormalize
 from landgrid.operators.ranking import hash_first, seeded_hash
 from landgrid.session import compact
@@ -66,9 +66,7 @@ def _fourier_statement(df: DataFrame, features: Sequence[str], gamma: float, siz
     as one SQL projection: weights are literals, the cosine runs inside generated code."""
     stats = df.agg(*[e for f in features for e in (F.avg(f).alias(f"a_{f}"),
                                                    F.stddev_samp(f).alias(f"s_{f}"))]).first()
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), (size, len(features)))
-    b = rng.uniform(0.0, 2 * math.pi, size)
+    w, b = _fourier(len(features), gamma, size, seed)
     std = [f"((`{f}` - {stats[f'a_{f}']!r}D) / {(stats[f's_{f}'] or 1.0)!r}D)" for f in features]
     amp = math.sqrt(2.0 / size)
     cols = []
@@ -108,42 +106,94 @@ def svm_rbf_train(df: DataFrame, features: Sequence[str] = FEATURES, label: str
         rows.unpersist()
 
 
+def _fourier(features: int, gamma: float, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.normal(0.0, math.sqrt(2.0 * gamma), (size, features)), rng.uniform(0.0, 2 * math.pi, size)
+
+
 def svm_tune(df: DataFrame, features: Sequence[str] = FEATURES, label: str = "cls",
              cfg: Classification = Classification(), size: int = 48, max_iter: int = 20) -> DataFrame:
     """Cross-validated accuracy of every (cost, gamma), best first.
 
-    Folds are seeded hashes of the inputs, so equal rows share one. Inputs are scaled, projected and learned on the rows outside a
-    fold and judged on those inside; the grid points of all folds run side by side."""
-    spark = df.sparkSession
+    Folds are seeded hashes of the inputs, so equal rows share one. Inputs are scaled and projected by the rows outside a fold, learned
+    on those and judged on the rows inside. The machines of all grid points, folds and classes (squared hinge, so that they have
+    a curvature) take their steps together: a job per step over the rows, one more to judge."""
+    features, costs, gammas = list(features), cfg.tune_costs, cfg.tune_gammas
     fold = F.conv(F.substring(seeded_hash(cfg.seed, *[F.col(f) for f in features]), 1, 8), 16, 10).cast("bigint") % cfg.tune_folds
-    rows = _training_rows(df, features, label)
-    marked = compact(rows.withColumn("fold_", fold.cast("int")))
-    sizes = dict(tuple(r) for r in marked.groupBy("fold_").count().collect())
-    n = sum(sizes.values())
-    judge = MulticlassClassificationEvaluator(labelCol="label_", metricName="accuracy")
-
-    def judged(gamma: float, k: int) -> list[tuple[float, float, float]]:
-        inside, outside = marked.filter(F.col("fold_") == k), marked.filter(F.col("fold_") != k)
-        project, assemble, machines = svm_pipeline(outside, features, gamma, 1.0, n - sizes[k], size, cfg.seed, max_iter)[0].getStages()
-        mapped = [assemble.transform(project.transform(part)).select("features_", "label_").cache() for part in (outside, inside)]
-        out = []
-        for cost in cfg.tune_costs:
-            svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (cost * max(n - sizes[k], 1)), standardization=False)
-            out.append((float(cost), float(gamma), sizes[k] * judge.evaluate(machines.copy({machines.classifier: svc}).fit(mapped[0]).transform(mapped[1]))))
-        for part in mapped:
-            part.unpersist()
-        return out
-
+    known = complete(df, [*features, label]).select(*features, F.col(label).cast("int").alias("label_"))
+    rows = compact(known.withColumn("fold_", fold.cast("int")))
     try:
-        with ThreadPool(8) as pool:
-            parts = pool.starmap(judged, [(g, k) for g in cfg.tune_gammas for k in sorted(sizes)])
+        moments = rows.groupBy("fold_").agg(F.count(F.lit(1)), *[F.sum(f) for f in features], *[F.sum(F.col(f) * F.col(f)) for f in features],
+                                            F.collect_set("label_")).collect()  # a row per fold
+        classes = sorted({c for r in moments for c in r[-1]})
+        sums = {r[0]: np.array(r[1:-1], float) for r in moments}
+        whole = sum(sums.values(), np.zeros(1 + 2 * len(features)))
+        scale, n_out = {}, {}
+        for k, own in sums.items():
+            out = whole - own
+            n_out[k] = max(out[0], 1.0)
+            mean, square = out[1:1 + len(features)] / n_out[k], out[1 + len(features):] / n_out[k]
+            sd = np.sqrt(np.maximum(square - mean * mean, 0.0) * n_out[k] / max(n_out[k] - 1, 1))
+            scale[k] = mean, np.where(sd > 0, sd, 1.0)
+        maps = [_fourier(len(features), gamma, size, cfg.seed) for gamma in gammas]
+        units = [(g, k) for g in range(len(gammas)) for k in sorted(sums)]
+        machines = [(cost, c) for cost in costs for c in classes]
+        fits = {(u, m): Fit(1.0 / (cost * n_out[k]), np.zeros(size + 1)) for u, (_, k) in enumerate(units) for m, (cost, _) in enumerate(machines)}
+        upper = np.triu_indices(size + 1)
+
+        def projected(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+            """(unit, projected rows, labels, whether inside the fold)."""
+            x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features])
+            y, at = batch.column("label_").to_numpy(zero_copy_only=False), batch.column("fold_").to_numpy(zero_copy_only=False)
+            for u, (g, k) in enumerate(units):
+                w, b = maps[g]
+                mean, sd = scale[k]
+                z = math.sqrt(2.0 / size) * np.cos((x - mean) / sd @ w.T + b)
+                yield u, np.column_stack([np.ones(len(x)), z]), y, at == k
+
+        def steps(live: dict[tuple[int, int], np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
+            def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total: dict[tuple[int, int], np.ndarray] = {}
+                for batch in batches:
+                    for u, z, y, inside in projected(batch) if batch.num_rows else ():
+                        z, y = z[~inside], y[~inside]
+                        for m, (_, c) in enumerate(machines):
+                            if (u, m) not in live or not len(z):
+                                continue
+                            sign = np.where(y == c, 1.0, -1.0)
+                            short = np.maximum(0.0, 1.0 - sign * (z @ live[u, m]))
+                            wrong = z[short > 0]
+                            part = np.concatenate([[len(z), short @ short], -2.0 * (z.T @ (sign * short)), 2.0 * (wrong.T @ wrong)[upper]])
+                            total[u, m] = total.get((u, m), 0.0) + part
+                if total:
+                    yield packed_sums(total)
+
+            return added(rows.mapInArrow(scan, SUMS))
+
+        for _ in range(max_iter):
+            live = {key: f.at for key, f in fits.items() if not f.rest}
+            if not live:
+                break
+            for key, v in steps(live).items():
+                fits[key].take_sums(v, 1e-6)
+        weights = {u: np.stack([fits[u, m].beta for m in range(len(machines))], axis=1) for u in range(len(units))}
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            right = {(u, j): np.zeros(1) for u in range(len(units)) for j in range(len(costs))}
+            for batch in batches:
+                for u, z, y, inside in projected(batch) if batch.num_rows else ():
+                    score = (z[inside] @ weights[u]).reshape(-1, len(costs), len(classes))
+                    best = np.array(classes)[score.argmax(axis=2)] if len(score) else np.zeros((0, len(costs)))
+                    for j in range(len(costs)):
+                        right[u, j] += (best[:, j] == y[inside]).sum()
+            yield packed_sums(right)
+
+        hits = {key: v[0] for key, v in added(rows.mapInArrow(judge, SUMS)).items()}
     finally:
         rows.unpersist()
-        marked.unpersist()
-    right: dict[tuple[float, float], float] = {}
-    for cost, gamma, hits in (r for part in parts for r in part):
-        right[cost, gamma] = right.get((cost, gamma), 0.0) + hits
-    return spark.createDataFrame([(*k, v / n) for k, v in right.items()], "cost double, gamma double, accuracy double") \
+    table = [(float(cost), float(gamma), float(sum(hits.get((u, j), 0.0) for u, (at, _) in enumerate(units) if at == g) / max(whole[0], 1.0)))
+             for g, gamma in enumerate(gammas) for j, cost in enumerate(costs)]
+    return df.sparkSession.createDataFrame(table, "cost double, gamma double, accuracy double") \
                 .orderBy(F.desc("accuracy"), "cost", "gamma")
 
 

@@ -75,11 +75,33 @@ def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
+def _swap_in(spark: SparkSession, path: str) -> None:
+    """Put a table written in full at ``<path>-next`` in the place of the one at ``path``. A crash on the way leaves one
+    of the two complete, and the next call goes on from there."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    place = lambda name: jvm.Path(name)
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    here, new, last = place(path), place(f"{path}-next"), place(f"{path}-last")
+    if not files.exists(place(f"{path}-next/_SUCCESS")):
+        if files.exists(last) and not files.exists(here):
+            files.rename(last, here)
+        return
+    if files.exists(here):
+        files.delete(last, True)
+        files.rename(here, last)
+    files.rename(new, here)
+    files.delete(last, True)
+
+
 def refresh_report(new: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Upsert ``new`` into the report stored at ``path`` and return the merged table."""
-    old = stored_product(new.sparkSession, path)
+    """Upsert ``new`` into the report stored at ``path`` and return the merged table. The new report is written beside the
+    old one and then takes its place, so a crash loses neither."""
+    spark = new.sparkSession
+    _swap_in(spark, path)
+    old = stored_product(spark, path)
     merged = cut_lineage(new if old is None else upsert(old, new, keys))
-    merged.coalesce(1).write.mode("overwrite").parquet(path)
+    merged.coalesce(1).write.mode("overwrite").parquet(f"{path}-next")
+    _swap_in(spark, path)
     return merged
 
 

@@ -13,6 +13,7 @@ from landgrid.operators import (changemodel, classify, patches, ranking, regress
                                 stats, weights)
 from landgrid.plans import jobs
 from landgrid.plans.queries_samples import QUERIES
+from landgrid.sources import products
 
 
 def key(seed, i):
@@ -323,6 +324,60 @@ def test_classifiers_learn_and_skip_incomplete(spark):
     assert sum(r["importance"] for r in imp) == pytest.approx(1.0)
 
 
+def test_tuning_equals_separate_machines(spark):
+    """Every grid point, fold and class solved alone by numpy gives the same accuracies."""
+    rng = np.random.default_rng(5)
+    n, size = 160, 12
+    x = rng.normal(size=(n, 2))
+    cls = np.where(x[:, 0] ** 2 + x[:, 1] ** 2 < 1, 1, np.where(x[:, 0] > 0, 2, 3))
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, cls)] + [(None, 1.0, 1)], "f1 double, f2 double, cls int")
+    cfg = Classification(tune_costs=(0.1, 10.0), tune_gammas=(0.1, 1.0), tune_folds=3)
+    got = {(r["cost"], r["gamma"]): r["accuracy"] for r in classify.svm_tune(df, ["f1", "f2"], cfg=cfg, size=size, max_iter=60).collect()}
+    fold = np.array([int(hashlib.md5(f"{cfg.seed}|{a}|{b}".encode()).hexdigest()[:8], 16) % 3 for a, b in
+                     [tuple(r) for r in df.dropna().select(F.col("f1").cast("string"), F.col("f2").cast("string")).collect()]])
+    for gamma in cfg.tune_gammas:
+        w, b = classify._fourier(2, gamma, size, cfg.seed)
+        for cost in cfg.tune_costs:
+            right = 0
+            for k in range(3):
+                out = fold != k
+                mean, sd = x[out].mean(0), x[out].std(0, ddof=1)
+                z = np.column_stack([np.ones(n), np.sqrt(2 / size) * np.cos((x - mean) / sd @ w.T + b)])
+                scores = []
+                for c in (1, 2, 3):
+                    y, beta = np.where(cls == c, 1.0, -1.0), np.zeros(size + 1)
+                    pen = np.diag([0.0] + [1 / (cost * out.sum())] * size)
+                    loss = lambda v: np.mean(np.maximum(0, 1 - y[out] * (z[out] @ v)) ** 2) + v @ pen @ v / 2  # noqa: B023, E731
+                    for _ in range(200):
+                        short = np.maximum(0, 1 - y[out] * (z[out] @ beta))
+                        a = z[out][short > 0]
+                        grad = -2 * z[out].T @ (y[out] * short) / out.sum() + pen @ beta
+                        move, t = np.linalg.solve(2 * a.T @ a / out.sum() + pen + 1e-12 * np.eye(size + 1), grad), 1.0
+                        while loss(beta - t * move) > loss(beta) and t > 1e-9:
+                            t /= 2
+                        beta = beta - t * move
+                    scores.append(z[~out] @ beta)
+                right += (np.argmax(scores, axis=0) + 1 == cls[~out]).sum()
+            assert got[cost, gamma] == pytest.approx(right / n, abs=1e-9)
+
+
+def test_report_survives_a_crash(spark, tmp_path):
+    path = str(tmp_path / "report")
+    table = lambda *rows: spark.createDataFrame(rows, "k int, v int")
+    read = lambda: sorted(tuple(r) for r in spark.read.parquet(path).collect())
+    products.refresh_report(table((1, 1), (2, 2)), path, ["k"])
+    products.refresh_report(table((2, 3)), path, ["k"])
+    assert read() == [(1, 1), (2, 3)]
+    (tmp_path / "report").rename(tmp_path / "report-last")  # stopped after the old report went
+    table((1, 7), (2, 3)).write.parquet(f"{path}-next")
+    products.refresh_report(table((3, 3)), path, ["k"])
+    assert read() == [(1, 7), (2, 3), (3, 3)]
+    (tmp_path / "report").rename(tmp_path / "report-last")  # and with a new one half written
+    (tmp_path / "report-next").mkdir()
+    products.refresh_report(table((4, 4)), path, ["k"])
+    assert read() == [(1, 7), (2, 3), (3, 3), (4, 4)] and not (tmp_path / "report-last").exists()
+
+
 def patch_table(spark, groups=(1, 2, 3), n=120):
     rng = np.random.default_rng(8)
     cols = patches.summary_columns(["b"])
