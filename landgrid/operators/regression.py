@@ -35,7 +35,7 @@ def logistic_regression(df: DataFrame, predictors: Sequence[str], response: str
     rows = compact(data.select(response, "features_"))
     model = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=response,
                                         featuresCol="features_", predictionCol="fit_",
-                                        maxIter=25, tol=1e-8).fit(rows)
+                                        maxIter=50, tol=1e-12).fit(rows)
     s = model.summary
     r2 = 1.0 - s.deviance / s.nullDeviance if s.nullDeviance else None
     est = [model.intercept, *model.coefficients]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from landgrid.oracle.solve import ONCE
+
 BANDS = ("b02", "b03", "b04", "b08", "b11", "b12")
 FEATURES = BANDS + ("ndvi", "ndbi", "mndwi", "nbi", "bsi")
 
@@ -104,5 +106,5 @@ def sql(body: str, **extra: str) -> str:
             need.add(name)
             todo.append(CTES[name])
     parts = [f"{n} AS ({q})" for n, q in CTES.items() if n in need]
-    parts += [f"{n} AS ({q})" for n, q in extra.items()]
+    parts += [f"{n} AS {'MATERIALIZED ' if q.startswith(ONCE) else ''}({q})" for n, q in extra.items()]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body

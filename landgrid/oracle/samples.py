@@ -3,6 +3,7 @@
 from landgrid.oracle.base import FEATURES, sql
 from landgrid.oracle.grids import _ADJ, _COMPONENTS, windows
 from landgrid.oracle.pixels import SQL as PIXEL_SQL
+from landgrid.oracle.solve import TAIL, logistic
 from landgrid.oracle.zones import _ZC
 
 PREDICTORS = ("dist_roads", "dist_centre", "dist_urban", "pop_density", "elevation", "slope", "ndvi_loss")
@@ -68,6 +69,9 @@ _NORMAL = {
  (SELECT k, sum(CASE WHEN k = 0 THEN 0 ELSE ln(2e0 * k + 1) END) OVER (ORDER BY k) AS lf FROM generate_series(0, 250) g(k)) GROUP BY x""",
 }
 
+_LOGIT = logistic("frm", "growth", PREDICTORS)
+_TERM = "CASE t.k " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(("(Intercept)", *PREDICTORS))) + " END"
+
 SQL = {
     "stratified_points": sql("""SELECT yr, cls, cell_id, rk FROM (SELECT *, row_number() OVER (PARTITION BY yr, cls ORDER BY md5('42|' || cell_id), cell_id) AS rk
  FROM lulc WHERE cls IS NOT NULL) z WHERE rk <= 100"""),
@@ -102,6 +106,9 @@ SQL = {
     "morans_i": stack("""SELECT round(mi, 6) AS "I", round(ex, 6) AS expected, round(va, 6) AS variance, round(z, 6) AS z,
  round(CASE WHEN abs(z) > 8 THEN CASE WHEN z > 0 THEN 0 ELSE 1 END WHEN z >= 0 THEN (1 - er) / 2 ELSE (1 + er) / 2 END, 6) AS p FROM mz, er""",
         dev="SELECT cell_id, growth - (SELECT avg(growth) FROM frm) AS d FROM frm", **_NORMAL),
+    "logistic_regression": stack(f"""SELECT {_TERM} AS term, round(est, 9) AS estimate, round(se, 9) AS std_error, round(est / se, 6) AS z_value, round(p, 6) AS p_value,
+ round(exp(est), 6) AS odds_ratio, round(pr2, 6) AS pseudo_r2 FROM terms t JOIN tails ON tails.k = t.k""", **_LOGIT, tails=TAIL),
+    "driver_importance": stack(f"SELECT {_TERM} AS variable, round(abs(est), 9) AS abs_coef FROM terms t WHERE k > 0", **_LOGIT),
     "pick_best_model": sql("""SELECT sensor, model FROM (SELECT sensor, model, row_number() OVER (PARTITION BY sensor ORDER BY (po - pe) / (1 - pe) DESC, model) AS rn FROM
  (SELECT sensor, model, sum(n) FILTER (pred = ref) / sum(n) AS po, sum(CAST(n AS DOUBLE) * 0) + (SELECT sum(a.t * b.t) FROM (SELECT pred AS k, sum(n) AS t FROM g q WHERE q.sensor = g.sensor AND q.model = g.model GROUP BY pred) a
  JOIN (SELECT ref AS k, sum(n) AS t FROM g q WHERE q.sensor = g.sensor AND q.model = g.model GROUP BY ref) b USING (k)) / (sum(n) * sum(n)) AS pe

@@ -13,7 +13,7 @@ from landgrid.operators.change import change_reference, transition_pairs, transi
 from landgrid.operators import (changemodel, classify, patches, pixels, regression, report,
                                 sampling, stats, weights)
 from landgrid.plans import jobs
-from landgrid.plans.common import keep, register
+from landgrid.plans.common import keep, register, rounded
 from landgrid.plans.drivers import PREDICTORS, coarse_grid, driver_stack
 from landgrid.plans.queries_grids import patch_labels, patch_pairs
 from landgrid.plans.queries_zones import NEXT_YEAR
@@ -179,12 +179,15 @@ def morans_i(spark, sf):
 
 @query("logistic_regression")
 def logistic_regression(spark, sf):
-    return regression.logistic_regression(drivers(spark, sf), PREDICTORS)
+    out = regression.logistic_regression(drivers(spark, sf), PREDICTORS)
+    fine = [F.round(c, 9).alias(c) for c in ("estimate", "std_error")]
+    return out.select("term", *fine, *rounded("z_value", "p_value", "odds_ratio", "pseudo_r2"))
 
 
 @query("driver_importance")
 def driver_importance(spark, sf):
-    return regression.driver_importance(regression.logistic_regression(drivers(spark, sf), PREDICTORS))
+    out = regression.driver_importance(regression.logistic_regression(drivers(spark, sf), PREDICTORS))
+    return out.withColumn("abs_coef", F.round("abs_coef", 9))
 
 
 @query("spatial_lag_model")
