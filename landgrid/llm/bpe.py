@@ -72,7 +72,7 @@ class ByteBpe:
     stays; extra columns are ignored.
     """
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str, block_bytes: int = 8 << 20, maps: int = 16_384):
+    def __init__(self, spark: SparkSession, path: str, pattern: str, block_bytes: int = 24 << 20, maps: int = 16_384):
         self.spark, self.pattern, self.block_bytes, self.maps = spark, pattern, block_bytes, maps
         self.ranks = read_ranks(path)
         hexed = [(t.hex().upper(), r) for t, r in self.ranks.items()]
@@ -118,7 +118,7 @@ class ByteBpe:
             pairs = F.when(size < 2, F.array().cast("array<int>")).otherwise(
                 F.transform(F.sequence(F.lit(0), size - 2), lambda i: rank(F.substring(token, 2 * i + 1, F.lit(4)))))
             start = F.struct(bytes_.alias("parts"), pairs.alias("ranks"))
-            merged = F.aggregate(F.sequence(F.lit(1), size), start, step, lambda s: F.transform(s["parts"], rank))
+            merged = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, step, lambda s: F.transform(s["parts"], rank))
             return let(rank(token), lambda whole: F.when(whole != NEVER, F.array(whole)).otherwise(merged))
 
         return let(F.from_json(F.lit(self.rank_maps), "array<map<string,int>>"), with_map)
@@ -165,13 +165,13 @@ class ByteBpe:
                     part = pieces.slice(at, 1 << 16)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], ["block", "piece"])
 
-        seen = small.repartition(blocks, "block").mapInArrow(distinct, "block int, piece string")
+        seen = small.repartitionById(blocks, "block").mapInArrow(distinct, "block int, piece string")
         words = keep(seen.groupBy("piece").agg(F.collect_list("block").alias("blocks")), "pieces")
         known = self.encode_pieces(words).select(F.explode("blocks").alias("block"), "piece", "ids")
         # Pieces of a block come before its documents.
         both = known.select("block", F.lit(False).alias("text_"), "piece", "ids").unionByName(
             small.withColumn("text_", F.lit(True)), allowMissingColumns=True)
-        stream = both.repartition(blocks, "block").sortWithinPartitions("block", "text_")
+        stream = both.repartitionById(blocks, "block").sortWithinPartitions("text_")
 
         def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, words_ = None, []
