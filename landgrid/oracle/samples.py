@@ -69,6 +69,9 @@ _NORMAL = {
  (SELECT k, sum(CASE WHEN k = 0 THEN 0 ELSE ln(2e0 * k + 1) END) OVER (ORDER BY k) AS lf FROM generate_series(0, 250) g(k)) GROUP BY x""",
 }
 
+_FIRST_SEED = """SELECT transition_id, min_by(seed, pos) FILTER (tp > 0 AND nv > 0) AS seed FROM
+ (SELECT transition_id, seed, pos, count(*) FILTER (split = 'train' AND y = 1) AS tp, count(*) FILTER (split = 'val') AS nv
+ FROM blocked JOIN bsplit USING (block) GROUP BY ALL) z GROUP BY transition_id"""
 _LOGIT = logistic("frm", "growth", PREDICTORS)
 _TERM = "CASE t.k " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(("(Intercept)", *PREDICTORS))) + " END"
 
@@ -127,9 +130,11 @@ SQL = {
     "change_models": windows("""SELECT transition_id, p AS n_pos, q AS n_neg, round(q / CAST(greatest(p, 1) AS DOUBLE), 6) AS pos_weight, true AS at_rest FROM
  (SELECT b.transition_id, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM blocked b JOIN first_seed f ON f.transition_id = b.transition_id
  JOIN bsplit s ON s.seed = f.seed AND s.block = b.block WHERE s.split = 'train' GROUP BY b.transition_id) z""", **_BLOCKS,
-        first_seed="""SELECT transition_id, min_by(seed, pos) FILTER (tp > 0 AND nv > 0) AS seed FROM
- (SELECT transition_id, seed, pos, count(*) FILTER (split = 'train' AND y = 1) AS tp, count(*) FILTER (split = 'val') AS nv
- FROM blocked JOIN bsplit USING (block) GROUP BY ALL) z GROUP BY transition_id"""),
+        first_seed=_FIRST_SEED),
+    "change_report": windows("""SELECT t.pre_year, t.post_year, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val,
+ count(*) FILTER (split = 'test') AS n_test, true AS known FROM blocked b JOIN first_seed f ON f.transition_id = b.transition_id
+ JOIN bsplit s ON s.seed = f.seed AND s.block = b.block JOIN trans t ON t.transition_id = b.transition_id GROUP BY t.pre_year, t.post_year""",
+        **_BLOCKS, first_seed=_FIRST_SEED),
     "model_facts": sql("""SELECT f.sensor, f.yr, f.n_pixels, f.n_classed, CAST(0 AS BIGINT) AS n_unknown, p.n_points, CAST(1 AS DOUBLE) AS importance_sum FROM
  (SELECT sensor, yr, count(*) AS n_pixels, count(*) FILTER (whole) AS n_classed FROM lab GROUP BY sensor, yr) f
  JOIN (SELECT sensor, CAST(sum(least(n, 400)) AS BIGINT) AS n_points FROM (SELECT sensor, cls, count(*) AS n FROM lab WHERE whole AND cls IS NOT NULL GROUP BY ALL) z

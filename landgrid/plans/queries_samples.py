@@ -429,6 +429,15 @@ def detect_change(spark, sf):
     return out.change_map.groupBy("transition_id", "change").count()
 
 
+@query("change_report")
+def change_report(spark, sf):
+    """The report that the composed job keeps: a row per pair, with metrics exactly where there are test patches."""
+    st = testbed.study(spark, sf)
+    out = jobs.detect_change(testbed.channels(spark, sf), testbed.TRANSITIONS, st.grid, st.change, path=scratch_path(spark, "change")).report
+    known = (F.col("F1").isNotNull() == (F.col("n_test") > 0)) & (F.col("F1").isNull() | F.col("F1").between(0, 1))
+    return out.select("pre_year", "post_year", "n_train", "n_val", "n_test", known.alias("known"))
+
+
 @query("sprawl_metrics")
 def sprawl_metrics(spark, sf):
     """Entropy and landscape tables of the composed job side by side."""
