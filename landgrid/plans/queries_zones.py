@@ -7,11 +7,8 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from landgrid.config import Sprawl
-from landgrid.functions import bands as B
-from landgrid.functions import geo
 from landgrid.functions.classes import became
-from landgrid.operators import change, focal, landscape, pixels, report, stats, zones
-from landgrid.operators import resample
+from landgrid.operators import change, landscape, pixels, report, stats, zones
 from landgrid.config import Grid
 from landgrid.plans.common import keep, register
 from landgrid.sources import testbed
