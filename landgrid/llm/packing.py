@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from landgrid.llm.labelled import narrow
 from landgrid.llm.tokens import chunks, segments
