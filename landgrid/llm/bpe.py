@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from landgrid.llm.labelled import narrow
 from landgrid.llm.pieces import cut, kind_ranges
-from landgrid.llm.store import keep, packed, unpacked
+from landgrid.llm.store import keep, packed, release, unpacked
 from landgrid.llm.tokens import raw
 
 NEVER = 2_147_483_647
@@ -148,6 +148,7 @@ class ByteBpe:
         small = small.select("block", "doc_id", "size", "packed")
 
         def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             met: dict[int, list[pa.Array]] = {}
             for batch in unpacked(batches):
                 pieces, count = cut(*raw(batch.column("text")), pattern, ranges)
@@ -174,6 +175,7 @@ class ByteBpe:
         stream = both.repartitionById(blocks, "block").sortWithinPartitions("text_")
 
         def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             block, words_ = None, []
             for batch in batches:
                 if not batch.num_rows:

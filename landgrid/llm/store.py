@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -26,11 +27,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system; allocators keep it otherwise, and
+    a worker that has served many steps looks as large as the largest of them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``docs`` with text compressed row by row: ``packed`` and its full ``size`` in bytes take its place."""
     names = [c for c in docs.columns if c != "text"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         codec = pa.Codec("zstd", compression_level=3)
         for batch in chunks(batches):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
