@@ -6,6 +6,9 @@
    smallest id stays.
 4. Documents are repeated so that languages get equal numbers of tokens; none is lost.
 5. Texts are encoded with a byte-level BPE vocabulary and decoded again.
+
+Null and empty texts pass stages 2 to 5 as they are; rows without an id pass stage 3. Ids are taken to be unique: of rows that repeat
+one with different texts stage 3 keeps one, whichever Spark meets first. Other columns stay up to the last stage.
 """
 
 from __future__ import annotations
