@@ -84,6 +84,16 @@ def test_distance_over_column_tiles(frame, tile, share):
         assert got[r, c] == pytest.approx(10.0 * np.sqrt(((hits - (r, c)) ** 2).sum(axis=1).min()))
 
 
+def test_halo_costs_few_rows_and_no_second_shuffle(spark):
+    n = 256
+    cells = spark.range(n * n).select(F.col("id").alias("cell_id"), F.expr(f"id div {n}").alias("r"), F.expr(f"id % {n}").alias("c"),
+                                      F.expr("id % 1").alias("yr"), (F.col("id") % 4 + 1).cast("int").alias("cls"), F.col("id").cast("double").alias("elev"))
+    assert focal.with_halo(cells, focal.SQUARE, ["yr"]).count() <= 1.1 * n * n
+    for out in (focal.focal_majority(cells), focal.slope_degrees(cells, 10.0), focal.forward_pairs(cells)):
+        assert out.filter("r >= 0 AND c >= 0").count() == n * n
+        assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+
+
 def test_envelope_is_the_minimum_of_its_parabolas():
     rng = np.random.default_rng(1)
     for low, high in ((0, 30), (12, 20), (31, 60), (-20, -1)):

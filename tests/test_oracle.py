@@ -10,7 +10,8 @@ from tools.check import compare, duck
 SF_DIR = f"/root/testdata/sf{os.environ.get('LANDGRID_SF', '0.01')}"
 KEYS = ("scan_scene", "best_scene_platform", "asset_pick", "mosaic_tiles", "minmax_normalize",
         "spectral_rules", "change_ref", "ring_zone_touch", "shannon_entropy", "ueii",
-        "accuracy_report", "focal_majority", "distance_transform", "connected_components",
+        "accuracy_report", "focal_majority", "distance_transform", "extract_at_polygons", "extract_at_degrees",
+        "dashboard_extent", "preprocess_scene", "compare_products", "change_models", "connected_components",
         "sieve_small", "patch_windows", "train_test_split", "classify_year", "landscape_metrics",
         "driver_stack")
 
