@@ -49,7 +49,8 @@ def resample_bilinear(px: DataFrame, src: Grid, dst: Grid, values: Sequence[str]
     wx = 1.0 - F.abs(geo.cell_x(F.col("c"), dst) - F.col("sx")) / src.res
     wy = 1.0 - F.abs(geo.cell_y(F.col("r"), dst) - F.col("sy")) / src.res
     w = F.greatest(wx, F.lit(0.0)) * F.greatest(wy, F.lit(0.0))
-    sums = rows.withColumn("w", w).groupBy(*by, "r", "c").agg(
+    # A centre one whole cell away has no weight: without any nearer one there is no target cell.
+    sums = rows.withColumn("w", w).filter("w > 0").groupBy(*by, "r", "c").agg(
         *[e for v in values for e in (
             F.sum(F.col("w") * F.col(v)).alias(f"s_{v}"),
             F.sum(F.when(F.col(v).isNotNull(), F.col("w"))).alias(f"w_{v}"))])

@@ -225,6 +225,15 @@ def test_bilinear_identity_and_weights(spark, frame):
     assert mid["v"] == pytest.approx(10.0)
 
 
+def test_bilinear_drops_target_cells_without_a_weighted_source(spark):
+    df = spark.createDataFrame([(0, 0, 5.0), (1, 2, None)], "r bigint, c bigint, v double")
+    got = resample.resample_bilinear(df, Grid(10.0, 3, 3), Grid(5.0, 6, 6, x0=-2.5, y0=-2.5), ["v"]).collect()
+    near = {(r, c) for y, x in ((0, 0), (1, 2)) for r in range(6) for c in range(6)
+            if abs(5 * r - 10 * y - 5) < 10 and abs(5 * c - 10 * x - 5) < 10}
+    assert {(r["r"], r["c"]) for r in got} == near
+    assert all((r["v"] is None) == (r["c"] > 2) for r in got)
+
+
 def test_nearest_to_finer_and_coarser(frame):
     df = frame([[1, 2], [3, 4]])
     fine = resample.resample_nearest(df, Grid(10.0, 2, 2), Grid(5.0, 4, 4), ["cls"])
