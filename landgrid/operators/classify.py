@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from landgrid.config import Classification
 from landgrid.functions import classes as C
 from landgrid.functions.bands import FEATURES
 from landgrid.operators.focal import focal_majority
+from landgrid.operators.forest import forest_classes
 from landgrid.operators.newton import SUMS, Fit, added, packed_sums
 from landgrid.operators.pixels import denormalize
 from landgrid.operators.ranking import hash_first, seeded_hash
@@ -203,7 +204,11 @@ def predict_pixels(model: PipelineModel, px: DataFrame, keys: Sequence[str],
     whole = F.lit(True)
     for f in features:
         whole = whole & F.col(f).isNotNull()
-    scored = model.transform(px.withColumn("whole_", whole))
+    px = px.withColumn("whole_", whole)
+    if isinstance(model.stages[-1], RandomForestClassificationModel):
+        scored = forest_classes(model.stages[-1], px, keys, model.stages[0].getInputCols(), "whole_")
+        return scored.withColumn("cls", F.col("cls") + first_label) if first_label else scored
+    scored = model.transform(px)
     return scored.select(*keys, F.when(F.col("whole_"), F.col("prediction").cast("int") + first_label)
                          .alias("cls"))
 

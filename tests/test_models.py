@@ -324,6 +324,23 @@ def test_classifiers_learn_and_skip_incomplete(spark):
     assert sum(r["importance"] for r in imp) == pytest.approx(1.0)
 
 
+def test_forest_scores_many_rows_at_once_as_mllib_does_one_by_one(spark):
+    """Equal classes, also with impure leaves, trees of one leaf, NaN and more rows than a block; no row passes MLlib's function."""
+    rng = np.random.default_rng(3)
+    rows = [(i, *(float(v) for v in rng.integers(0, 6, 2)), int(rng.integers(1, 5))) for i in range(9_000)]
+    rows += [(9_000, None, 1.0, 1), (9_001, float("nan"), 1.0, 2)]
+    df = spark.createDataFrame(rows, "cell_id bigint, f1 double, f2 double, cls int").coalesce(1).cache()
+    few, feats = df.filter("cell_id < 300"), ["f1", "f2"]
+    for cfg, train in ((Classification(features_per_split=1), few), (Classification(features_per_split=2, depth=2), few),
+                       (Classification(features_per_split=1), few.filter("cls = 3"))):
+        model = classify.rf_train(train, feats, cfg=cfg, trees=21)
+        out = classify.predict_pixels(model, df, ["cell_id"], feats)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "UDF(" not in plan
+        want = model.transform(df).select("cell_id", F.when(F.col("f1").isNotNull(), F.col("prediction").cast("int")).alias("cls"))
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_tuning_equals_separate_machines(spark):
     """Every grid point, fold and class solved alone by numpy gives the same accuracies."""
     rng = np.random.default_rng(5)
