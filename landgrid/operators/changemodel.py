@@ -145,10 +145,12 @@ def score_patches(models: DataFrame, patches: DataFrame, by: Sequence[str], chan
 
 
 def change_probability(pairs: DataFrame, score: Scorer, cfg: Change, by: Sequence[str],
-                       channels: Sequence[str] = FEATURES) -> DataFrame:
+                       channels: Sequence[str] = FEATURES, windows: DataFrame | None = None) -> DataFrame:
     """Score of every complete window, averaged over the windows of each cell. ``score`` maps
-    patch summaries to rows with ``prob``: fitted models or any user scorer."""
-    windows = patch_summaries(pairs, channels, cfg, cfg.stride_infer, by)
+    patch summaries to rows with ``prob``: fitted models or any user scorer. ``windows`` are the summaries, where
+    the caller has them."""
+    if windows is None:
+        windows = patch_summaries(pairs, channels, cfg, cfg.stride_infer, by)
     scores = score(windows).select(*by, "r0", "c0", "prob")
     return overlap_mean(scores, pairs.select(*by, "cell_id", "r", "c"), cfg.patch_size,
                         cfg.stride_infer, by)

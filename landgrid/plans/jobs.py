@@ -17,7 +17,7 @@ from landgrid.operators import (change, changemodel, classify, components, lands
                                 pixels, regression, resample, sampling, stats, vectors,
                                 weights, zones)
 from landgrid.plans.drivers import PREDICTORS
-from landgrid.session import cut_lineage, join_bounded
+from landgrid.session import cut_lineage, join_bounded, stored
 from landgrid.sources.products import product_geometry, refresh_report, scan_scene, stored_product, write_product
 
 
@@ -162,7 +162,8 @@ def detect_change(stack: DataFrame, transitions: Sequence[tuple[int, int]], grid
     if missing := sorted({y for pair in pairs_now for y in pair} - there):
         raise ValueError(f"no map for {missing}")
     numbers = [number[pair] for pair in pairs_now]
-    pairs = cut_lineage(labelled_pairs(stack, pairs_now, channels, numbers))
+    # The wide tables are kept as Parquet: made once, and later steps read the columns they need.
+    pairs = stored(labelled_pairs(stack, pairs_now, channels, numbers), "pairs")
     labelled = patches.patch_summaries(pairs, channels, cfg, cfg.stride_train, by)
     labelled = cut_lineage(labelled.withColumn("block", patches.block_id(grid, cfg)))
     changed = {r["transition_id"] for r in labelled.filter("y = 1").select("transition_id").distinct().collect()}
@@ -182,7 +183,8 @@ def detect_change(stack: DataFrame, transitions: Sequence[tuple[int, int]], grid
                                            cfg.negatives_per_positive, seed)
         models = changemodel.change_models(train, marked.filter("split = 'val'"), by, channels)
     score = lambda p: changemodel.score_patches(models, p, by, channels)
-    prob = cut_lineage(changemodel.change_probability(pairs, score, cfg, by, channels))
+    same = labelled if cfg.stride_infer == cfg.stride_train else None
+    prob = stored(changemodel.change_probability(pairs, score, cfg, by, channels, same), "prob")
     post = pairs.select(*by, "cell_id", F.col("post_cls").alias("cls"))
     clean = components.sieve_small(prob, post, cfg.min_component, by)
     report = changemodel.transition_report(score(marked), by).join(F.broadcast(years), by)

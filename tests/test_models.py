@@ -504,6 +504,26 @@ def test_driver_models_end_to_end(spark, samples):
         jobs.driver_models(stack.filter("growth = 1"))
 
 
+def test_windows_of_equal_strides_are_summed_once(spark, monkeypatch):
+    """The pairs are kept in files, and the windows that train also score; another stride sums its own."""
+    rng = np.random.default_rng(3)
+    rows = [(r * 24 + c, r, c, yr, float(rng.random()), int(rng.integers(1, 4)) if (r // 6 + c // 6 + yr) % 3 else 1)
+            for yr in (2000, 2001) for r in range(24) for c in range(24)]
+    stack = spark.createDataFrame(rows, "cell_id bigint, r bigint, c bigint, yr int, b double, cls int").cache()
+    calls, summed = [], changemodel.patch_summaries
+    monkeypatch.setattr(changemodel, "patch_summaries", lambda *a, **kw: calls.append(a[3]) or summed(*a, **kw))
+    for stride, want in ((2, []), (4, [4])):
+        calls.clear()
+        cfg = Change(patch_size=4, stride_train=2, stride_infer=stride, centre=2)
+        out = jobs.detect_change(stack, [(2000, 2001)], Grid(10.0, 24, 24), cfg, ["b"])
+        assert calls == want and out.probability.inputFiles()
+        pairs = jobs.labelled_pairs(stack, [(2000, 2001)], ["b"])
+        alone = changemodel.change_probability(pairs, lambda p: changemodel.score_patches(out.models, p, ["transition_id"], ["b"]),
+                                               cfg, ["transition_id"], ["b"])
+        got, expected = ({r["cell_id"]: r["prob"] for r in df.collect()} for df in (out.probability, alone))
+        assert got == pytest.approx(expected)
+
+
 @pytest.mark.parametrize("name", ("svm_tune", "svm_rbf_train", "rf_train", "rf_importance", "predict_pixels", "predict_test",
                                   "train_and_evaluate"))
 def test_registered_models_use_the_configured_settings(spark, monkeypatch, name):
