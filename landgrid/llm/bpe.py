@@ -165,6 +165,8 @@ class ByteBpe:
                 for at in range(0, len(pieces), 1 << 16):
                     part = pieces.slice(at, 1 << 16)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], ["block", "piece"])
+            met.clear()
+            release()
 
         seen = small.repartition(blocks, "block").mapInArrow(distinct, "block int, piece string")
         words = keep(seen.groupBy("piece").agg(F.collect_list("block").alias("blocks")), "pieces")
@@ -190,6 +192,8 @@ class ByteBpe:
                         words_.append(part.select(["piece", "ids"]))
                     else:
                         yield from put(words_, part.select(["doc_id", "size", "packed"]))
+            words_.clear()
+            release()
 
         def put(words_: list[pa.RecordBatch], docs_: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             if words_:
@@ -198,17 +202,34 @@ class ByteBpe:
             else:  # empty texts alone
                 names, ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            first = np.cumsum(sizes) - sizes
-            for batch in unpacked(iter([docs_]), 4 << 20):
-                pieces, per_doc = cut(*raw(batch.column("text")), pattern, ranges)
-                at = pc.index_in(pieces, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
-                count = sizes[at] if len(at) else np.zeros(0, np.int64)
-                ends = np.concatenate([[0], np.cumsum(count)])
-                place = np.arange(ends[-1]) + np.repeat((first[at] if len(at) else count) - ends[:-1], count)
+            sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+            first = np.cumsum(sizes, dtype=np.int32) - sizes
+            for ids_, pieces, per_doc in cut_texts(docs_):
+                at = pc.index_in(pieces, value_set=names).to_numpy(zero_copy_only=False).astype(np.int32)
+                count = sizes[at] if len(at) else np.zeros(0, np.int32)
+                ends = np.zeros(len(count) + 1, np.int32)
+                np.cumsum(count, out=ends[1:])
+                place = np.arange(ends[-1], dtype=np.int32) + np.repeat((first[at] if len(at) else count) - ends[:-1], count)
                 offsets = ends[np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int64)].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[place] if len(place) else flat[:0]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([ids_, lists], ["doc_id", "ids"])
+
+        def cut_texts(docs_: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+            """Ids, pieces and their numbers of about 4 MB of texts, which are cut a megabyte at a time: cutting takes many times
+            the memory of its text, while looking pieces up costs a table of all names each time."""
+            ids_, pieces, counts, held = [], [], [], 0
+            for batch in unpacked(iter([docs_])):
+                data, offs = raw(batch.column("text"))
+                found, count = cut(data, offs, pattern, ranges)
+                ids_.append(batch.column("doc_id"))
+                pieces.append(found)
+                counts.append(count)
+                held += len(data)
+                if held > 4 << 20:
+                    yield pa.concat_arrays(ids_), pa.concat_arrays(pieces), np.concatenate(counts)
+                    ids_, pieces, counts, held = [], [], [], 0
+            if ids_:
+                yield pa.concat_arrays(ids_), pa.concat_arrays(pieces), np.concatenate(counts)
 
         return stream.mapInArrow(together, "doc_id long, ids array<int>")
 

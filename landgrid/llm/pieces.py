@@ -44,11 +44,11 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of UTF-8 bytes and the places of their first bytes."""
     at = np.flatnonzero((data & 0xC0) != 0x80)
     padded = np.concatenate([data, np.zeros(3, np.uint8)])
-    b = padded[at].astype(np.int64)
+    b = padded[at].astype(np.int32)
     many = np.flatnonzero(b >= 0x80)
     if len(many):
         b0 = b[many]
-        b1, b2, b3 = (padded[at[many] + k].astype(np.int64) & 63 for k in (1, 2, 3))
+        b1, b2, b3 = (padded[at[many] + k].astype(np.int32) & 63 for k in (1, 2, 3))
         b[many] = np.where(b0 < 0xE0, (b0 & 31) << 6 | b1, np.where(
             b0 < 0xF0, (b0 & 15) << 12 | b1 << 6 | b2, (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3))
     return b, at
@@ -72,7 +72,7 @@ def common_starts(data: np.ndarray, offs: np.ndarray, ranges: bytes) -> np.ndarr
     start[after_white - 1] = True
     start[after_white[code[after_white - 1] == 0x20]] = False
     # An apostrophe alone takes the letters of a contraction along.
-    open_ = np.concatenate([code, np.zeros(3, np.int64)])
+    open_ = np.concatenate([code, np.zeros(3, np.int32)])
     sign = np.flatnonzero((code == 0x27) & turn & start)
     sign = sign[~begins[sign + 1]]
     a, b = open_[sign + 1], np.where(begins[sign + 2], 0, open_[sign + 2])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from landgrid.llm.tokens import chunks
+from landgrid.llm.tokens import chunks, trim
 from landgrid.session import scratch_path
 
 
@@ -28,14 +27,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def release() -> None:
-    """Give memory that earlier tasks of this worker have freed back to the system; allocators keep it otherwise, and
-    a worker that has served many steps looks as large as the largest of them."""
+    """Give back what earlier tasks of this worker have left, cycles included."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    trim()
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ same in every process: polynomial prefix sums over the bytes, finished by a mixi
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +37,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(size, BASE, dtype=U64)
-    up[0] = 1
-    down = np.full(size, pow(int(BASE), -1, 1 << 64), dtype=U64)
-    down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_held: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, 0 to n at least."""
-    return _powers(1 << max(int(n + 1).bit_length(), 12))
+    """Powers of the base and of its inverse, 0 to n at least. A process keeps the most it has needed, once for all sizes."""
+    size = 1 << max(int(n + 1).bit_length(), 12)
+    if not _held or len(_held[0]) < size:
+        up = np.full(size, BASE, dtype=U64)
+        up[0] = 1
+        down = np.full(size, pow(int(BASE), -1, 1 << 64), dtype=U64)
+        down[0] = 1
+        _held[:] = [np.cumprod(up), np.cumprod(down)]
+    return _held[0], _held[1]
 
 
 @dataclass
@@ -154,6 +155,17 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(a, b - a)
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system; allocators keep it otherwise, and a worker that has served many steps and waits for
+    more looks as large as the largest of them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def segments(data: bytes, size: int = CHUNK_BYTES) -> Iterator[bytes]:

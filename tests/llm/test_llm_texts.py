@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from landgrid.llm import tokens
 from landgrid.llm.bpe import ByteBpe, merge_long
 from landgrid.llm.imatch import IMatch
 from landgrid.llm.jaccard import JaccardJoin, band_starts, segment_counts, set_keys, tolerated
@@ -142,6 +143,17 @@ def test_bpe(spark, docs, rows, none, tokenizer):
     assert encoded(spark, none).count() == 0
 
 
+def test_bpe_looks_up_several_cuts_at_once(spark, tokenizer):
+    """Texts of over four megabytes in one block, whose pieces are cut a megabyte at a time; a worker keeps one table of powers."""
+    rows = [(i, f"Line {i % 3} of naïve words, don't ask.\n" * n) for i, n in enumerate((20_000, 1, 40_000, 0, 30_000, 50_000, 7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    codec = ByteBpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = {r["doc_id"]: list(r["ids"]) for r in codec.encode(docs).collect()}
+    assert got == {i: tokenizer[1].encode_ordinary(text) for i, text in rows}
+    large, small = tokens.powers(50_000), tokens.powers(10)
+    assert small[0] is large[0] and small[1] is large[1]
+
+
 def test_bpe_queue_is_the_fold(spark, tokenizer):
     ranks, encoding = tokenizer
     pieces = ["thertion", "xxxxxxxxxx", "aaaabaaaab", "éèéèéè", "!!!!!!!", " something"]
