@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from landgrid.llm.labelled import narrow
 from landgrid.llm.pieces import cut, kind_ranges
 from landgrid.llm.store import keep, packed, release, unpacked
-from landgrid.llm.tokens import raw
+from landgrid.llm.tokens import raw, trim
 
-NEVER = 2_147_483_647
+BITS = 20
+NEVER = (1 << BITS) - 1
 LONG_PIECE = 512
 
 
@@ -65,6 +66,31 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
+def pair_cells(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of joined tokens in one array: tokens l and r join to the one of rank ``cells[base[l] + r] ^ (l + 1) << BITS``, if that
+    is below NEVER. Rows of the sparse matrix (l, r) are laid over each other, longest first, where their entries meet gaps; half of
+    the cells stay empty, so that gaps are found soon."""
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            left, right = ranks.get(token[:k]), ranks.get(token[k:])
+            if left is not None and right is not None:
+                rows.setdefault(left, []).append((right, rank))
+    width = max(ranks.values(), default=0) + 1
+    size = 2 * sum(map(len, rows.values())) + width
+    base, cells = np.zeros(width, np.int64), np.zeros(size + width, np.int64)
+    for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        right, rank = np.array(row, np.int64).T
+        at, free, tried = left * 39_571_431, np.zeros(1, bool), 64
+        while not free.any():
+            tries = np.arange(at, at + tried) % size
+            free = (cells[tries[:, None] + (right - right.min())] == 0).all(axis=1)
+            at, tried = at + tried, min(2 * tried, 4096)
+        base[left] = tries[free.argmax()] - right.min()
+        cells[base[left] + right] = (left + 1) << BITS | rank
+    return base, cells
+
+
 class ByteBpe:
     """Codec of the ranks in a file, with the pattern that cuts texts.
 
@@ -72,62 +98,83 @@ class ByteBpe:
     stays; extra columns are ignored.
     """
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str, block_bytes: int = 24 << 20, maps: int = 16_384):
-        self.spark, self.pattern, self.block_bytes, self.maps = spark, pattern, block_bytes, maps
+    def __init__(self, spark: SparkSession, path: str, pattern: str, block_bytes: int = 24 << 20):
+        self.spark, self.pattern, self.block_bytes = spark, pattern, block_bytes
         self.ranks = read_ranks(path)
-        hexed = [(t.hex().upper(), r) for t, r in self.ranks.items()]
-        slots = spark.createDataFrame(hexed, "token string, rank int").select(
-            F.pmod(F.xxhash64("token"), F.lit(maps)).alias("slot"), "token", "rank").collect()  # as large as the vocabulary
-        dealt: list[dict[str, int]] = [{} for _ in range(maps)]
-        for row in slots:
-            dealt[row["slot"]][row["token"]] = row["rank"]
-        self.rank_maps = json.dumps(dealt)
+        base, cells = pair_cells(self.ranks)
+        self.tables = json.dumps({"base": base.tolist(), "cells": cells.tolist(), "bytes": [self.ranks[bytes([b])] for b in range(256)]},
+                                 separators=(",", ":"))
         pieces = [""] * (max(self.ranks.values()) + 1)
-        for token, rank in hexed:
-            pieces[rank] = token
+        for token, rank in self.ranks.items():
+            pieces[rank] = token.hex().upper()
         self.hex_of_id = ",".join(pieces)
 
-    def fold(self, token: Column) -> Column:
-        """Ids of a piece in hexadecimal. The rank map is one literal, bound once around the whole fold."""
+    def fold(self, piece: Column) -> Column:
+        """Ids of a piece by merging alone. The tables are one literal, bound once around the whole fold.
+
+        The state is one array with a number per part: the rank that it makes with the next part, its place and its own id. The
+        least number is then the leftmost pair of least rank.
+        """
         def let(value: Column, use) -> Column:
             return F.get(F.transform(F.array(value), use), F.lit(0))
 
-        def with_map(table: Column) -> Column:
-            def rank(part: Column) -> Column:
-                few = F.get(table, F.pmod(F.xxhash64(part), F.lit(self.maps)).cast("int"))
-                return F.coalesce(F.try_element_at(few, part), F.lit(NEVER))
-
-            def step(state: Column, _: Column) -> Column:
-                parts, ranks = state["parts"], state["ranks"]
-
-                def merge(at: Column) -> Column:
-                    joined = F.concat(F.get(parts, at - 1), F.get(parts, at))
-                    none = F.array().cast("array<int>")
-                    left = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), joined)))).otherwise(none)
-                    right = F.when(at + 1 < F.size(parts), F.array(rank(F.concat(joined, F.get(parts, at + 1))))).otherwise(none)
-                    return F.struct(
-                        F.concat(F.slice(parts, 1, at - 1), F.array(joined), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-                        F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(parts))).alias("ranks"))
-
-                least = F.array_min(ranks)
-                return F.when(F.coalesce(least, F.lit(NEVER)) == NEVER, state).otherwise(
-                    let(F.array_position(ranks, least).cast("int"), merge))
-
-            size = (F.length(token) / 2).cast("int")
-            bytes_ = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(token, 2 * i + 1, F.lit(2)))
-            pairs = F.when(size < 2, F.array().cast("array<int>")).otherwise(
-                F.transform(F.sequence(F.lit(0), size - 2), lambda i: rank(F.substring(token, 2 * i + 1, F.lit(4)))))
-            start = F.struct(bytes_.alias("parts"), pairs.alias("ranks"))
-            merged = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, step, lambda s: F.transform(s["parts"], rank))
-            return let(rank(token), lambda whole: F.when(whole != NEVER, F.array(whole)).otherwise(merged))
-
-        return let(F.from_json(F.lit(self.rank_maps), "array<map<string,int>>"), with_map)
+        def with_tables(tables: Column) -> Column:
+            def packed_part(rank: Column, place: Column, id_: Column) -> Column:
+                return F.shiftleft(rank, 2 * BITS) + place + id_
+
+            def own(part: Column) -> Column:
+                return part.bitwiseAND(F.lit(NEVER)).cast("int")
+
+            def place(part: Column) -> Column:
+                return part.bitwiseAND(F.lit(NEVER << BITS))
+
+            def rank(left: Column, right: Column) -> Column:
+                cell = F.get(tables["cells"], F.get(tables["base"], left) + right)
+                return F.least(cell.bitwiseXOR(F.shiftleft((left + 1).cast("long"), BITS)), F.lit(NEVER).cast("long"))
+
+            def step(parts: Column, _: Column) -> Column:
+                def merge(best: Column) -> Column:
+                    at, joined = best["at"], F.shiftright(best["least"], 2 * BITS).cast("int")
+                    after, before = F.get(parts, at + 1), F.get(parts, at - 2)
+                    here = packed_part(rank(joined, own(after)), place(best["least"]), joined)
+                    left = F.when(at > 1, F.array(packed_part(rank(own(before), joined), place(before), own(before)))).otherwise(
+                        F.array().cast("array<long>"))
+                    return F.concat(F.slice(parts, 1, F.greatest(at - 2, F.lit(0))), left, F.array(here), F.slice(parts, at + 2, F.size(parts)))
+
+                def chosen(least: Column) -> Column:
+                    return F.when(least >= NEVER << 2 * BITS, parts).otherwise(
+                        let(F.struct(F.array_position(parts, least).cast("int").alias("at"), least.alias("least")), merge))
+
+                return let(F.array_min(parts), chosen)
+
+            # Bytes as characters of the same number.
+            bytes_ = F.transform(F.split(F.decode(F.encode(piece, "utf-8"), "ISO-8859-1"), ""), lambda c: F.get(tables["bytes"], F.ascii(c)))
+
+            def merged(ids: Column) -> Column:
+                start = F.transform(ids, lambda id_, i: packed_part(rank(id_, F.get(ids, i + 1)), F.shiftleft(i.cast("long"), BITS), id_))
+                return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), start, step, lambda s: F.transform(s, own))
+
+            return let(bytes_, merged)
+
+        return let(F.from_json(F.lit(self.tables), "base array<int>, cells array<long>, bytes array<int>"), with_tables)
+
+    def whole(self) -> DataFrame:
+        """(token, rank): the vocabulary's tokens that are texts."""
+        rows = []
+        for token, rank in self.ranks.items():
+            try:
+                rows.append((token.decode(), rank))
+            except UnicodeDecodeError:
+                continue
+        return self.spark.createDataFrame(pa.table({"token": [t for t, _ in rows], "rank": pa.array([r for _, r in rows], pa.int32())}))
 
     def encode_pieces(self, pieces: DataFrame) -> DataFrame:
         """``pieces`` with a column piece (string) and ids added."""
         ranks = self.ranks
         size = F.octet_length("piece")
-        short = pieces.where(size <= LONG_PIECE).withColumn("ids", self.fold(F.hex(F.encode("piece", "utf-8"))))
+        columns = [pieces[c] for c in pieces.columns]
+        short = pieces.where(size <= LONG_PIECE).join(F.broadcast(self.whole()), F.col("piece") == F.col("token"), "left").select(
+            *columns, F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(self.fold(F.col("piece"))).alias("ids"))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -153,7 +200,7 @@ class ByteBpe:
             for batch in unpacked(batches):
                 pieces, count = cut(*raw(batch.column("text")), pattern, ranges)
                 owner = np.repeat(batch.column("block").to_numpy(), count)
-                for block in np.unique(owner).tolist():
+                for block in sorted(set(batch.column("block").to_pylist())):
                     mine = pc.unique(pieces if (owner == block).all() else pieces.filter(pa.array(owner == block)))
                     parts = met.setdefault(block, [])
                     parts.append(mine)
@@ -178,7 +225,7 @@ class ByteBpe:
 
         def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             release()
-            block, words_ = None, []
+            block, words_, known_ = None, [], None
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -187,15 +234,19 @@ class ByteBpe:
                 for a, b in zip(at, [*at[1:], batch.num_rows]):
                     part = batch.slice(a, b - a)
                     if key[a] // 2 != block:
-                        block, words_ = key[a] // 2, []
+                        block, words_, known_ = key[a] // 2, [], None
                     if key[a] % 2 == 0:
                         words_.append(part.select(["piece", "ids"]))
                     else:
-                        yield from put(words_, part.select(["doc_id", "size", "packed"]))
-            words_.clear()
+                        if known_ is None:
+                            known_ = listed(words_)
+                            words_ = []
+                        yield from put(*known_, part.select(["doc_id", "size", "packed"]))
+            words_, known_ = [], None
             release()
 
-        def put(words_: list[pa.RecordBatch], docs_: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        def listed(words_: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+            """Pieces of a block, all of their ids, and number and first place of the ids of each."""
             if words_:
                 table = pa.Table.from_batches(words_).combine_chunks()
                 names, ids = table.column("piece").combine_chunks(), table.column("ids").combine_chunks()
@@ -203,7 +254,9 @@ class ByteBpe:
                 names, ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
             sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
-            first = np.cumsum(sizes, dtype=np.int32) - sizes
+            return names, flat, sizes, np.cumsum(sizes, dtype=np.int32) - sizes
+
+        def put(names: pa.Array, flat: np.ndarray, sizes: np.ndarray, first: np.ndarray, docs_: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for ids_, pieces, per_doc in cut_texts(docs_):
                 at = pc.index_in(pieces, value_set=names).to_numpy(zero_copy_only=False).astype(np.int32)
                 count = sizes[at] if len(at) else np.zeros(0, np.int32)
@@ -213,9 +266,11 @@ class ByteBpe:
                 offsets = ends[np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int64)].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[place] if len(place) else flat[:0]))
                 yield pa.RecordBatch.from_arrays([ids_, lists], ["doc_id", "ids"])
+                del pieces, at, count, ends, place, offsets, lists
+                trim()
 
         def cut_texts(docs_: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
-            """Ids, pieces and their numbers of about 4 MB of texts, which are cut a megabyte at a time: cutting takes many times
+            """Ids, pieces and their numbers of about 4 MB of texts, which are cut a little at a time: cutting takes many times
             the memory of its text, while looking pieces up costs a table of all names each time."""
             ids_, pieces, counts, held = [], [], [], 0
             for batch in unpacked(iter([docs_])):

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from landgrid.llm import tokens
-from landgrid.llm.bpe import ByteBpe, merge_long
+from landgrid.llm.bpe import BITS, NEVER, ByteBpe, merge_long, pair_cells
 from landgrid.llm.imatch import IMatch
 from landgrid.llm.jaccard import JaccardJoin, band_starts, segment_counts, set_keys, tolerated
 from landgrid.llm.lines import LineDedup
@@ -164,6 +164,18 @@ def test_bpe_queue_is_the_fold(spark, tokenizer):
     assert {r["piece"]: list(r["ids"]) for r in made.collect()} == {p: encoding.encode_ordinary(p) for p in pieces}
 
 
+def test_bpe_pairs_in_one_array(tokenizer):
+    """Each pair of tokens that joins to a token is found in the cells, others are not."""
+    ranks, _ = tokenizer
+    base, cells = pair_cells(ranks)
+    pairs = {(ranks[t[:k]], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+    some = list(pairs)[::7] + [(a, b) for a in range(0, len(ranks), 997) for b in range(0, len(ranks), 991)]
+    for a, b in some:
+        at = base[a] + b
+        joined = int(cells[at]) ^ (a + 1) << BITS if 0 <= at < len(cells) else NEVER
+        assert pairs.get((a, b), NEVER) == min(joined, NEVER), (a, b)
+
+
 def test_fingerprints(docs, rows, none):
     order = sorted(rows, reverse=True)
     got = {r["doc_id"]: r for r in IMatch(docs, common=0.9, bucket_rows=4).compare().collect()}
