@@ -4,7 +4,8 @@ Every line is a set of character shingles. Lines get ``bands * rows`` minimum ha
 on all rows of a band are proposed (at a likeness of 0.8 the fourteen bands of four rows miss one pair in a
 thousand). Equal lines are one: a task proposes a line once, and the first place of equal lines stands for
 all. In each band the first line is proposed to all others, the exact Jaccard likeness of whole lines decides,
-and union-find joins the links. Lines of one band that are still apart are then compared too. One line per component stays, the first by document and place.
+and union-find joins the links. Lines of one band that are still apart are then compared too, and a task returns only links
+that join what it has not joined yet: fewer than its lines. One line per component stays, the first by document and place.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landgrid.llm.graph import components
-from landgrid.llm.jaccard import paired, parity
+from landgrid.llm.jaccard import parity, tolerated
 from landgrid.llm.labelled import narrow
 from landgrid.llm.runs import head_of_runs
 from landgrid.llm.store import keep, packed, unpacked
-from landgrid.llm.tokens import LOWER, U64, chunks, longs, mix, powers, raw
+from landgrid.llm.tokens import LOWER, U64, chunks, distinct, longs, mix, powers, raw
 
 U32 = np.uint32
+BLANK = "".join(map(chr, range(33)))
 
 
 def split_lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +89,7 @@ def likeness(a: pa.Array, b: pa.Array, size: int) -> tuple[np.ndarray, np.ndarra
         data, offs = raw(lines)
         hashed, counts = shingles(data, offs[:-1], offs[1:], size)
         pair = np.repeat(np.arange(len(counts)), counts).astype(U64)
-        sets.append(np.unique((pair << U64(48)) | (hashed >> U64(16))))
+        sets.append(distinct((pair << U64(48)) | (hashed >> U64(16))))
     both = np.concatenate(sets)
     both.sort()
     same = np.bincount((both[1:][both[1:] == both[:-1]] >> U64(48)).astype(np.int64), minlength=len(a))
@@ -95,6 +97,88 @@ def likeness(a: pa.Array, b: pa.Array, size: int) -> tuple[np.ndarray, np.ndarra
     return same, whole - same
 
 
+def spanning(rows: pa.Table, size: int, percent: int, flush: int = 4096) -> pa.RecordBatch:
+    """Links between rows of the same (key, i, j) that differ in part, as (a, b) with a > b: as many as join what is linked.
+
+    Rows are compared by sizes and parity bits at growing distance. What passes is decided on whole lines, the nearest first
+    and only where both sides are still apart, and rows that have been joined are not compared again."""
+    col = {n: rows.column(n).to_numpy() for n in ("key", "i", "j", "doc", "part", "size", "own")}
+    lines = rows.column("line").combine_chunks()
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(rows), -1)
+    begins = np.ones(len(rows), bool)
+    begins[1:] = (col["key"][1:] != col["key"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])
+    group = np.cumsum(begins)
+    ends = np.searchsorted(group, group, "right")
+    # Rows of one group and part are joined from the start.
+    order = np.lexsort((col["part"], group))
+    turn = np.ones(len(rows), bool)
+    turn[1:] = (group[order][1:] != group[order][:-1]) | (col["part"][order][1:] != col["part"][order][:-1])
+    joint = np.empty(len(rows), np.int64)
+    joint[order] = np.cumsum(turn) - 1
+    top = list(range(int(joint.max(initial=-1)) + 1))
+    found, waiting, waits = [], [], 0
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    def decide(x: np.ndarray, y: np.ndarray, gap: np.ndarray) -> None:
+        order = np.argsort(gap, kind="stable")
+        x, y = x[order], y[order]
+        while len(x):
+            trial, now = list(top), []
+            def root(k: int) -> int:
+                while trial[k] != k:
+                    trial[k] = trial[trial[k]]
+                    k = trial[k]
+                return k
+            for k, (p, q) in enumerate(zip(joint[x].tolist(), joint[y].tolist())):
+                p, q = root(p), root(q)
+                if p != q:
+                    trial[max(p, q)] = min(p, q)
+                    now.append(k)
+            for at in range(0, len(now), 512):
+                part = np.array(now[at:at + 512])
+                same, union = likeness(lines.take(pa.array(x[part])), lines.take(pa.array(y[part])), size)
+                for k in part[100 * same >= percent * union].tolist():
+                    p, q = find(int(joint[x[k]])), find(int(joint[y[k]]))
+                    top[max(p, q)] = min(p, q)
+                    found.append((x[k], y[k]))
+            flat = np.array([find(k) for k in range(len(top))], np.int64)
+            tested = np.zeros(len(x), bool)
+            tested[now] = True
+            left = ~tested & (flat[joint[x]] != flat[joint[y]])
+            x, y = x[left], y[left]
+
+    at = np.arange(len(rows))
+    label = joint.copy()
+    for step in range(1, len(rows)):
+        at = at[at + step < ends[at]]
+        if not len(at):
+            break
+        to = at + step
+        small, large = np.minimum(col["size"][at], col["size"][to]), np.maximum(col["size"][at], col["size"][to])
+        # Two members of one block meet where both indices are that block.
+        ok = (label[at] != label[to]) & (100 * small >= percent * large) & (
+            (col["own"][at] != col["own"][to]) | (col["i"][at] == col["j"][at]))
+        x, y = at[ok], to[ok]
+        gap = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+        ok = gap <= tolerated(col["size"][x] + col["size"][y], percent)
+        waiting.append((x[ok], y[ok], gap[ok]))
+        waits += int(ok.sum())
+        if waits >= flush:
+            decide(*map(np.concatenate, zip(*waiting)))
+            label = np.array([find(k) for k in range(len(top))], np.int64)[joint]
+            waiting, waits = [], 0
+    if waits:
+        decide(*map(np.concatenate, zip(*waiting)))
+    x, y = np.array(found, np.int64).reshape(-1, 2).T
+    a, b = col["doc"][x], col["doc"][y]
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+
 def inked_lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, starts, ends, document and place of the lines that are not blank."""
     data, offs = raw(batch.column("text"))
@@ -190,7 +274,7 @@ class LineDedup:
                 data, offs = raw(batch.column("line"))
                 hashed, counts = shingles(data, offs[:-1], offs[1:], size)
                 ends = np.cumsum(counts)
-                sets = [np.unique(hashed[b - n:b]) for b, n in zip(ends, counts)]
+                sets = [distinct(hashed[b - n:b]) for b, n in zip(ends, counts)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("name"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(parity, sets), pa.binary())],
                     ["doc", "size", "bits"])
@@ -210,6 +294,37 @@ class LineDedup:
         b = lines.select(F.col("name").alias("b"), F.col("line").alias("y"))
         return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(scan, "a long, b long")
 
+    def bridges(self, members: DataFrame, lines: DataFrame, block: int = 4096, block_bytes: int = 8 << 20) -> DataFrame:
+        """(a, b): links between members (key, doc, part) of one key and different parts. Of all links in a block of a key
+        only those are returned that join what others have not joined yet, so their number is below that of the members; each is
+        decided on whole lines. Keys of many members or bytes are dealt out as pairs of blocks."""
+        size, percent = self.size, self.percent
+        names = ["key", "i", "j", "doc", "part", "size", "bits", "own", "line"]
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                held = pa.Table.from_batches(([held] if held is not None else []) + [batch]).combine_chunks()
+                key = np.stack([held.column(n).to_numpy() for n in ("key", "i", "j")])
+                begins = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+                last = int(begins.max(initial=0))
+                if last:
+                    yield spanning(held.slice(0, last), size, percent)
+                held = held.slice(last).combine_chunks().to_batches()[0]
+            if held is not None:
+                yield spanning(pa.Table.from_batches([held]), size, percent)
+
+        signed = self._signed(lines).join(lines.withColumnRenamed("name", "doc"), "doc")
+        members = members.join(signed, "doc")
+        blocks = members.groupBy("key").agg(F.greatest(
+            F.ceil(F.count("*") / block), F.ceil(F.sum(F.length("line")) / block_bytes), F.lit(1)).cast("int").alias("blocks"))
+        dealt = members.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(doc), blocks) as int)")).withColumn(
+            "other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        rows = dealt.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return rows.mapInArrow(scan, "a long, b long").distinct()
+
     def removed(self) -> DataFrame:
         """(doc, place) of all lines but the first of each component."""
         names = keep(self.names(), "lines")
@@ -217,20 +332,18 @@ class LineDedup:
         pairs = keep(rows.select(F.greatest("doc", "head").alias("a"), F.least("doc", "head").alias("b")).distinct(), "pairs")
         nodes = pairs.select(F.col("a").alias("name_a")).union(pairs.select("b")).distinct()
         # One place for each proposed line, to read it from; half names that collide are read once.
-        near = names.join(nodes, "name_a").groupBy("name_a").agg(F.min("doc").alias("doc"))
-        spot = names.join(near, ["name_a", "doc"]).groupBy("name_a", "doc").agg(F.min("place").alias("place"))
-        spot = keep(names.join(spot, ["name_a", "doc", "place"]).select(F.col("name_a").alias("name"), "name_b", "doc", "place"), "spots")
+        spot = names.join(nodes, "name_a", "left_semi").groupBy("name_a").agg(F.min(F.struct("doc", "place", "name_b")).alias("at"))
+        spot = keep(spot.select(F.col("name_a").alias("name"), "at.name_b", "at.doc", "at.place"), "spots")
         lines = keep(self.texts(spot.select("name", "doc", "place")), "texts")
         linked = keep(self.verified(pairs, lines), "linked")
         # Lines of one band that the links through its first line have left apart.
         part = keep(components(linked), "parts")
         members = rows.select("key", "doc").union(rows.select("key", "head")).distinct().join(
-            part.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "key", "doc", F.lit(True).alias("probes"), F.coalesce("component", "doc").alias("part"))
+            part.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("part"))
         members = keep(members, "members")
         mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-        rest = paired(members.join(mixed, "key"), self._signed(lines), self.percent).join(pairs, ["a", "b"], "left_anti")
-        linked = keep(linked.unionByName(self.verified(keep(rest, "rest"), lines)), "links")
+        rest = self.bridges(members.join(mixed, "key"), lines)
+        linked = keep(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), "links")
         group = components(linked).join(spot, F.col("node") == F.col("name")).select(
             F.col("name").alias("name_a"), "name_b", "component")
         group = keep(group, "groups")
@@ -262,7 +375,7 @@ class LineDedup:
                     texts.append("\n".join(stay) if text is not None else None)
                     n.append(len(lines))
                     away.append(len(lines) - len(stay))
-                    left.append(sum(not _blank(x) for x in stay))
+                    left.append(sum(1 for x in stay if x.strip(BLANK)))
                 columns = [pa.array(texts, batch.column(c).type) if c == "text" else batch.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, pa.int64()) for v in (n, away, left))],
                                                  [*names, "n_lines", "n_removed", "n_left"])
@@ -270,6 +383,3 @@ class LineDedup:
         more = [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_left")]
         return rows.mapInArrow(scan, T.StructType([*kept.schema.fields, *more]))
 
-
-def _blank(line: str) -> bool:
-    return all(ord(c) <= 32 for c in line)

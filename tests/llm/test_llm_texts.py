@@ -176,6 +176,24 @@ def test_bpe_pairs_in_one_array(tokenizer):
         assert pairs.get((a, b), NEVER) == min(joined, NEVER), (a, b)
 
 
+def test_near_lines_of_a_band_give_few_links(spark):
+    """Lines that are all near each other and share a band: links join them, but they are fewer than the lines."""
+    base = "the quick brown fox jumps over the lazy dog and runs along the river bank until it meets the sleeping bear " * 2
+    lines = [base[:k] + chr(97 + k % 26) * 2 + base[k + 2:] for k in range(0, 200, 2)] + ["something else entirely that has no part in it at all"]
+    found = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(lines)], "name long, line binary")
+    members = spark.createDataFrame([(k, i, i) for k in (7, 8) for i in range(len(lines))], "key long, doc long, part long")
+    sets = [frozenset(t[i:i + 8] for i in range(len(t) - 7)) for t in lines]
+    want = hard.groups(range(len(lines)), lambda a, b: hard.alike(sets[a], sets[b]))
+    dedup = LineDedup(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+    for block in (4096, 16):  # whole, and dealt out as pairs of blocks
+        rows = dedup.bridges(members, found, block=block).collect()
+        links = {(r["a"], r["b"]) for r in rows}
+        assert all(hard.alike(sets[a], sets[b]) for a, b in links)
+        assert hard.groups(range(len(lines)), lambda a, b: (max(a, b), min(a, b)) in links) == want
+        if block > len(lines):
+            assert len(rows) <= 2 * len(lines)
+
+
 def test_fingerprints(docs, rows, none):
     order = sorted(rows, reverse=True)
     got = {r["doc_id"]: r for r in IMatch(docs, common=0.9, bucket_rows=4).compare().collect()}
