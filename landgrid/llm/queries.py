@@ -16,6 +16,7 @@ from landgrid.llm.packing import Packer
 from landgrid.llm.quality import QualityClassifier
 from landgrid.llm.resampling import ImportanceResampler
 from landgrid.llm.spelling import SpellingGroups
+from landgrid.llm.store import small_batches
 from landgrid.llm.substrings import SubstringDedup
 from landgrid.llm.toxicity import ToxicityChain
 from landgrid.llm.urls import UrlFilter
@@ -27,6 +28,7 @@ query = register(QUERIES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

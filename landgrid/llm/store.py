@@ -6,19 +6,33 @@ import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from landgrid.llm.tokens import chunks, trim
+from landgrid.llm.tokens import CHUNK_BYTES, chunks, trim
 from landgrid.session import scratch_path
 
 
+#: Bytes of rows that go to a Python worker at once. Of long texts the usual number of rows takes tens of megabytes, which both the
+#: executor's JVM and the worker hold outside the heap, for each task.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let batches for Python workers be of ``BATCH_BYTES`` at most, or less where the session says so."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the folder of ``spark.checkpoint.dir`` and read again: lineage ends
     here, and every executor can read the files after another one is lost. A collection of the driver's
     garbage then lets Spark's cleaner delete the shuffle files of earlier steps, which would otherwise fill disks
     until one happens by chance."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     gc.collect()
@@ -49,7 +63,7 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, T.StructType([*fields, T.StructField("size", T.IntegerType()), T.StructField("packed", T.BinaryType())]))
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def unpacked(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches of ``packed`` rows with ``text`` as bytes again, about ``limit`` bytes each."""
     codec = pa.Codec("zstd")
     for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import tracemalloc
 
 import hard
 import public_tokenizers
@@ -14,8 +15,10 @@ from landgrid.llm import tokens
 from landgrid.llm.bpe import BITS, NEVER, ByteBpe, merge_long, pair_cells
 from landgrid.llm.imatch import IMatch
 from landgrid.llm.jaccard import JaccardJoin, band_starts, segment_counts, set_keys, tolerated
-from landgrid.llm.lines import LineDedup
+from landgrid.llm.lines import LineDedup, inked_lines, shingles
 from landgrid.llm.queries import encoded
+from landgrid.llm.queries import table as entry_table
+from landgrid.llm.store import BATCH_BYTES
 from landgrid.llm.substrings import SubstringDedup
 from landgrid.llm.tokens import shingle_sets
 
@@ -194,6 +197,31 @@ def test_near_lines_of_a_band_give_few_links(spark):
             assert len(rows) <= 2 * len(lines)
 
 
+def test_steps_on_texts_take_little_memory():
+    """Lines of eight megabytes of texts, which are cut in small parts, with their tables."""
+    batch = pa.record_batch({"text": [f"line {i} of some words\n" * 1500 for i in range(250)]})
+    tokens._held.clear()
+    tracemalloc.start()
+    for part in tokens.chunks(iter([batch])):
+        data, starts, ends, _, _ = inked_lines(part)
+        shingles(data, starts, ends, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """What a worker gets at once is bounded in bytes, also for the result's own plan."""
+    docs = entry_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", F.repeat("text", 20).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([batch.nbytes], pa.int64())})
+
+    got = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) > 3 * BATCH_BYTES and max(got) < 2 * BATCH_BYTES
+
+
 def test_fingerprints(docs, rows, none):
     order = sorted(rows, reverse=True)
     got = {r["doc_id"]: r for r in IMatch(docs, common=0.9, bucket_rows=4).compare().collect()}
