@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landgrid.llm.graph import components
-from landgrid.llm.jaccard import parity, tolerated
+from landgrid.llm.jaccard import PARITY, tolerated
 from landgrid.llm.labelled import narrow
 from landgrid.llm.runs import head_of_runs
 from landgrid.llm.store import keep, packed, unpacked
@@ -118,10 +118,10 @@ def spanning(rows: pa.Table, size: int, percent: int, flush: int = 4096) -> pa.R
     top = list(range(int(joint.max(initial=-1)) + 1))
     found, waiting, waits = [], [], 0
 
-    def find(x: int) -> int:
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
+    def find(x: int, over: list[int] = top) -> int:
+        while over[x] != x:
+            over[x] = over[over[x]]
+            x = over[x]
         return x
 
     def decide(x: np.ndarray, y: np.ndarray, gap: np.ndarray) -> None:
@@ -129,13 +129,8 @@ def spanning(rows: pa.Table, size: int, percent: int, flush: int = 4096) -> pa.R
         x, y = x[order], y[order]
         while len(x):
             trial, now = list(top), []
-            def root(k: int) -> int:
-                while trial[k] != k:
-                    trial[k] = trial[trial[k]]
-                    k = trial[k]
-                return k
             for k, (p, q) in enumerate(zip(joint[x].tolist(), joint[y].tolist())):
-                p, q = root(p), root(q)
+                p, q = find(p, trial), find(q, trial)
                 if p != q:
                     trial[max(p, q)] = min(p, q)
                     now.append(k)
@@ -266,20 +261,26 @@ class LineDedup:
         return packed(self.narrow).join(lists, "doc_id").mapInArrow(scan, "name long, line binary")
 
     def _signed(self, lines: DataFrame) -> DataFrame:
-        """(doc, size, bits) of lines, for ``paired``."""
+        """(doc, size, bits, line): lines with size and parity bits of their sets, as ``likeness`` has them."""
         size = self.size
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, "line", 1 << 18):
-                data, offs = raw(batch.column("line"))
-                hashed, counts = shingles(data, offs[:-1], offs[1:], size)
-                ends = np.cumsum(counts)
-                sets = [distinct(hashed[b - n:b]) for b, n in zip(ends, counts)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("name"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(parity, sets), pa.binary())],
-                    ["doc", "size", "bits"])
+            for batch in chunks(batches, "line"):
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    data, offs = raw(part.column("line"))
+                    hashed, counts = shingles(data, offs[:-1], offs[1:], size)
+                    owner = np.repeat(np.arange(len(counts)), counts).astype(U64)
+                    sets = distinct((owner << U64(48)) | (hashed >> U64(16)))
+                    owner = (sets >> U64(48)).astype(np.int64)
+                    place = owner * PARITY + (mix(sets & U64((1 << 48) - 1)) % U64(PARITY)).astype(np.int64)
+                    odd = np.bincount(place, minlength=len(counts) * PARITY).astype(np.uint8) & 1
+                    bits = np.packbits(odd.reshape(len(counts), PARITY), axis=1)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("name"), pa.array(np.bincount(owner, minlength=len(counts))),
+                         pa.array([row.tobytes() for row in bits], pa.binary()), part.column("line")], ["doc", "size", "bits", "line"])
 
-        return lines.mapInArrow(scan, "doc long, size long, bits binary")
+        return lines.mapInArrow(scan, "doc long, size long, bits binary, line binary")
 
     def verified(self, pairs: DataFrame, lines: DataFrame) -> DataFrame:
         """Of pairs (a, b) those whose whole lines are alike."""
@@ -316,13 +317,12 @@ class LineDedup:
             if held is not None:
                 yield spanning(pa.Table.from_batches([held]), size, percent)
 
-        signed = self._signed(lines).join(lines.withColumnRenamed("name", "doc"), "doc")
-        members = members.join(signed, "doc")
-        blocks = members.groupBy("key").agg(F.greatest(
-            F.ceil(F.count("*") / block), F.ceil(F.sum(F.length("line")) / block_bytes), F.lit(1)).cast("int").alias("blocks"))
+        weight = lines.select(F.col("name").alias("doc"), F.length("line").alias("n_bytes"))
+        blocks = members.join(weight, "doc").groupBy("key").agg(F.greatest(
+            F.ceil(F.count("*") / block), F.ceil(F.sum("n_bytes") / block_bytes), F.lit(1)).cast("int").alias("blocks"))
         dealt = members.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(doc), blocks) as int)")).withColumn(
             "other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-        rows = dealt.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        rows = dealt.join(self._signed(lines), "doc").select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         return rows.mapInArrow(scan, "a long, b long").distinct()
 
     def removed(self) -> DataFrame:
